@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Unicode White_Space.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
 #: Units held at most; the memo starts anew beyond that.
 MEMO = 1_000_000
