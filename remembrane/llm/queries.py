@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat
+from . import bitpack, chat, packing, topk
 
 BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -24,17 +24,26 @@ def op1_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), BPE, capacity=1024, end_id=2)
+    return packing.pack(pieces, 1024, ["doc_id", "piece", "ids_crc32"])
+
+
 def op8_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_token_files(bitpack.write_token_files(table(spark, sf_dir, "documents"), BPE, end_id=0))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_targets": OP1_SQL}
+    return {"op1_chat_prefix_targets": OP1_SQL, "op9_exact_topk": OP9_SQL}
 
 
 OP1_SQL = """
@@ -56,3 +65,17 @@ SELECT conv_id, count(*) AS n_turns,
   count(CASE WHEN role = 'assistant' THEN 1 END) AS n_examples
 FROM e GROUP BY conv_id
 """
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(x.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id AND q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
