@@ -96,3 +96,62 @@ def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
 def input_parts(df: DataFrame) -> int:
     """How many splits Spark reads df's files in: a measure of the input's size that costs no scan."""
     return max(1, df.rdd.getNumPartitions())
+
+
+def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of values[offsets[i]:offsets[i + 1]] for each i; empty segments give 0."""
+    kind = np.float64 if values.dtype.kind == "f" else np.int64
+    total = np.concatenate([np.zeros(1, kind), np.cumsum(values, dtype=kind)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+class PolyHash:
+    """64-bit hashes of any substring of a byte array from prefix sums of byte codes times powers of an odd number."""
+
+    BASE = 0x9E3779B97F4A7C15
+    _powers = np.ones(1, np.uint64)
+    _inverse = np.ones(1, np.uint64)
+    CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+    def __init__(self, raw: np.ndarray):
+        n = len(raw) + 1
+        if len(PolyHash._powers) < n:
+            m = max(n, 1 << 20)
+            for name, base in (("_powers", self.BASE), ("_inverse", pow(self.BASE, -1, 1 << 64))):
+                full = np.full(m, base, np.uint64)
+                full[0] = 1
+                setattr(PolyHash, name, np.cumprod(full))
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum(self.CODES[raw] * PolyHash._powers[: n - 1], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * PolyHash._inverse[starts]
+
+    def windows(self, size: int) -> np.ndarray:
+        """Hash of every substring of `size` bytes, by start."""
+        n = len(self.sums) - size
+        return (self.sums[size:] - self.sums[:n]) * PolyHash._inverse[:n] if n > 0 else np.zeros(0, np.uint64)
+
+
+#: ASCII white space: 0x20 and 0x09 to 0x0D.
+IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs without ASCII white space) in row order, and each row's first word, end last."""
+    gap = IS_SPACE[raw]
+    begins = np.empty(len(raw) + 1, bool)
+    begins[0] = True
+    begins[1:] = np.append(gap, True)[:-1] if len(raw) else True
+    begins = begins[: len(raw)]
+    if len(raw):
+        begins[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    begins &= ~gap
+    stops = np.ones(len(raw), bool)
+    if len(raw):
+        stops[:-1] = gap[1:]
+        ends = offsets[1:][offsets[1:] > 0]
+        stops[ends - 1] = True
+    stops &= ~gap
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
