@@ -16,6 +16,11 @@ import numpy as np
 #: Unicode White_Space.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
+#: Units that are one pre-token of letters, then perhaps one of punctuation.
+WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+)([!-&(-/:-@\[-`{-~]*)")
+#: The sign that stands for each byte: itself where it prints, else the next free code point from 256 on.
+PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SIGNS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTS)}
 #: Units held at most; the memo starts anew beyond that.
 MEMO = 1_000_000
 
@@ -32,13 +37,19 @@ class ByteBpe:
         self.tokenizer.encode_special_tokens = True
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
-        encode, dtype = self.tokenizer.encode, self.dtype
+        encode, merge, dtype = self.tokenizer.encode, self.tokenizer.model.tokenize, self.dtype
 
         class Memo(dict):
             def __missing__(self, unit):
-                ids = np.array(encode(unit, add_special_tokens=False).ids, dtype).tobytes()
-                if len(unit) <= 64:
-                    self[unit] = ids
+                if len(unit) > 64:
+                    return np.array(encode(unit, add_special_tokens=False).ids, dtype).tobytes()
+                if not (m := WORD.fullmatch(unit)):
+                    ids = np.array(encode(unit, add_special_tokens=False).ids, dtype).tobytes()
+                elif m[2]:
+                    ids = self[m[1]] + self[m[2]]
+                else:  # one pre-token: straight to the library's merges
+                    ids = np.array([x.id for x in merge(unit.encode().decode("latin-1").translate(SIGNS))], dtype).tobytes()
+                self[unit] = ids
                 return ids
 
         self.memo = Memo()
