@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat, packing, quality, topk
+from . import bitpack, chat, minhash, packing, quality, topk
 
 BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def op2_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_minhash_oph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80, bands=32, rows=4)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), BPE, capacity=1024, end_id=2)
     return packing.pack(pieces, 1024, ["doc_id", "piece", "ids_crc32"])
