@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat, minhash, packing, quality, topk
+from . import bitpack, chat, minhash, packing, quality, syncmers, topk
 
 BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -37,6 +37,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 1024, ["doc_id", "piece", "ids_crc32"])
 
 
+def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_token_files(bitpack.write_token_files(table(spark, sf_dir, "documents"), BPE, end_id=0))
 
