@@ -100,15 +100,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose documents' sets have 100 * intersection >= percent * union, on full sets."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, s: the packed set of each document in wanted (doc_id)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_pieces(batches, "text", 2 << 20):
             hashes, begins = shingle_sets(*text_bytes(batch.column("text")), size)
             packed = [hashes[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(begins)), pa.array(packed, pa.binary())], ["doc_id", "n", "s"])
+
+    # merged whatever the sizes: wanted grows with the documents
+    return materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(pack, "doc_id long, n long, s binary"), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +127,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
                 ok[i] = 100 * common >= percent * (len(both) - common)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
 
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, s binary"), "sets")
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
     return materialize(full.mapInArrow(agree, "a long, b long"), "links")
 
@@ -150,9 +155,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     classes = materialize(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     members = materialize(usable.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "rep"), "members")
     own = members.where("doc_id = rep").select("doc_id").distinct()
-    keyed = usable.join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key")).distinct()
+    keyed = usable.join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     keyed = materialize(keyed.join(shared, "key", "left_semi"), "buckets")
+    sets = full_sets(rows_in, keyed.select(F.col("rep").alias("doc_id")).distinct(), size)
+    sizes = sets.select(F.col("doc_id").alias("rep"), "n").distinct()
 
     # rows that repeat a doc_id with other texts join their classes
     least = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b <> z").select("doc_id", "b")
@@ -163,7 +170,6 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
         placed = keyed.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *centre(turn)).where("lo <> hi").drop("lo", "hi")
         met = placed.join(split, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        sizes = keyed.select("rep", "n").distinct()
         near = met.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
         pairs = near.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")).groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b")
         if tried is not None:
@@ -172,7 +178,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
         if not pairs.limit(1).count():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = confirm(pairs, rows_in, size, percent)
+        new = confirm(pairs, sets, percent)
         if new.limit(1).count():
             links = links.unionByName(new)
             component = connected_components(links)
