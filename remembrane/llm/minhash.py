@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PolyHash, arrow_pieces, materialize, mix64, text_bytes, whole_text, word_spans
@@ -131,7 +131,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(full.mapInArrow(agree, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are left out).
 
     Null text and text without words: an empty set, linked with nothing. A document with fewer words than `size` has
@@ -195,3 +195,16 @@ def centre(turn: int) -> list:
     if turn == 1:
         return [F.max("rep").alias("centre")]
     return [F.min_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("centre")]
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, without the rows of documents that are in a group and not its smallest doc_id.
+
+    Of rows that repeat a doc_id the one with the smallest text stays (null first); rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    out = docs.join(materialize(gone, "gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = out.withColumn("__first", first).where("__first = 1 or doc_id is null").drop("__first")
+    return out

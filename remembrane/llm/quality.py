@@ -249,3 +249,17 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     rows = materialize(text_features(docs), "features")
     scored = score(rows, train(rows, labels, label, most))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, most: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least threshold; trained on labels as `classify` is."""
+    model = train(materialize(text_features(docs), "features"), labels, label, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column("text").fill_null("")
+            marked = pa.RecordBatch.from_arrays([text, pa.array(np.arange(b.num_rows))], ["text", "row"])
+            kept = [p.column("row").filter(pa.array(model.score(features(*text_bytes(p.column("text")))) >= threshold)) for p in arrow_pieces(iter([marked]), "text", 2 << 20)]
+            yield b.take(pa.concat_arrays(kept)) if kept else b
+
+    return docs.mapInArrow(run, docs.schema)

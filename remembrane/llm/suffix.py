@@ -279,3 +279,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     out = whole.join(gone, ["k", "uid"], "left")
     removed = F.when(F.col("n_spans").isNull(), 0).otherwise(F.coalesce("n_removed", "n_bytes"))
     return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs, all columns, with the bytes that `remove_repeats` removes taken out of text (and n_chars, if there, counted anew).
+
+    No row goes; a text that is repeated whole becomes empty. Bytes of a character of which a part is removed go, too.
+    """
+    rows = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn("__uid", F.xxhash64(F.col("doc_id").cast("long"), whole_text(docs)))
+    gone = cut(repeated_spans(keyed(docs), width), with_text=True).select(F.col("k").alias("__k"), F.col("uid").alias("__uid"), "left")
+    out = rows.join(gone.withColumnRenamed("left", "__left"), ["__k", "__uid"], "left").withColumn("text", F.coalesce("__left", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__left").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
