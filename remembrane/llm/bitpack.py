@@ -96,7 +96,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, shards:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
         end = np.array([end_id], bpe.dtype).tobytes()
-        for b in arrow_pieces(batches, "text"):
+        for b in arrow_pieces(batches, "text", keeps="byte_bpe"):
             packed = [bpe.encode(t) + end for t in b.column("text").to_pylist()]
             at = np.searchsorted(bounds, b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column("doc_id"), pa.array(packed, pa.binary())], ["shard", "doc_id", "ids"])

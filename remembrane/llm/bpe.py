@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import KEPT
+
 #: Unicode White_Space.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 UNITS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
@@ -62,5 +64,6 @@ class ByteBpe:
 
 @lru_cache(maxsize=4)
 def byte_bpe(name: str) -> ByteBpe:
-    """One encoder per worker process."""
+    """One encoder per worker process, until another operator's task runs there."""
+    KEPT["byte_bpe"] = byte_bpe.cache_clear
     return ByteBpe(name)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,28 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def arrow_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Each batch in slices of at most `most` bytes of `column`, or of one row where a row alone is longer."""
+#: What a worker process keeps between tasks, by operator: functions that let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def let_go(but: str = "") -> None:
+    """Frees what other operators keep in this worker, and gives freed memory back to the system where it can be."""
+    for name, release in KEPT.items():
+        if name != but:
+            release()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def arrow_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """Each batch in slices of at most `most` bytes of `column`, or of one row where a row alone is longer.
+
+    keeps names what the calling operator keeps in the worker for its next task; all else is let go before and after.
+    """
+    let_go(keeps)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -58,6 +79,7 @@ def arrow_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 <
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+    let_go(keeps)
 
 
 def text_offsets(array: pa.Array) -> np.ndarray:

@@ -158,7 +158,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 2
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
         end = np.array([end_id], bpe.dtype).tobytes()
-        for b in arrow_pieces(batches, "text"):
+        for b in arrow_pieces(batches, "text", keeps="byte_bpe"):
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = np.frombuffer(bpe.encode(text) + end, bpe.dtype).astype("<u4")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pieces, whole_text
+from .common import KEPT, arrow_pieces, whole_text
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -131,6 +131,8 @@ class PieceBpe:
 
 @lru_cache(maxsize=4)
 def piece_bpe(name: str) -> PieceBpe:
+    """One encoder per worker process, until another operator's task runs there."""
+    KEPT["piece_bpe"] = piece_bpe.cache_clear
     return PieceBpe(name)
 
 
@@ -145,7 +147,7 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = piece_bpe(model)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in arrow_pieces(batches, "text"):
+        for b in arrow_pieces(batches, "text", keeps="piece_bpe"):
             found = [bpe.encode(t) for t in b.column("text").to_pylist()]
             decoded = bpe.decode([ids for _, ids in found])
             columns = [b.column("doc_id"), pa.array([len(ids) for _, ids in found], pa.int64()), pa.array([sha(s) for s, _ in found]), pa.array([sha(t) for t in decoded])]

@@ -204,7 +204,7 @@ def text_features(docs: DataFrame) -> DataFrame:
     """doc_id and x, the features of the whole text (null: empty)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in arrow_pieces(batches, "text", 2 << 20):
+        for b in arrow_pieces(batches, "text"):
             x = features(*text_bytes(b.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "x"])
@@ -259,7 +259,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
         for b in batches:
             text = b.column("text").fill_null("")
             marked = pa.RecordBatch.from_arrays([text, pa.array(np.arange(b.num_rows))], ["text", "row"])
-            kept = [p.column("row").filter(pa.array(model.score(features(*text_bytes(p.column("text")))) >= threshold)) for p in arrow_pieces(iter([marked]), "text", 2 << 20)]
+            kept = [p.column("row").filter(pa.array(model.score(features(*text_bytes(p.column("text")))) >= threshold)) for p in arrow_pieces(iter([marked]), "text")]
             yield b.take(pa.concat_arrays(kept)) if kept else b
 
     return docs.mapInArrow(run, docs.schema)
