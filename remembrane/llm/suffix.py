@@ -106,9 +106,12 @@ def interval_scan(lcp: np.ndarray) -> list[tuple[int, int, int]]:
 def maximal_repeats(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
     """(length, occurrences) of the maximal repeats of at least `least` bytes among suffixes at `starts`.
 
-    ends[i] is where starts[i]'s text ends. A suffix's left neighbour is the byte before it; at the beginning of a
+    least: 256 at most; repeats are told apart by up to 512 bytes, longer ones come out with the length they are known to
+    share. ends[i] is where starts[i]'s text ends. A suffix's left neighbour is the byte before it; at the beginning of a
     stretch of starts it counts as unlike any other.
     """
+    if least > LEVELS[-1]:
+        raise ValueError(f"repeats must be looked for from {LEVELS[-1]} bytes or fewer")
     starts, at = np.unique(starts, return_index=True)
     ends = ends[at]
     long = ends - starts >= least
@@ -116,7 +119,7 @@ def maximal_repeats(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, least
     if len(starts) < 2:
         return
     ranks = suffix_ranks(raw)
-    order = np.lexsort((ranks[-1][np.minimum(starts + LEVELS[-1], len(raw) - 1)], ranks[-1][starts])) if least > LEVELS[-1] else sort_to(ranks, starts, least)
+    order = sort_to(ranks, starts, least)
     suffix, room = starts[order], (ends - starts)[order]
     follows = np.zeros(len(starts), bool)
     follows[1:] = starts[1:] == starts[:-1] + 1
@@ -137,8 +140,8 @@ def maximal_repeats(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray, least
 
 def sort_to(ranks: list[np.ndarray], starts: np.ndarray, depth: int) -> np.ndarray:
     """Order of suffixes by their first `depth` bytes (at most the longest level), all of which lie in the text."""
-    level = max(i for i, size in enumerate(LEVELS) if size <= depth)
-    a, b = ranks[level][starts], ranks[level][starts + depth - LEVELS[level]]
+    level = max((i for i, size in enumerate(LEVELS) if size <= depth), default=0)
+    a, b = ranks[level][starts], ranks[level][np.maximum(starts + depth - LEVELS[level], starts)]
     return np.argsort((a << np.uint64(32)) | b, kind="stable")
 
 
