@@ -66,6 +66,33 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, hub_degree: int | None =
     return seen
 
 
+def dfs(edges: DataFrame, seeds: Sequence[str], depth: int, most: int = 1000) -> list[str]:
+    """Keys in depth-first order, neighbours by key, at most `most`: an order over a small part of a graph, kept on the driver.
+
+    Only out-edges of what the walk may reach within its depth are read, and no more than `most` for each level.
+    """
+    spark, out, wanted = edges.sparkSession, {}, set(seeds)
+    for _ in range(depth):
+        level = spark.createDataFrame([(k,) for k in sorted(wanted - set(out))], "src string") if wanted - set(out) else None
+        if level is None:
+            break
+        rows = edges.join(level, "src").select("src", "dst").distinct().orderBy("src", "dst").limit(most).collect()
+        out |= {k: [] for k in wanted if k not in out}
+        for r in rows:
+            out[r["src"]].append(r["dst"])
+        wanted = {r["dst"] for r in rows}
+    order: list[str] = []
+    stack = [(k, 0) for k in sorted(seeds, reverse=True)]
+    while stack and len(order) < most:
+        key, at = stack.pop()
+        if key in order:
+            continue
+        order.append(key)
+        if at < depth:
+            stack += [(k, at + 1) for k in reversed(out.get(key, []))]
+    return order
+
+
 def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 8) -> list[str] | None:
     """Keys of a shortest undirected path, of equal ones by the smallest parent; None beyond `most` steps.
 

@@ -36,3 +36,22 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
 def run_each_batch(stream: DataFrame, apply, checkpoint: str, mode: str = "append") -> None:
     """apply(batch, number) for each micro-batch; a number is seen again after a failure, so apply must be idempotent."""
     stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def reconcile_snapshots(spark: SparkSession, folder: str, memory, checkpoint: str) -> None:
+    """Snapshot files that arrive in a folder, applied to a memory in order of their observation times.
+
+    One seen again after a failure changes nothing: its items are equal to the open versions by then, or it is late.
+    """
+    from ..schemas import SNAPSHOT
+    from ..sources.observations import snapshot_items
+
+    def apply(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
+        for head in batch.select("source", "scope", "snapshotId", "observedAt").orderBy("observedAt", "snapshotId").collect():
+            own = batch.where((F.col("snapshotId") == head["snapshotId"]) & (F.col("source") == head["source"]) & (F.col("scope") == head["scope"]))
+            memory.reconcile(snapshot_items(own), head["source"], head["scope"], head["snapshotId"], head["observedAt"])
+        batch.unpersist()
+
+    stream = spark.readStream.schema(SNAPSHOT).option("multiLine", "true").json(folder)
+    run_each_batch(stream, apply, checkpoint)

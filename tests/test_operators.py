@@ -245,3 +245,30 @@ def test_embed_cache(spark):
     cache = spark.createDataFrame(pd.DataFrame({"hash": ["x"], "embedding": [[0.0]]}), "hash string, embedding array<double>")
     out, new = vault.embed_with_cache(texts, cache, values.hash_embedding)
     assert out.where("embedding is not null").count() == 3 and new.count() == 2
+
+
+def test_fragments(spark):
+    from remembrane.operators import observing
+
+    kind = "nodes array<struct<id:string>>, edges array<struct<source:string,target:string>>"
+    df = spark.createDataFrame([([("a",), ("a",), ("",)], [("a", "z")]), ([("a",)], [])], kind)
+    got = [r[0] for r in df.select(observing.fragment_violations(F.col("nodes"), F.col("edges"))).collect()]
+    assert got == [["bad id", "id given twice", "edge without node"], []]
+    n = spark.createDataFrame([(1, "a", "Alpha", "entity"), (1, "r", "Because it is long enough to be a whole sentence here.", "rationale"), (1, "", "x", "entity")], "fragment int, id string, label string, type string")
+    e = spark.createDataFrame([(1, "r", "a")], "fragment int, source string, target string")
+    kept, left = observing.sanitize_fragment(n, e)
+    assert [(r.id, r.rationale[:7]) for r in kept.collect()] == [("a", "Because")] and left.count() == 0
+
+
+def test_snapshot_stream(spark, tmp_path):
+    from remembrane.engine import Memory
+    from remembrane.streaming.ingest import reconcile_snapshots
+
+    box = tmp_path / "in"
+    box.mkdir()
+    for i, keys in enumerate((["a", "b"], ["b"]), 1):
+        entities = ",".join(f'{{"kind":"k","key":"{k}"}}' for k in keys)
+        (box / f"{i}.json").write_text(f'{{"source":"s","scope":"all","snapshotId":"s{i}","observedAt":"2024-0{i}-01","entities":[{entities}],"relations":[]}}')
+    m = Memory(spark, str(tmp_path / "memory"))
+    reconcile_snapshots(spark, str(box), m, str(tmp_path / "state"))
+    assert [r.item_key for r in m.entities(["k"]).collect()] == ["b"] and m.entities(["k"], at="2024-01-15").count() == 2
