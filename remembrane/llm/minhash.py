@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     keyed = materialize(keyed.join(shared, "key", "left_semi"), "buckets")
     sets = full_sets(rows_in, keyed.select(F.col("rep").alias("doc_id")).distinct(), size)
-    sizes = sets.select(F.col("doc_id").alias("rep"), "n").distinct()
+    sizes = materialize(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "sizes")
 
     # rows that repeat a doc_id with other texts join their classes
     least = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b <> z").select("doc_id", "b")
@@ -170,8 +170,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         placed = keyed.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *centre(turn)).where("lo <> hi").drop("lo", "hi")
         met = placed.join(split, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        near = met.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        pairs = near.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")).groupBy("a", "b").agg(F.lit(1).alias("x")).select("a", "b")
+        # no aggregate above these joins, so that adaptive execution can split them at a centre of many
+        side = lambda end: sizes.select(F.col("rep").alias(end), F.col("lo").alias(f"lo_{end}"), F.col("hi").alias(f"hi_{end}"))
+        near = materialize(met, "met").join(side("a"), "a").join(side("b"), "b")
+        pairs = near.where(F.lit(100) * F.least("hi_a", "hi_b") >= F.lit(percent) * F.greatest("lo_a", "lo_b")).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")

@@ -192,7 +192,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, order: int = ORDER, most
                 grams, begins, words, first = symbol_stream(*text_bytes(part.column("text")), order)
                 for kind, keys, at in ((GRAM, grams, begins), (WORD, words, first)):
                     held[kind] += tally(keys, np.repeat(train, np.diff(at)))
-                    if sum(len(k) for k, _ in held[kind]) > 6_000_000:
+                    if sum(len(k) for k, _ in held[kind]) > 3_000_000:
                         squeeze(kind)
         if current is not None:
             yield from flush()

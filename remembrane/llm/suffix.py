@@ -173,7 +173,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     found = materialize(docs.select("k", "uid", "text").mapInArrow(runs, "k long, uid long, a long, n long, anchor long, around long"), "runs")
     met = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike"))
-    met = materialize(found.join(met, "anchor"), "met")
+    # a table of its own, so that adaptive execution can split the join at a frequent anchor
+    met = materialize(found.join(materialize(met, "anchors"), "anchor"), "met")
     alike = met.where("alike").select("k", "uid", "a", "n", F.lit(True).alias("whole"), F.lit(0).cast("long").alias("anchor"), F.lit(False).alias("ships"))
     other = met.where("not alike")
     # of runs with equal bytes one stands for all
