@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text's tokens are its runs of non-space characters, in pieces of at most six from each run's start. A k-mer is five
+A text's tokens are its runs of non-space characters, in pieces of at most four from each run's start. A k-mer is five
 tokens in a row, its inner substrings are the four pairs in it, each as a hash. It is a closed syncmer if the smallest
 pair is the first or the last one. That depends on the k-mer alone, so equal passages give equal anchors whatever lies
-around them. Marks before the first and after the last token let the shortest texts have anchors, too.
+around them. Four marks before the first and after the last token let the shortest texts have anchors, too: of the pairs
+of opening marks the first is the smallest, of the closing ones the last, so the first and the last token have an anchor.
 
 A fingerprint is the smallest `SKETCH` distinct anchor hashes of the whole text (32 bits each, in hex); likeness is the
 share of the smallest hashes of both together that both have, which estimates how much of their anchors they share.
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import range_bounds, whole_text
 
 SKETCH = 128
-PIECE = r"\S{1,6}"
-OPEN, CLOSE = (11, 12, 13), (21, 22, 23)
+PIECE = r"\S{1,4}"
+OPEN, CLOSE = (1, 2, 3, 4), (2, 3, 4, 5)
 
 
 def with_pairs(df: DataFrame, text: str, out: str) -> DataFrame:
