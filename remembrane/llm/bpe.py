@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -40,6 +41,7 @@ class ByteBpe:
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
         encode, merge, dtype = self.tokenizer.encode, self.tokenizer.model.tokenize, self.dtype
+        letter = "H" if dtype.itemsize == 2 else "I"
 
         class Memo(dict):
             def __missing__(self, unit):
@@ -50,7 +52,8 @@ class ByteBpe:
                 elif m[2]:
                     ids = self[m[1]] + self[m[2]]
                 else:  # one pre-token: straight to the library's merges
-                    ids = np.array([x.id for x in merge(unit.encode().decode("latin-1").translate(SIGNS))], dtype).tobytes()
+                    found = merge(unit.replace(" ", SIGNS[0x20]) if unit.isascii() else unit.encode().decode("latin-1").translate(SIGNS))
+                    ids = pack(f"<{len(found)}{letter}", *[x.id for x in found])
                 self[unit] = ids
                 return ids
 
