@@ -238,13 +238,16 @@ def er_candidates(spark, d):
 
 @query()
 def er_components(spark, d):
+    """Names that are alike to 88 percent, whatever their length: all names here are short, which by themselves never merge."""
     names = read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label"))
-    pairs = entities.decide(entities.label_pairs(names)).where("decision = 'merge'").select(F.lit(0).alias("g"), "a", "b")
+    pairs = entities.decide(entities.label_pairs(names)).where("score >= 88").select(F.lit(0).alias("g"), "a", "b")
     known = names.select(F.lit(0).alias("g"), F.lower("label").alias("key"), F.array().cast("array<string>").alias("identity")).distinct()
     return entities.guarded_components(pairs, known, "g")
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT lower(p_name) AS l FROM part), g AS (SELECT l, list_distinct(list_transform(generate_series(1, greatest(length(l) - 2, 1)), lambda i: substr(l, i, 3))) AS s FROM n)
+SELECT a.l AS a, b.l AS b, round(len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE), 6) AS similarity FROM g a JOIN g b ON a.l < b.l
+WHERE round(len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE), 6) >= 0.5""")
 def er_shingle_pairs(spark, d):
     return entities.similar_by_shingles(read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label")), 0.5)
 

@@ -219,7 +219,12 @@ def context_sections(spark, d):
     return read(spark, d, "documents").groupBy(section.alias("section")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT lang, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY lang ORDER BY length(text), doc_id) AS r, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 3.0) AS BIGINT)) END AS t FROM documents QUALIFY r <= 40),
+s AS (SELECT *, CASE WHEN r <= 3 THEN 'current' WHEN r <= 20 THEN 'facts' ELSE 'documents' END AS section FROM i),
+f AS (SELECT lang, id, section, r, CASE WHEN t <= 2000 THEN t ELSE 2000 END AS tokens, true AS kept, 2000 - CASE WHEN t <= 2000 THEN t ELSE 2000 END AS remaining FROM s WHERE r = 1
+UNION ALL SELECT s.lang, s.id, s.section, s.r, CASE WHEN s.t <= remaining OR NOT (s.section = 'current' AND remaining > 0) THEN s.t ELSE remaining END, s.t <= remaining OR (s.section = 'current' AND remaining > 0),
+remaining - CASE WHEN s.t <= remaining THEN s.t WHEN s.section = 'current' THEN remaining ELSE 0 END FROM f JOIN s ON s.lang = f.lang AND s.r = f.r + 1)
+SELECT lang, id, section, tokens, kept FROM f""")
 def context_budget(spark, d):
     """A pack for each language: its 40 shortest documents as items, 2000 tokens."""
     docs = read(spark, d, "documents")
