@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import read
-from ..storage import shared_folder
+from ..storage import new_path
 from ..streaming import ingest
 from .registry import query
 
 
 def streamed(spark, d, shape, mode="append"):
     """The events table as a stream through `shape`, run to its end into a table; mode complete: the last batch's state."""
-    from uuid import uuid4
-
     schema = read(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     shaped = shape(source.withColumn("ts", F.col("ts").cast("timestamp")))
-    target = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    target = new_path(spark, "stream")
     if mode == "append":
         ingest.run_available(shaped, f"{target}/out", f"{target}/state")
     else:

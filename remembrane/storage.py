@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 from uuid import uuid4
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 OWN = "spark.remembrane.shared"
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,8 +22,29 @@ def shared_folder(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a table that is dropped when the driver's Python ends, or by drop_tables."""
+    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def drop_tables() -> None:
+    """Delete the tables written so far; what was derived from them can't be computed any more."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except (Py4JError, OSError, AttributeError):  # the JVM has gone; its folder is the cluster's to clean
+            return
+
+
+atexit.register(drop_tables)
+
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written to the shared folder and read again: lost executors cost no rework of what came before."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
