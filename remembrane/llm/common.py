@@ -1,40 +1,21 @@
-"""What the operators share: the shared folder, tables that cut lineage, views of Arrow text as bytes."""
+"""What the operators share: tables that cut lineage, views of Arrow text as bytes, hashes and words of it."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut_lineage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.remembrane.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="remembrane-")
-        spark.conf.set("spark.remembrane.dir", found)
-    return found.rstrip("/")
 
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there and lost executors cost no rework."""
-    spark, path = df.sparkSession, table_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: lineage ends there and lost executors cost no rework."""
+    return cut_lineage(df, name)
 
 
 def whole_text(df: DataFrame, column: str = "text"):
