@@ -178,7 +178,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     alike = met.where("alike").select("k", "uid", "a", "n", F.lit(True).alias("whole"), F.lit(0).cast("long").alias("anchor"), F.lit(False).alias("ships"))
     other = met.where("not alike")
     # of runs with equal bytes one stands for all
-    kinds = other.groupBy("anchor", "around").agg(F.count("*").alias("c"), F.min(F.struct("uid", "k", "a")).alias("first"))
+    kinds = materialize(other.groupBy("anchor", "around").agg(F.count("*").alias("c"), F.min(F.struct("uid", "k", "a")).alias("first")), "kinds")
     other = other.join(kinds, ["anchor", "around"]).select("k", "uid", "a", "n", (F.col("c") > 1).alias("whole"), "anchor", (F.struct("uid", "k", "a") == F.col("first")).alias("ships"))
     info = alike.unionByName(other).groupBy("k", "uid").agg(
         F.collect_set(F.struct("a", "n", "whole", "anchor", "ships")).alias("runs"),
