@@ -67,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_targets": OP1_SQL, "op5_minhash_oph": OP5_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op1_chat_prefix_targets": OP1_SQL, "op5_minhash_oph": OP5_SQL, "op9_exact_topk": OP9_SQL, "op10_suffix_intervals": OP10_SQL}
 
 
 OP1_SQL = """
@@ -123,3 +123,23 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) c ON c.node = d.doc_id
 """
+
+#: Windows are compared by a 64-bit hash here.
+OP10_SQL = """
+WITH h AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), st AS (
+  SELECT r, i, hash(array_slice(x, 2 * i + 1, 2 * i + 400)) AS g FROM h, LATERAL (SELECT unnest(range(0, n - 199)) AS i) WHERE n >= 200
+), d AS (
+  SELECT g FROM st GROUP BY g HAVING count(*) > 1
+), m AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM st SEMI JOIN d USING (g)
+), s AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM m) GROUP BY r, k
+), c AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM s GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN c.r IS NULL THEN x ELSE list_aggregate(list_transform(range(1, len(starts) + 2), lambda j: CASE WHEN j = 1 THEN substr(x, 1, 2 * starts[1]) WHEN j <= len(starts) THEN substr(x, 2 * ends[j - 1] + 1, 2 * (starts[j] - ends[j - 1])) ELSE substr(x, 2 * ends[j - 1] + 1) END), 'string_agg', '') END)) AS kept_sha256
+FROM h LEFT JOIN c USING (r)
+"""
