@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PolyHash, arrow_pieces, materialize, mix64, text_bytes, whole_text, word_spans
@@ -167,9 +167,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     component = connected_components(links)
     tried = None
     for turn in range(ROUNDS):
-        placed = keyed.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *centre(turn)).where("lo <> hi").drop("lo", "hi")
-        met = placed.join(split, "key").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        placed = place(keyed, component)
+        split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), centre(turn)).where("lo <> hi").select("key", "centre.*")
+        held = materialize(placed.join(split, "key"), "held")
+        if not held.limit(1).count():
+            break
+        # a centre meets all others of its bucket now, so it leaves: pairs not tried are those of the members that stay
+        keyed = held.where("rep <> centre").select("rep", "key")
+        met = held.where("component <> other").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         # no aggregate above these joins, so that adaptive execution can split them at a centre of many
         side = lambda end: sizes.select(F.col("rep").alias(end), F.col("lo").alias(f"lo_{end}"), F.col("hi").alias(f"hi_{end}"))
         near = materialize(met, "met").join(side("a"), "a").join(side("b"), "b")
@@ -178,7 +183,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.limit(1).count():
-            break
+            continue  # other centres can have some
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = confirm(pairs, sets, percent)
         if new.limit(1).count():
@@ -190,13 +195,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
-def centre(turn: int) -> list:
-    """The member of a bucket that all others are compared with: another in each round."""
+def place(keyed: DataFrame, component: DataFrame) -> DataFrame:
+    """keyed (rep, key) with the component of each rep; without links it is the rep itself."""
+    placed = keyed.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return placed.withColumn("component", F.coalesce("component", "rep"))
+
+
+def centre(turn: int) -> Column:
+    """The member of a bucket that all others are compared with, and its component: first the ends of the bucket, which
+    buckets that overlap have in common, then members that differ from bucket to bucket."""
+    chosen = F.struct(F.col("rep").alias("centre"), F.col("component").alias("other"))
     if turn == 0:
-        return [F.min("rep").alias("centre")]
+        return F.min(chosen).alias("centre")
     if turn == 1:
-        return [F.max("rep").alias("centre")]
-    return [F.min_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("centre")]
+        return F.max(chosen).alias("centre")
+    return F.min_by(chosen, F.xxhash64(F.lit(turn), "key", "rep")).alias("centre")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

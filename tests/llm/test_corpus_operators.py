@@ -6,11 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from remembrane.llm import minhash, ppm, quality, queries, suffix, syncmers, topk
+from remembrane.llm.common import text_bytes
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -157,6 +159,24 @@ def test_groups_of_many_copies(spark, make):
     assert all(got[i] == 0 for i, _ in rows[:200]) and all(got[500 + i] == 500 + i for i in range(50))
 
 
+def in_one_bucket(tails):
+    """(doc_id, text) for each (doc_id, tail): a common beginning that gives all of them both buckets of two bins."""
+    for seed in range(1000):
+        rows = [(i, " ".join([f"s{seed}w{k}" for k in range(40)] + tail)) for i, tail in tails]
+        raw, offsets = text_bytes(pa.array([t for _, t in rows]))
+        keys = minhash.band_keys(minhash.signatures(*minhash.shingle_sets(raw, offsets, 1), 2), 1)
+        if (keys == keys[0]).all():
+            return rows
+    raise AssertionError("no seed")
+
+
+def test_empty_round_does_not_end_the_rounds(spark, make):
+    tail = [f"t{k}" for k in range(20)]
+    rows = in_one_bucket([(1, [f"a{k}" for k in range(20)]), (2, tail), (3, [*tail[:-1], "x"]), (4, [])])  # 4 is too short for all
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(rows), size=1, bands=2, rows=1).collect()}
+    assert got == brute_components(rows, 1, 80) == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
 def test_chain_links(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.component for r in minhash.connected_components(e).collect()}
