@@ -5,7 +5,8 @@ bins; a bin's smallest hash is its value, and an empty bin takes the value of an
 number and the attempt, again and again until that bin is not empty (optimal densification). Bins in bands of a few
 give bucket keys; in a bucket all members are joined to one centre only, so a bucket of n gives n - 1 candidates.
 Candidates are confirmed on full sets. Buckets whose members are still in different components then get another centre,
-so that members that the first one did not link are compared as well.
+so that members that the first one did not link are compared as well. What a few centres leave open is settled by an
+exact prefix filter over the members of the buckets that are left.
 
 Documents with equal sets are one class from the start and only its smallest doc_id is compared with others.
 """
@@ -131,6 +132,42 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(full.mapInArrow(agree, "a long, b long"), "links")
 
 
+def exact_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in rest (rep, component), among them each whose sets agree to percent.
+
+    A prefix filter: with each set in one order, rarest hashes first, two sets that agree have their first common hash
+    early in both, in the smaller one earlier still. Of a hash's sets only those outside its most frequent component
+    are joined with all, so that a large component is not paired with itself.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = pa.array(np.frombuffer(row["s"], np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(t), row[c])) for c in ("rep", "component", "sid", "n")), t], ["rep", "component", "sid", "n", "t"])
+
+    own = rest.join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("sid", F.xxhash64("rep", "s")).dropDuplicates(["rep", "sid"])
+    each = materialize(own.select("rep", "component", "sid", "n", "s").mapInArrow(unpack, "rep long, component long, sid long, n long, t long"), "hashes")
+    # a hash of one set comes first in it and is in no other
+    common = each.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    counted = materialize(each.join(common, "t"), "common")
+    of_set = Window.partitionBy("rep", "sid")
+    at = F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("df", "t")) - 1
+    ranked = counted.withColumn("left", F.col("n") - at).drop("df", "sid").where(F.lit(100) * F.col("left") >= F.lit(percent) * F.col("n"))
+    ranked = materialize(ranked, "prefixes")
+    votes = ranked.groupBy("t", "component").agg(F.count("*").alias("c"))
+    split = votes.groupBy("t").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("most")).where("k > 1").select("t", "most")
+    ranked = materialize(ranked.join(split, "t"), "prefixes")
+    end = lambda rows, name: rows.select("t", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "component", "n", "left")))
+    small = ranked.where(F.lit(100 + percent) * F.col("left") >= F.lit(2 * percent) * F.col("n"))
+    most, other = F.col("component") == F.col("most"), F.col("component") != F.col("most")
+    agree = F.lit(100 + percent) * F.least("left_x", "left_y") >= F.lit(percent) * (F.col("n_x") + F.col("n_y"))
+    sized = (F.col("n_x") <= F.col("n_y")) & (F.lit(100) * F.col("n_x") >= F.lit(percent) * F.col("n_y"))
+    met = [end(x, "x").join(end(y, "y"), "t").where(sized & agree & (F.col("component_x") != F.col("component_y"))) for x, y in ((small.where(other), ranked), (small.where(most), ranked.where(other)))]
+    found = materialize(met[0].unionByName(met[1]).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")), "found")
+    return found.distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are left out).
 
@@ -189,6 +226,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         if new.limit(1).count():
             links = links.unionByName(new)
             component = connected_components(links)
+    placed = place(keyed, component)
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rest = materialize(placed.join(split, "key").select("rep", "component").distinct(), "rest")
+    if rest.limit(1).count():
+        pairs = exact_pairs(rest, sets, percent)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        new = confirm(materialize(pairs, "pairs"), sets, percent)
+        if new.limit(1).count():
+            component = connected_components(links.unionByName(new))
     placed = members.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
     component_id = F.coalesce("component", "doc_id")

@@ -177,6 +177,30 @@ def test_empty_round_does_not_end_the_rounds(spark, make):
     assert got == brute_components(rows, 1, 80) == {1: 1, 2: 2, 3: 2, 4: 4}
 
 
+def test_more_groups_in_a_bucket_than_rounds(spark, make):
+    tail = lambda g, changed: [f"g{g}t{k}" for k in range(20)][changed:] + [f"g{g}c{changed}n{k}" for k in range(changed)]
+    rows = in_one_bucket([(10 * g + c, tail(g, c)) for g in range(1, 13) for c in (0, 1, 9)])  # 0 and 1 agree, 1 and 9 do not
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(rows), size=1, bands=2, rows=1).collect()}
+    want = brute_components(rows, 1, 80)
+    assert got == want and got[11] == 10 and got[121] == 120 and got[19] == 19
+
+
+def test_exact_pairs_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    sets = {i: np.unique(rng.choice(60, rng.integers(1, 50), replace=False)).astype(np.uint64) for i in range(150)}
+    for i in range(150, 300):
+        old = sets[i - 150]
+        sets[i] = np.unique(np.concatenate([old[rng.random(len(old)) > 0.1], rng.choice(60, 1).astype(np.uint64)]))
+    held = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in sets.items()], "doc_id long, n long, s binary")
+    for group in (1, 7):  # components of one document, and of some
+        rest = spark.createDataFrame([(i, i // group) for i in sets], "rep long, component long")
+        pairs = minhash.exact_pairs(rest, held, 80)
+        got = {(r.a, r.b) for r in minhash.confirm(pairs, held, 80).collect()}
+        both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        want = {(a, b) for a in sets for b in sets if a < b and a // group != b // group and 100 * both(a, b) >= 80 * (len(sets[a]) + len(sets[b]) - both(a, b))}
+        assert got == want and len(want) > 50
+
+
 def test_chain_links(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.component for r in minhash.connected_components(e).collect()}
