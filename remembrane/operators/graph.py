@@ -191,4 +191,5 @@ def subgraph_text(nodes: DataFrame, edges: DataFrame, token_budget: int = 2000,
     lines = nodes.select(F.lit(0).alias("o"), "natural_key", F.concat(F.lit("NODE "), "natural_key", F.lit(" "), "title").alias("line"))
     lines = lines.unionByName(edges.select(F.lit(1).alias("o"), F.concat_ws("|", "src", "type", "dst").alias("natural_key"), F.concat(F.lit("EDGE "), "src", F.lit(" -"), "type", F.lit("-> "), "dst").alias("line")))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "natural_key", "line"))), lambda x: x["line"]), "\n")
-    return lines.limit(token_budget * per_token).agg(F.substr(whole, F.lit(1), F.lit(token_budget * per_token)).alias("text"))
+    # a line has a character at least, so later ones are beyond the budget; a node without a title has none
+    return lines.where("line is not null").orderBy("o", "natural_key", "line").limit(token_budget * per_token).agg(F.substr(whole, F.lit(1), F.lit(token_budget * per_token)).alias("text"))

@@ -272,3 +272,10 @@ def test_snapshot_stream(spark, tmp_path):
     m = Memory(spark, str(tmp_path / "memory"))
     reconcile_snapshots(spark, str(box), m, str(tmp_path / "state"))
     assert [r.item_key for r in m.entities(["k"]).collect()] == ["b"] and m.entities(["k"], at="2024-01-15").count() == 2
+
+
+def test_subgraph_text_beyond_the_budget_is_cut_by_key(spark):
+    n = spark.range(400).select(F.format_string("k%03d", 399 - F.col("id")).alias("natural_key"), F.lit("t").alias("title"))
+    e = spark.createDataFrame([], "src string, type string, dst string")
+    got = graph.subgraph_text(n.repartition(4), e, token_budget=30).first()["text"]
+    assert got == "\n".join(f"NODE k{i:03} t" for i in range(400))[:90]
