@@ -56,7 +56,7 @@ def identity_keys(props: Column, fields: tuple[str, ...] = ("inn", "ogrn", "emai
 
 
 def blocks(nodes: DataFrame, k: int = 3) -> DataFrame:
-    """key, label, block: labels in blocks by their rarer character grams, here by first gram, last gram and initials of words."""
+    """key, label, block: labels in blocks by first gram, last gram and initials of words."""
     n = nodes.select("key", label_norm(F.col("label")).alias("label")).where(F.length("label") > 0)
     initials = F.array_join(F.transform(F.split("label", " "), lambda w: F.substr(w, F.lit(1), F.lit(2))), "")
     keys = F.array(F.concat(F.lit("p"), F.substr("label", F.lit(1), F.lit(k))), F.concat(F.lit("s"), F.substring("label", -k, k)), F.concat(F.lit("i"), initials))
@@ -64,12 +64,13 @@ def blocks(nodes: DataFrame, k: int = 3) -> DataFrame:
 
 
 def label_pairs(nodes: DataFrame, least: float = DOUBTFUL) -> DataFrame:
-    """a, b, score: different labels that meet in a block and are at least so similar, in percent.
+    """a, b, score: different labels that meet in a block, or share 0.7 of their character grams, and are at least so similar, in percent.
 
     Equal labels are one row from the start, so pairs are of labels, not of nodes.
     """
     labels = blocks(nodes).select("label", "block").distinct()
-    pairs = labels.select(F.col("label").alias("a"), "block").join(labels.select(F.col("label").alias("b"), "block"), "block").where("a < b").select("a", "b").distinct()
+    pairs = labels.select(F.col("label").alias("a"), "block").join(labels.select(F.col("label").alias("b"), "block"), "block").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(similar_by_shingles(nodes).select("a", "b")).distinct()
     scored = pairs.withColumn("score", F.round(100 * jaro_winkler("a", "b"), 6)).where(F.col("score") >= least)
     return scored.where(~is_variant_pair(F.col("a"), F.col("b")))
 

@@ -279,3 +279,10 @@ def test_subgraph_text_beyond_the_budget_is_cut_by_key(spark):
     e = spark.createDataFrame([], "src string, type string, dst string")
     got = graph.subgraph_text(n.repartition(4), e, token_budget=30).first()["text"]
     assert got == "\n".join(f"NODE k{i:03} t" for i in range(400))[:90]
+
+
+def test_label_pairs_that_share_grams_but_no_block(spark):
+    n = spark.createDataFrame([(1, "the northern lights observatory"), (2, "a northern lights observatories"), (3, "some other place")], "key bigint, label string")
+    blocked = entities.blocks(n)
+    assert blocked.groupBy("block").count().where("count > 1").count() == 0
+    assert [(r.a, r.b) for r in entities.label_pairs(n).collect()] == [("a northern lights observatories", "the northern lights observatory")]
