@@ -277,6 +277,16 @@ def test_bounds_hold():
         assert (topk.segment_stats(q, s) @ topk.segment_stats(x, s).T >= q @ x.T - 1e-6).all()
 
 
+def test_bounds_prune_what_is_far():
+    r = np.random.default_rng(0)
+    x = np.floor(r.normal(size=(40, 64))[r.integers(0, 40, 6000)] * 10 + r.normal(size=(6000, 64)) * 2).astype(np.int64)
+    ids = np.arange(len(x))
+    pairs, *left = topk.prune_counts(ids[::20], x[::20], ids, x, 20).tolist()
+    assert pairs == 300 * 6000 and left == sorted(left, reverse=True) and left[-1] < 0.02 * pairs
+    flat = topk.prune_counts(ids[::20], np.ones((300, 64), np.int64), ids, np.ones((6000, 64), np.int64), 20)
+    assert flat.tolist() == [300 * 6000] * 4  # all ties survive
+
+
 # repeats
 
 
