@@ -1,13 +1,16 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text's tokens are its runs of non-space characters, in pieces of at most four from each run's start. A k-mer is five
-tokens in a row, its inner substrings are the four pairs in it, each as a hash. It is a closed syncmer if the smallest
-pair is the first or the last one. That depends on the k-mer alone, so equal passages give equal anchors whatever lies
-around them. Four marks before the first and after the last token let the shortest texts have anchors, too: of the pairs
-of opening marks the first is the smallest, of the closing ones the last, so the first and the last token have an anchor.
-
-A fingerprint is the smallest `SKETCH` distinct anchor hashes of the whole text (32 bits each, in hex); likeness is the
-share of the smallest hashes of both together that both have, which estimates how much of their anchors they share.
+A k-mer is k code points in a row, its inner substrings are the k - s + 1 runs of s code points in it, each as a hash.
+It is a closed syncmer if the smallest of them is the first or the last one. That depends on the k-mer alone, so equal
+passages give equal anchors whatever lies around them, in text with or without spaces. A text's first and last k - 1
+code points are anchors, too. Texts of fewer than `LONG` code points have shorter k-mers, and those too short for one
+are a single anchor.
+
+A fingerprint holds every anchor of the whole text with its place, as `place:hash` in hex. Likeness is by positional
+matching: each hash's first places in both texts give a shift, a shift that another anchor has as well is a match, and
+the likeness is the share of matched hashes among all of both.
+
+An anchor is a 64-bit number here: its place, then 32 bits of hash.
 """
 
 from __future__ import annotations
@@ -15,63 +18,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import range_bounds, whole_text
+from .common import input_parts, range_bounds, whole_text
 
-SKETCH = 128
-PIECE = r"\S{1,4}"
-OPEN, CLOSE = (1, 2, 3, 4), (2, 3, 4, 5)
+K, S = 32, 8
+LONG, SHORT_K, SHORT_S = 64, 8, 3
+NONE = "cast(array() as array<bigint>)"
+LOW = 0xFFFFFFFF
 
 
-def with_pairs(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds `out`: the hash of each pair of neighbouring tokens, marks included; empty where the text has no token."""
-    tokens = F.transform(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)), lambda t: F.xxhash64(t))
-    marks = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
-    df = df.withColumn("__h", tokens).withColumn("__h", F.when(F.size("__h") > 0, F.concat(marks(OPEN), F.col("__h"), marks(CLOSE))).otherwise(F.expr("array(bigint(0))")))
-    following = F.slice("__h", F.lit(2), F.size("__h") - 1)
-    return df.withColumn(out, F.zip_with(F.slice("__h", F.lit(1), F.size("__h") - 1), following, lambda a, b: F.xxhash64(a, b))).drop("__h")
+def code_points(text: Column) -> Column:
+    """Four bytes for each code point."""
+    return F.encode(text, "UTF-32")
 
 
-def with_syncmers(df: DataFrame, pairs: str, out: str) -> DataFrame:
-    """Adds `out`: array of (pos, hash), the closed syncmers and the number of the token (marks included) they begin at."""
-    g = F.col(pairs)
-    at = lambda i: F.get(g, i)
-    every = F.transform(F.sequence(F.lit(0), F.size(g) - 4), lambda i: F.when(F.least(at(i), at(i + 3)) <= F.least(at(i + 1), at(i + 2)), F.struct(i.alias("pos"), F.shiftrightunsigned(F.xxhash64(at(i), at(i + 1), at(i + 3)), 32).alias("hash"))))
-    return df.withColumn(out, F.when(F.size(g) >= 4, F.array_compact(every)).otherwise(F.expr("array()").cast("array<struct<pos:int,hash:bigint>>")))
+def anchor(pos: Column, points: Column, size, tag: int) -> Column:
+    """The anchor of `size` code points of a text that begin at pos."""
+    size = F.lit(size) if isinstance(size, int) else size
+    found = F.substring(points, (pos * 4 + 1).cast("int"), (size * 4).cast("int"))
+    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.lit(tag), found), 32))
+
+
+def place_of(x: Column) -> Column:
+    return F.shiftright(x, 32)
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds `out`: the smallest distinct anchor hashes of a text column, ascending."""
-    df = with_pairs(df, text, "__g")
-    g = F.col("__g")
+def with_syncmers(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
+    """Adds `out`: the closed syncmers of a text column in order of their places; none if it is shorter than k."""
+    df = df.withColumn("__b", code_points(F.col(text)))
+    b, size = F.col("__b"), F.octet_length("__b") / 4
+    hashes = F.transform(F.sequence(F.lit(0), (size - s).cast("int")), lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * s))))
+    df = df.withColumn("__g", F.when(size >= k, hashes).otherwise(F.expr(NONE)))
+    g, w = F.col("__g"), k - s
     at = lambda i: F.get(g, i)
-    hashes = F.transform(F.sequence(F.lit(0), F.size(g) - 4), lambda i: F.when(F.least(at(i), at(i + 3)) <= F.least(at(i + 1), at(i + 2)), F.shiftrightunsigned(F.xxhash64(at(i), at(i + 1), at(i + 3)), 32)))
-    kept = F.slice(F.array_sort(F.array_distinct(F.array_compact(hashes))), 1, SKETCH)
-    return df.withColumn(out, F.when(F.size(g) >= 4, kept).otherwise(F.expr("array()").cast("array<bigint>"))).drop("__g")
 
+    def closed(i: Column) -> Column:
+        left = right = None  # nested to the right, so that the first greater hash ends the test
+        for j in range(w, 0, -1):
+            mine, other = at(i) <= at(i + j), at(i + w) <= at(i + (w - j))
+            left = mine if left is None else mine & left
+            right = other if right is None else other & right
+        return left | right
+
+    places = F.filter(F.sequence(F.lit(0), F.size(g) - (w + 1)), closed)
+    return df.withColumn(out, F.when(F.size(g) > w, F.transform(places, lambda i: anchor(i, b, k, k))).otherwise(F.expr(NONE))).drop("__b", "__g")
+
+
+def ends(text: Column, k: int) -> tuple[Column, Column]:
+    """The anchors of a text's first and last k - 1 code points."""
+    size = F.length(text)
+    last = (size - (k - 1)).cast("long")
+    return anchor(F.lit(0).cast("long"), code_points(F.substring(text, F.lit(1), F.lit(k - 1))), k - 1, 1), F.shiftleft(last, 32).bitwiseOR(anchor(F.lit(0).cast("long"), code_points(F.substring(text, (last + 1).cast("int"), F.lit(k - 1))), k - 1, 2))
+
+
+def with_short(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds `out`: all anchors of a text of fewer than LONG code points."""
+    df = with_syncmers(df, text, "__s", SHORT_K, SHORT_S)
+    first, last = ends(F.col(text), SHORT_K)
+    size = F.length(text)
+    whole = F.array(anchor(F.lit(0).cast("long"), code_points(F.col(text)), size, 3))
+    found = F.when(size >= SHORT_K, F.concat(F.array(first), "__s", F.array(last))).when(size > 0, whole).otherwise(F.expr(NONE))
+    return df.withColumn(out, found).drop("__s")
 
-def hex_digest(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
+def with_anchors(df: DataFrame, text: str, out: str, inner: str | None = None) -> DataFrame:
+    """Adds `out`: all anchors of a text; and, as `inner`, the closed syncmers of length K if the text is shorter than LONG."""
+    short = F.length(text) < LONG
+    df = with_syncmers(df, text, "__i").withColumn("__t", F.when(short, F.col(text)).otherwise(""))
+    df = with_short(df, "__t", "__f")
+    first, last = ends(F.col(text), K)
+    if inner:
+        df = df.withColumn(inner, F.when(short, F.col("__i")).otherwise(F.expr(NONE)))
+    return df.withColumn(out, F.when(short, F.col("__f")).otherwise(F.concat(F.array(first), "__i", F.array(last)))).drop("__i", "__t", "__f")
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of the smallest hashes of both sketches together, the share that both have; 1 where both are empty."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.when(F.size(union) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union))
+
+def shifted(anchors: Column, by: Column) -> Column:
+    return F.transform(anchors, lambda x: x + F.shiftleft(by.cast("long"), 32))
+
+
+def digest(anchors: Column) -> Column:
+    """A fingerprint: the anchors as text."""
+    return F.array_join(F.transform(anchors, lambda x: F.lower(F.concat(F.hex(place_of(x)), F.lit(":"), F.lpad(F.hex(x.bitwiseAND(LOW)), 8, "0")))), " ")
+
+
+def with_firsts(df: DataFrame, anchors: str, out: str) -> DataFrame:
+    """Adds `out`: each hash with its first place, as one number (hash above), ascending."""
+    df = df.withColumn("__s", F.array_sort(F.transform(anchors, lambda x: F.shiftleft(x, 32).bitwiseOR(place_of(x)))))
+    s = F.col("__s")
+    fresh = lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.get(s, i - 1), 32))
+    return df.withColumn(out, F.filter(s, fresh)).drop("__s")
+
+
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds `out`: the likeness of two columns made by with_firsts; 1 where both are empty."""
+    # a hash in both stands in two neighbouring entries, the place in a first: places are doubled, those in b odd
+    side = lambda x, odd: F.shiftright(x, 32) * F.lit(1 << 32) + x.bitwiseAND(LOW) + odd * F.lit(1 << 31)
+    df = df.withColumn("__m", F.array_sort(F.concat(F.transform(a, lambda x: side(x, F.lit(0))), F.transform(b, lambda x: side(x, F.lit(1))))))
+    m = F.col("__m")
+    met = F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda i: F.shiftright(F.get(m, i), 32) == F.shiftright(F.get(m, i + 1), 32))
+    shifts = F.array_sort(F.transform(met, lambda i: F.get(m, i + 1) - F.get(m, i)))
+    df = df.withColumn("__d", F.when(F.size(m) > 1, shifts).otherwise(F.expr(NONE)))
+    d = F.col("__d")
+    backed = F.size(F.filter(d, lambda x, i: F.coalesce(F.get(d, i - 1) == x, F.lit(False)) | F.coalesce(F.get(d, i + 1) == x, F.lit(False))))
+    df = df.withColumn("__n", F.when(F.least(F.size(a), F.size(b)) > 1, backed).otherwise(F.size(d)))
+    return df.withColumn(out, F.when(F.size(m) == 0, 1.0).otherwise(F.col("__n") / (F.size(m) - F.col("__n")))).drop("__m", "__d", "__n")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
     """doc_id, pos, hash: a row for each anchor of each document (null text is empty and has none)."""
-    rows = with_syncmers(with_pairs(docs.select("doc_id", whole_text(docs).alias("text")), "text", "__g").drop("text"), "__g", "__s")
-    return rows.select("doc_id", F.explode("__s").alias("s")).select("doc_id", "s.pos", "s.hash")
+    rows = with_anchors(docs.select("doc_id", whole_text(docs).alias("text")), "text", "__a")
+    return rows.select("doc_id", F.explode("__a").alias("x")).select("doc_id", place_of(F.col("x")).alias("pos"), F.col("x").bitwiseAND(LOW).alias("hash"))
 
 
-def positional_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_id, right_id, shift, n: anchors that two sets of documents share, counted by the distance of their places.
-
-    Meant for stated sets of documents: its rows grow with the product of how often an anchor stands on each side.
-    """
-    pairs = left.select(F.col("doc_id").alias("left_id"), F.col("pos").alias("p"), "hash").join(right.select(F.col("doc_id").alias("right_id"), F.col("pos").alias("q"), "hash"), "hash")
-    return pairs.groupBy("left_id", "right_id", (F.col("q") - F.col("p")).alias("shift")).agg(F.count("*").alias("n"))
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most key, by a search in two steps."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    array = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
+    heads, groups = array(bounds[::step]), F.array(*(array(bounds[i : i + step]) for i in range(0, len(bounds), step)))
+    below = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    group = below(heads)
+    return F.when(group == 0, 0).otherwise((group - 1) * step + below(F.get(groups, group - 1)))
 
 
 def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -79,16 +146,18 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many (or all) of
     the next document in descending doc_id order, the last one's next being the first; a single row is its own next.
-    Rows that share a doc_id are ordered by text, a null doc_id comes last, null text is empty. Other columns are left
-    out. Rows are dealt to ranges of doc_id (twice the shuffle partitions, or `parts`), and each range also gets a copy
-    of the first row of the next one, so that one shuffle brings neighbours together.
+    Rows that share a doc_id are ordered by text, a null doc_id comes last, null text is empty and has the empty
+    fingerprint; two empty ones have likeness 1. Equal shifts are interchangeable, so ties need no order. Other columns
+    are left out. Rows are dealt to ranges of doc_id (by default two for each split of the input, two for each shuffle
+    partition at least), and each range also gets a copy of the first row of the next one, so that one shuffle brings
+    neighbours together. Anchors don't depend on what is around, so those of the edited text are those of its two parts
+    but for the k-mers across their seam; each text's are computed once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    bounds = range_bounds(rows, "doc_id", parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    limits = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.expr("array()").cast("array<bigint>")
-    rows = rows.withColumn("bucket", F.size(F.filter(limits, lambda b: b <= F.col("k"))))
+    bounds = range_bounds(rows, "doc_id", parts or 2 * max(input_parts(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.withColumn("bucket", range_of(F.col("k"), bounds))
 
     heads = rows.groupBy("bucket").agg(F.max("k").alias("k"))  # a row for each range
     first = rows.join(F.broadcast(heads), ["bucket", "k"]).groupBy("bucket", "k", "doc_id").agg(F.min("text").alias("text"))
@@ -98,13 +167,33 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
     dealt = rows.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)).select("doc_id", "text", "k", "bucket", "copy"))
 
     order = Window.partitionBy("bucket").orderBy("copy", F.desc("k"), "text")
-    dealt = dealt.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
+    dealt = dealt.withColumn("place", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
     size = F.length("text")
-    cut = F.floor(size / 3).cast("int")
-    dealt = dealt.withColumn("edited", F.concat(F.substring("text", F.lit(1), size - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut)))
-    dealt = dealt.select("doc_id", "bucket", "copy", "k", "place", "text", F.when(F.col("copy") == 0, F.col("edited")).otherwise("").alias("edited"))
-    dealt = with_sketch(with_sketch(dealt, "text", "a"), "edited", "e")
-    dealt = dealt.select("doc_id", "bucket", "copy", "place", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", "e")
-    following = F.lead("a").over(Window.partitionBy("bucket").orderBy("place"))
-    dealt = dealt.withColumn("b", following).where("copy = 0")
-    return dealt.select("doc_id", "n_chars", "edited_sha256", hex_digest(F.col("a")).alias("fingerprint"), hex_digest(F.col("e")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("b")).alias("near_next"))
+    dealt = dealt.withColumn("stays", (size - F.floor(size / 3)).cast("int"))
+    dealt = dealt.withColumn("comes", F.least(size - F.col("stays"), F.length("next")).cast("int"))
+    edited = F.when(F.col("copy") == 0, F.concat(F.substring("text", F.lit(1), F.col("stays")), F.substring("next", F.lit(1), F.col("comes")))).otherwise("")
+    dealt = with_anchors(dealt.withColumn("edited", edited).drop("next"), "text", "a", "inner")
+    # of the edited text: whole if short, else what lies at most K - 1 code points on either side of the seam
+    short = F.length("edited") < LONG
+    seam = F.greatest(F.col("stays") - (K - 1), F.lit(0))
+    across = F.substring("edited", seam + 1, F.least(F.col("stays"), F.lit(K - 1)) + F.least(F.col("comes"), F.lit(K - 1)))
+    head, tail = ends(F.col("edited"), K)
+    dealt = dealt.select(
+        "doc_id", "bucket", "copy", "place", "a", "inner", "stays", "comes", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        short.alias("short"), F.when(short, F.col("edited")).otherwise("").alias("small"), F.when(short, "").otherwise(across).alias("across"), seam.alias("seam"), head.alias("head"), tail.alias("tail"),
+    )
+    dealt = with_short(with_syncmers(dealt, "across", "mid"), "small", "small_a").drop("small", "across")
+    following = Window.partitionBy("bucket").orderBy("place")
+    for c in ("a", "inner"):
+        dealt = dealt.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(following), F.expr(NONE)))
+    dealt = dealt.withColumn("next_n", F.coalesce(F.lead("n_chars").over(following), F.lit(0))).where("copy = 0")
+    long = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 2, F.lit(0)))  # noqa: E731  without the two ends
+    kept = F.filter(long(F.col("a")), lambda x: place_of(x) + K <= F.col("stays"))
+    theirs = F.when(F.col("next_n") < LONG, F.col("next_inner")).otherwise(long(F.col("next_a")))
+    added = F.filter(theirs, lambda x: place_of(x) + K <= F.col("comes"))
+    joined = F.concat(F.array("head"), kept, shifted(F.col("mid"), F.col("seam")), shifted(added, F.col("stays")), F.array("tail"))
+    dealt = dealt.withColumn("e", F.when(F.col("short"), F.col("small_a")).otherwise(joined))
+    for c, out in (("a", "first_a"), ("e", "first_e"), ("next_a", "first_b")):
+        dealt = with_firsts(dealt, c, out)
+    dealt = with_likeness(with_likeness(dealt, "first_a", "first_e", "near_edited"), "first_a", "first_b", "near_next")
+    return dealt.select("doc_id", "n_chars", "edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -210,38 +211,78 @@ def test_chain_links(spark):
 # fingerprints
 
 
-def test_fingerprints(spark, sf, sha):
+def spark_hash(tag, text):
+    """Spark's xxhash64 of a number and of a text's code points, its upper 32 bits."""
+    seed = xxhash.xxh64_intdigest(int(tag).to_bytes(4, "little"), 42)
+    return xxhash.xxh64_intdigest(text.encode("utf-32-be"), seed) >> 32
+
+
+def brute_closed(text, k, s):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    inner = [signed(xxhash.xxh64_intdigest(text[i : i + s].encode("utf-32-be"), 42)) for i in range(len(text) - s + 1)]
+    for i in range(len(text) - k + 1):
+        own = inner[i : i + k - s + 1]
+        if min(own) in (own[0], own[-1]):
+            yield i, spark_hash(k, text[i : i + k])
+
+
+def brute_anchors(text):
+    k, s = (syncmers.K, syncmers.S) if len(text) >= syncmers.LONG else (syncmers.SHORT_K, syncmers.SHORT_S)
+    if len(text) < k:
+        return [(0, spark_hash(3, text))] if text else []
+    return [(0, spark_hash(1, text[: k - 1])), *brute_closed(text, k, s), (len(text) - k + 1, spark_hash(2, text[1 - k :]))]
+
+
+def brute_likeness(a, b):
+    first = lambda found: {h: p for p, h in sorted(found, reverse=True)}
+    a, b = first(a), first(b)
+    if not a and not b:
+        return 1.0
+    shifts = Counter(b[h] - a[h] for h in a.keys() & b.keys())
+    n = sum(c for c in shifts.values() if c > 1 or min(len(a), len(b)) <= 1)
+    return n / (len(a) + len(b) - n)
+
+
+def check_fingerprints(docs, got, sha):
+    """docs in order; got: rows in the same order."""
+    for k, ((_, t), r) in enumerate(zip(docs, got, strict=True)):
+        t, after = t or "", docs[(k + 1) % len(docs)][1] or ""
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        mine, changed, theirs = (brute_anchors(x) for x in (t, edited, after))
+        assert r.n_chars == len(t) and r.edited_sha256 == sha(edited)
+        assert r.fingerprint == " ".join(f"{p:x}:{h:08x}" for p, h in mine)
+        assert r.edited_fingerprint == " ".join(f"{p:x}:{h:08x}" for p, h in changed)
+        assert r.near_edited == pytest.approx(brute_likeness(mine, changed)) and r.near_next == pytest.approx(brute_likeness(mine, theirs))
+
+
+def test_fingerprints_against_brute_force(spark, sf, sha):
     docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").orderBy(F.desc("doc_id")).collect()]
-    got = {r.doc_id: r for r in queries.op7_closed_syncmers(spark, sf).collect()}
-    for k, (i, t) in enumerate(docs):
-        after = docs[(k + 1) % len(docs)][1]
-        cut = len(t) // 3
-        assert got[i].edited_sha256 == sha(t[: len(t) - cut] + after[:cut]) and got[i].n_chars == len(t)
-    values = list(got.values())
-    assert np.median([r.near_edited for r in values]) > 0.4 and np.median([r.near_next for r in values]) < 0.1
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in values)
-    by_text = {}
-    for i, t in docs:
-        assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
-
-
-def test_fingerprints_odd_rows(spark, odd, odd_rows, empty, make):
-    for parts in (1, 3):
-        got = syncmers.fingerprints_with_edits(odd, parts=parts).collect()
-        assert len(got) == len(odd_rows)
-        same = {r.fingerprint for r in got if r.doc_id in (1, 7)}
-        assert len(same) == 1 and {r.fingerprint for r in got if r.doc_id in (2, 3, 4)} == {""}
+    got = queries.op7_closed_syncmers(spark, sf).orderBy(F.desc("doc_id")).collect()
+    check_fingerprints(docs, got, sha)
+    assert np.median([r.near_edited for r in got]) > 0.4 and np.median([r.near_next for r in got]) < 0.05
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_fingerprints_odd_rows(spark, odd, odd_rows, make, sha, parts):
+    ordered = sorted(odd_rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    place = lambda r: (r.doc_id is None, -(r.doc_id or 0))
+    got = sorted(syncmers.fingerprints_with_edits(odd, parts=parts).collect(), key=lambda r: (*place(r), r.n_chars != 26 if r.doc_id == 8 else 0))
+    check_fingerprints(ordered, got, sha)
+    texts = [(i, ("ab" if i % 3 else "xyz é") * (i % 23) + "q" * (i % 7)) for i in range(60)]
+    got = sorted(syncmers.fingerprints_with_edits(make(texts), parts=parts).collect(), key=place)
+    check_fingerprints(texts[::-1], got, sha)
+
+
+def test_fingerprints_empty_and_alone(spark, empty, make):
     assert syncmers.fingerprints_with_edits(empty).count() == 0
     assert syncmers.fingerprints_with_edits(make([(1, "alone here")])).first().near_next == 1.0
 
 
 def test_syncmers_are_context_free(spark, make):
-    core = " ".join(f"t{i}" for i in range(100))
-    a = {r.hash for r in syncmers.anchors(make([(1, core)])).collect()}
-    b = {r.hash for r in syncmers.anchors(make([(2, f"before it {core} and after")])).collect()}
-    assert len(a & b) > 0.85 * len(a)
-    m = syncmers.positional_matches(syncmers.anchors(make([(1, core)])), syncmers.anchors(make([(2, f"before it {core} and after")]))).orderBy(F.desc("n")).first()
-    assert m["shift"] == 3  # "befo", "re" and "it"
+    for core in (" ".join(f"t{i}" for i in range(100)), "".join(f"t{i}" for i in range(100))):  # with and without spaces
+        a = {(r.pos + 10, r.hash) for r in syncmers.anchors(make([(1, core)])).collect()}
+        b = {(r.pos, r.hash) for r in syncmers.anchors(make([(2, f"before it {core} and after")])).collect()}
+        assert len(a - b) == 2  # the text's ends
 
 
 # search
