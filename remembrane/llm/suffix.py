@@ -4,9 +4,13 @@ A suffix array of a whole corpus does not fit one machine, so passages that can
 windows of `width` bytes, each picks one anchor in it, the q-gram with the smallest hash; equal windows pick the same.
 So windows fall into runs by anchor, and a window can only be repeated in a run with an equal anchor. Runs whose anchor
 is met once are done. Where all runs of an anchor have equal bytes, or a run has an equal one, all of it is repeated.
-What is left, runs with an equal anchor and differing surroundings, goes through the suffix array: its suffixes are sorted by prefix
-doubling, and a stack scan over the common prefixes of neighbours gives the intervals of the common-prefix tree. An
-interval whose members have differing left neighbours is a maximal repeat, put out with all its occurrences.
+What is left, runs with an equal anchor and differing surroundings, goes through the suffix array: its suffixes are sorted
+by prefix doubling, and a stack scan over the common prefixes of neighbours gives the intervals of the common-prefix tree.
+An interval whose members have differing left neighbours is a maximal repeat, put out with all its occurrences.
+
+An anchor with more than BUSY different runs is split by where it stands in the window: windows of one range of places
+have all bytes but RANGE - 1 in common, so a hash of those deals them to groups of their own. A group that is still
+beyond BUSY is split to single windows, whose hashes are counted. So no task holds more than BUSY runs of a group.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import PolyHash, arrow_pieces, materialize, mix64, text_bytes, whole_text
 
 WIDTH, GRAM = 200, 40
+#: Different runs in a group that go through one suffix array at most, and places of the anchor that a part of a split has.
+BUSY, RANGE = 256, 41
 LEVELS = (8, 16, 32, 64, 128, 256)
 
 
@@ -35,11 +41,12 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchor_runs(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of window starts with one anchor: text number, first start, number of starts, anchor hash, hash of all bytes."""
+    """Runs of window starts with one anchor: text number, first start, number of starts, distance from the first start to
+    the anchor, anchor hash, hash of all bytes."""
     sizes = np.diff(offsets)
     fit = sizes >= width
     if not fit.any():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     prefix = PolyHash(raw)
     grams = mix64(prefix.windows(gram))
     bits = np.uint64(max(20, len(grams).bit_length()))
@@ -53,7 +60,7 @@ def anchor_runs(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     a, count = starts[first], np.diff(np.append(first, len(starts)))
     owner = np.searchsorted(offsets, a, side="right") - 1
     around = mix64(prefix.of(a, a + count - 1 + width) + (place[first] - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64))
-    return owner, a - offsets[owner], count, grams[place[first]], around
+    return owner, a - offsets[owner], count, place[first] - a, grams[place[first]], around
 
 
 def suffix_ranks(raw: np.ndarray) -> list[np.ndarray]:
@@ -163,25 +170,32 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     the bytes of `width`-byte strings that also start elsewhere; for texts that are repeated whole (full), text is null.
 
     docs: doc_id, text, k, uid as given by `keyed`. Rows equal in both are repeats of each other and come out once.
+    width: 1 to 256 bytes; the anchor has `gram` bytes, or width if that is less.
     """
+    if not 0 < width <= LEVELS[-1]:
+        raise ValueError(f"width must be from 1 to {LEVELS[-1]} bytes")
+    gram = min(gram, width)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_pieces(batches, "text"):
-            owner, a, count, anchor, around = anchor_runs(*text_bytes(b.column("text")), width, gram)
+            owner, a, count, before, anchor, around = anchor_runs(*text_bytes(b.column("text")), width, gram)
             k, uid = (b.column(c).to_numpy()[owner] for c in ("k", "uid"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, uid, a, count, anchor.view(np.int64), around.view(np.int64))], ["k", "uid", "a", "n", "anchor", "around"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, uid, a, count, before, anchor.view(np.int64), around.view(np.int64))], ["k", "uid", "a", "n", "p", "anchor", "around"])
 
-    found = materialize(docs.select("k", "uid", "text").mapInArrow(runs, "k long, uid long, a long, n long, anchor long, around long"), "runs")
+    found = materialize(docs.select("k", "uid", "text").mapInArrow(runs, "k long, uid long, a long, n long, p long, anchor long, around long"), "runs")
     met = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike"))
     # a table of its own, so that adaptive execution can split the join at a frequent anchor
     met = materialize(found.join(materialize(met, "anchors"), "anchor"), "met")
-    alike = met.where("alike").select("k", "uid", "a", "n", F.lit(True).alias("whole"), F.lit(0).cast("long").alias("anchor"), F.lit(False).alias("ships"))
+    alike = met.where("alike").select("k", "uid", "a", "n", "p", F.lit(True).alias("whole"), F.lit(0).cast("long").alias("anchor"), F.lit(False).alias("ships"), F.lit(False).alias("busy"))
     other = met.where("not alike")
     # of runs with equal bytes one stands for all
     kinds = materialize(other.groupBy("anchor", "around").agg(F.count("*").alias("c"), F.min(F.struct("uid", "k", "a")).alias("first")), "kinds")
-    other = other.join(kinds, ["anchor", "around"]).select("k", "uid", "a", "n", (F.col("c") > 1).alias("whole"), "anchor", (F.struct("uid", "k", "a") == F.col("first")).alias("ships"))
+    busy = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > BUSY).select("anchor", F.lit(True).alias("busy")), "busy")
+    split = busy.limit(1).count() > 0
+    kinds = kinds.join(busy, "anchor", "left") if split else kinds.withColumn("busy", F.lit(False))
+    other = other.join(kinds, ["anchor", "around"]).select("k", "uid", "a", "n", "p", (F.col("c") > 1).alias("whole"), "anchor", (F.struct("uid", "k", "a") == F.col("first")).alias("ships"), F.coalesce("busy", F.lit(False)).alias("busy"))
     info = alike.unionByName(other).groupBy("k", "uid").agg(
-        F.collect_set(F.struct("a", "n", "whole", "anchor", "ships")).alias("runs"),
+        F.collect_set(F.struct("a", "n", "p", "whole", "anchor", "ships", "busy")).alias("runs"),
     )
     covered = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + F.when(r["whole"], r["n"]).otherwise(0))
     texts = docs.select("k", "uid", "text").join(info.withColumn("covered", covered), ["k", "uid"]).dropDuplicates(["k", "uid"])
@@ -190,20 +204,41 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     texts = materialize(texts.select("k", "uid", F.when(~full | ships, F.col("text")).alias("text"), full.alias("full"), "runs"), "texts")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "k", "uid", "a", "n", "bytes"]
+        names = ["group", "part", "k", "uid", "a", "n", "bytes"]
         for b in arrow_pieces(batches, "text"):
             rows = []
             for k, uid, text, own in zip(*(b.column(c).to_pylist() for c in ("k", "uid", "text", "runs")), strict=True):
                 raw = text.encode()
-                rows += [(r["anchor"], k, uid, r["a"], r["n"], raw[r["a"] : r["a"] + r["n"] - 1 + width]) for r in own if r["ships"]]
+                for r in own:
+                    a, n = r["a"], r["n"]
+                    if r["ships"] and not r["busy"]:
+                        rows.append((r["anchor"], False, k, uid, a, n, raw[a : a + n - 1 + width]))
+                    elif r["ships"]:
+                        at = a + r["p"]  # windows that begin at most hi - 1 before it share what lies between
+                        for lo in range(0, width - gram + 1, RANGE):
+                            hi = min(lo + RANGE, width - gram + 1)
+                            first, last = max(a, at - hi + 1), min(a + n - 1, at - lo)
+                            if first <= last:
+                                common = hashlib.blake2b(raw[at - lo : at - hi + 1 + width], digest_size=8, key=lo.to_bytes(2)).digest()
+                                rows.append((int.from_bytes(common, signed=True), True, k, uid, first, last - first + 1, raw[first : last + width]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow_pieces(batches, "bytes"):
+            raw, offsets = text_bytes(b.column("bytes"))
+            n = b.column("n").to_numpy()
+            owner = np.repeat(np.arange(len(n)), n)
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            hashes = mix64(PolyHash(raw).windows(width))[offsets[:-1][owner] + inner]
+            kept = [pa.array(b.column(c).to_numpy()[owner]) for c in ("group", "k", "uid")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(b.column("a").to_numpy()[owner] + inner), pa.array(hashes.view(np.int64))], ["group", "k", "uid", "a", "hash"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "k", "uid", "a", "n", "bytes")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("group", "k", "uid", "a", "n", "bytes")), strict=True):
                 if size >= 1 << 20 and row[0] != held[-1][0]:
                     yield repeats(held)
                     held, size = [], 0
@@ -232,8 +267,19 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["k", "uid", "a", "b"])
 
     shipped = texts.where("text is not null").withColumn("runs", F.filter("runs", lambda r: r["ships"])).where("size(runs) > 0")
-    shipped = shipped.select("k", "uid", "text", "runs").mapInArrow(contexts, "anchor long, k long, uid long, a long, n long, bytes binary")
-    partly = shipped.repartition("anchor").sortWithinPartitions("anchor", "uid", "k", "a").mapInArrow(scan, "k long, uid long, a long, b long")
+    shipped = shipped.select("k", "uid", "text", "runs").mapInArrow(contexts, "group long, part boolean, k long, uid long, a long, n long, bytes binary")
+    single = None
+    if split:
+        shipped = materialize(shipped, "contexts")
+        beyond = shipped.where("part").groupBy("group").agg(F.count("*").alias("c")).where(F.col("c") > BUSY).select("group")
+        beyond = materialize(beyond, "beyond")
+        if beyond.limit(1).count():
+            each = materialize(shipped.where("part").join(beyond, "group", "left_semi").select("group", "k", "uid", "a", "n", "bytes").mapInArrow(windows, "group long, k long, uid long, a long, hash long"), "windows")
+            again = materialize(each.groupBy("group", "hash").agg(F.count("*").alias("c")).where("c > 1").select("group", "hash"), "again")
+            single = each.join(again, ["group", "hash"], "left_semi").select("k", "uid", "a", (F.col("a") + width).alias("b"))
+            shipped = shipped.join(beyond, "group", "left_anti")
+    partly = shipped.select("group", "k", "uid", "a", "n", "bytes").repartition("group").sortWithinPartitions("group", "uid", "k", "a").mapInArrow(scan, "k long, uid long, a long, b long")
+    partly = partly if single is None else partly.unionByName(single)
     partly = partly.groupBy("k", "uid").agg(F.collect_set(F.struct("a", "b")).alias("more"))
     whole = F.transform(F.filter("runs", lambda r: r["whole"]), lambda r: F.struct(r["a"].alias("a"), (r["a"] + r["n"] + (width - 1)).alias("b")))
     out = texts.select("k", "uid", "text", "full", whole.alias("some")).join(partly, ["k", "uid"], "left")

@@ -372,6 +372,23 @@ def test_repeats_random_texts(spark, make, sha):
     check_repeats(rows, suffix.remove_repeats(make(rows)).collect(), 200, sha)
 
 
+def test_repeats_at_a_common_passage(spark, make, sha, monkeypatch):
+    """One passage in ever new surroundings, with groups split once and down to single windows."""
+    monkeypatch.setattr(suffix, "BUSY", 8)
+    r = np.random.default_rng(9)
+    letters = list("abcdefghij é")
+    common = "".join(r.choice(letters, 150))
+    near = ["".join(r.choice(letters, 30)) for _ in range(4)]
+    rows = [(i, "".join(r.choice(letters, 120)) + near[i % 4] * (i % 2) + common + near[i // 7 % 4] * (i % 3 > 0) + "".join(r.choice(letters, 120))) for i in range(120)]
+    check_repeats(rows, suffix.remove_repeats(make(rows)).collect(), 200, sha)
+    # one byte after it differs: windows without that byte are repeated, others are not
+    tight = [(i, "".join(r.choice(letters, 200)) + common + common[:45] + "".join(r.choice(letters, 200))) for i in range(60)]
+    check_repeats(tight, suffix.remove_repeats(make(tight)).collect(), 200, sha)
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(make(rows), width=257)
+    check_repeats(rows[:20], suffix.remove_repeats(make(rows[:20]), width=20).collect(), 20, sha)
+
+
 def test_maximal_repeats():
     text = np.frombuffer(b"xxabcdefyyabcdefzzqbcdef", np.uint8)
     got = {(n, tuple(sorted(at.tolist()))) for n, at in suffix.maximal_repeats(text, np.full(24, 24), np.arange(24), 4)}
