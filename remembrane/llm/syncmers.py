@@ -15,12 +15,14 @@ An anchor is a 64-bit number here: its place, then 32 bits of hash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import input_parts, range_bounds, whole_text
 
-K, S = 32, 8
+K, S = 32, 12
 LONG, SHORT_K, SHORT_S = 64, 8, 3
 NONE = "cast(array() as array<bigint>)"
 LOW = 0xFFFFFFFF
@@ -42,25 +44,34 @@ def place_of(x: Column) -> Column:
     return F.shiftright(x, 32)
 
 
-def with_syncmers(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
-    """Adds `out`: the closed syncmers of a text column in order of their places; none if it is shorter than k."""
-    df = df.withColumn("__b", code_points(F.col(text)))
-    b, size = F.col("__b"), F.octet_length("__b") / 4
-    hashes = F.transform(F.sequence(F.lit(0), (size - s).cast("int")), lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * s))))
-    df = df.withColumn("__g", F.when(size >= k, hashes).otherwise(F.expr(NONE)))
-    g, w = F.col("__g"), k - s
-    at = lambda i: F.get(g, i)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once. As an element of an array it is an object that lambdas refer to; a column of
+    bytes would be copied out of its row at each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def syncmers(text: Column, k: int = K, s: int = S) -> Column:
+    """The closed syncmers of a text in order of their places; none if it is shorter than k."""
+    w = k - s
+
+    def least(g: Column, sign: int) -> Column:
+        """Where the k-mers begin whose smallest inner hash is the first one (sign 1) or the last one (-1)."""
+
+        def start(x: Column, i: Column) -> Column:
+            test = None  # nested to the right, so that the first smaller hash ends it; beyond the text it is null
+            for j in range(w, 0, -1):
+                mine = x <= F.get(g, i + j if sign > 0 else i - j)
+                test = mine if test is None else mine & test
+            return F.when(test, i if sign > 0 else i - w)
 
-    def closed(i: Column) -> Column:
-        left = right = None  # nested to the right, so that the first greater hash ends the test
-        for j in range(w, 0, -1):
-            mine, other = at(i) <= at(i + j), at(i + w) <= at(i + (w - j))
-            left = mine if left is None else mine & left
-            right = other if right is None else other & right
-        return left | right
+        return F.array_compact(F.transform(g, start))
 
-    places = F.filter(F.sequence(F.lit(0), F.size(g) - (w + 1)), closed)
-    return df.withColumn(out, F.when(F.size(g) > w, F.transform(places, lambda i: anchor(i, b, k, k))).otherwise(F.expr(NONE))).drop("__b", "__g")
+    def found(b: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.shiftright(F.octet_length(b), 2) - s), lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * s))))
+        starts = let(hashes, lambda g: F.array_sort(F.array_union(least(g, 1), least(g, -1))))
+        return F.transform(starts, lambda i: anchor(i, b, k, k))
+
+    return F.when(F.length(text) >= k, let(code_points(text), found)).otherwise(F.expr(NONE))
 
 
 def ends(text: Column, k: int) -> tuple[Column, Column]:
@@ -70,25 +81,21 @@ def ends(text: Column, k: int) -> tuple[Column, Column]:
     return anchor(F.lit(0).cast("long"), code_points(F.substring(text, F.lit(1), F.lit(k - 1))), k - 1, 1), F.shiftleft(last, 32).bitwiseOR(anchor(F.lit(0).cast("long"), code_points(F.substring(text, (last + 1).cast("int"), F.lit(k - 1))), k - 1, 2))
 
 
-def with_short(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds `out`: all anchors of a text of fewer than LONG code points."""
-    df = with_syncmers(df, text, "__s", SHORT_K, SHORT_S)
-    first, last = ends(F.col(text), SHORT_K)
+def short_anchors(text: Column) -> Column:
+    """All anchors of a text of fewer than LONG code points."""
+    first, last = ends(text, SHORT_K)
     size = F.length(text)
-    whole = F.array(anchor(F.lit(0).cast("long"), code_points(F.col(text)), size, 3))
-    found = F.when(size >= SHORT_K, F.concat(F.array(first), "__s", F.array(last))).when(size > 0, whole).otherwise(F.expr(NONE))
-    return df.withColumn(out, found).drop("__s")
+    whole = F.array(anchor(F.lit(0).cast("long"), code_points(text), size, 3))
+    return F.when(size >= SHORT_K, F.concat(F.array(first), syncmers(text, SHORT_K, SHORT_S), F.array(last))).when(size > 0, whole).otherwise(F.expr(NONE))
 
 
 def with_anchors(df: DataFrame, text: str, out: str, inner: str | None = None) -> DataFrame:
     """Adds `out`: all anchors of a text; and, as `inner`, the closed syncmers of length K if the text is shorter than LONG."""
-    short = F.length(text) < LONG
-    df = with_syncmers(df, text, "__i").withColumn("__t", F.when(short, F.col(text)).otherwise(""))
-    df = with_short(df, "__t", "__f")
-    first, last = ends(F.col(text), K)
+    t = F.col(text)
+    short, (first, last) = F.length(t) < LONG, ends(t, K)
     if inner:
-        df = df.withColumn(inner, F.when(short, F.col("__i")).otherwise(F.expr(NONE)))
-    return df.withColumn(out, F.when(short, F.col("__f")).otherwise(F.concat(F.array(first), "__i", F.array(last)))).drop("__i", "__t", "__f")
+        df = df.withColumn(inner, F.when(short, syncmers(t)).otherwise(F.expr(NONE)))
+    return df.withColumn(out, F.when(short, short_anchors(t)).otherwise(F.concat(F.array(first), syncmers(t), F.array(last))))
 
 
 def shifted(anchors: Column, by: Column) -> Column:
@@ -100,27 +107,29 @@ def digest(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, lambda x: F.lower(F.concat(F.hex(place_of(x)), F.lit(":"), F.lpad(F.hex(x.bitwiseAND(LOW)), 8, "0")))), " ")
 
 
-def with_firsts(df: DataFrame, anchors: str, out: str) -> DataFrame:
-    """Adds `out`: each hash with its first place, as one number (hash above), ascending."""
-    df = df.withColumn("__s", F.array_sort(F.transform(anchors, lambda x: F.shiftleft(x, 32).bitwiseOR(place_of(x)))))
-    s = F.col("__s")
-    fresh = lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.get(s, i - 1), 32))
-    return df.withColumn(out, F.filter(s, fresh)).drop("__s")
+def firsts(anchors: Column) -> Column:
+    """Each hash with its first place, as one number (hash above), ascending."""
+    upper = lambda x: F.shiftright(x, 32)
+    ordered = F.array_sort(F.transform(anchors, lambda x: F.shiftleft(x, 32).bitwiseOR(place_of(x))))
+    return let(ordered, lambda s: F.filter(s, lambda x, i: (i == 0) | (upper(x) != upper(F.get(s, i - 1)))))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The likeness of two columns made by `firsts`; 1 where both are empty."""
+    odd = F.lit(1 << 31)
+    upper = lambda x: F.shiftright(x, 32)
+    both = F.array_sort(F.concat(a, F.transform(b, lambda x: x + odd)))  # a hash in both is in two neighbours, that of a first
+
+    def shifts(m: Column) -> Column:
+        met = F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda i: upper(F.get(m, i)) == upper(F.get(m, i + 1)))
+        return F.when(F.size(m) > 1, F.array_sort(F.transform(met, lambda i: F.get(m, i + 1) - F.get(m, i)))).otherwise(F.expr(NONE))
 
+    def backed(d: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(d, i) == x, F.lit(False))
+        return F.when(F.least(F.size(a), F.size(b)) > 1, F.size(F.filter(d, lambda x, i: same(x, i - 1) | same(x, i + 1)))).otherwise(F.size(d))
 
-def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Adds `out`: the likeness of two columns made by with_firsts; 1 where both are empty."""
-    # a hash in both stands in two neighbouring entries, the place in a first: places are doubled, those in b odd
-    side = lambda x, odd: F.shiftright(x, 32) * F.lit(1 << 32) + x.bitwiseAND(LOW) + odd * F.lit(1 << 31)
-    df = df.withColumn("__m", F.array_sort(F.concat(F.transform(a, lambda x: side(x, F.lit(0))), F.transform(b, lambda x: side(x, F.lit(1))))))
-    m = F.col("__m")
-    met = F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda i: F.shiftright(F.get(m, i), 32) == F.shiftright(F.get(m, i + 1), 32))
-    shifts = F.array_sort(F.transform(met, lambda i: F.get(m, i + 1) - F.get(m, i)))
-    df = df.withColumn("__d", F.when(F.size(m) > 1, shifts).otherwise(F.expr(NONE)))
-    d = F.col("__d")
-    backed = F.size(F.filter(d, lambda x, i: F.coalesce(F.get(d, i - 1) == x, F.lit(False)) | F.coalesce(F.get(d, i + 1) == x, F.lit(False))))
-    df = df.withColumn("__n", F.when(F.least(F.size(a), F.size(b)) > 1, backed).otherwise(F.size(d)))
-    return df.withColumn(out, F.when(F.size(m) == 0, 1.0).otherwise(F.col("__n") / (F.size(m) - F.col("__n")))).drop("__m", "__d", "__n")
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, 1.0).otherwise(let(let(let(both, shifts), backed), lambda n: n / (total - n)))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -148,7 +157,7 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
     the next document in descending doc_id order, the last one's next being the first; a single row is its own next.
     Rows that share a doc_id are ordered by text, a null doc_id comes last, null text is empty and has the empty
     fingerprint; two empty ones have likeness 1. Equal shifts are interchangeable, so ties need no order. Other columns
-    are left out. Rows are dealt to ranges of doc_id (by default two for each split of the input, two for each shuffle
+    are left out. Rows are dealt to ranges of doc_id (by default four for each split of the input, four for each shuffle
     partition at least), and each range also gets a copy of the first row of the next one, so that one shuffle brings
     neighbours together. Anchors don't depend on what is around, so those of the edited text are those of its two parts
     but for the k-mers across their seam; each text's are computed once.
@@ -156,7 +165,7 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    bounds = range_bounds(rows, "doc_id", parts or 2 * max(input_parts(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    bounds = range_bounds(rows, "doc_id", parts or 4 * max(input_parts(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = rows.withColumn("bucket", range_of(F.col("k"), bounds))
 
     heads = rows.groupBy("bucket").agg(F.max("k").alias("k"))  # a row for each range
@@ -166,6 +175,8 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
     copies = first.withColumn("bucket", F.coalesce(F.lag("bucket").over(down), F.last("bucket").over(whole)))
     dealt = rows.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)).select("doc_id", "text", "k", "bucket", "copy"))
 
+    # so many tasks, which adaptive execution leaves apart: they have much to compute for few bytes
+    dealt = dealt.repartition(len(bounds) + 1, "bucket")
     order = Window.partitionBy("bucket").orderBy("copy", F.desc("k"), "text")
     dealt = dealt.withColumn("place", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
     size = F.length("text")
@@ -182,7 +193,7 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
         "doc_id", "bucket", "copy", "place", "a", "inner", "stays", "comes", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         short.alias("short"), F.when(short, F.col("edited")).otherwise("").alias("small"), F.when(short, "").otherwise(across).alias("across"), seam.alias("seam"), head.alias("head"), tail.alias("tail"),
     )
-    dealt = with_short(with_syncmers(dealt, "across", "mid"), "small", "small_a").drop("small", "across")
+    dealt = dealt.withColumns({"mid": syncmers(F.col("across")), "small_a": short_anchors(F.col("small"))}).drop("small", "across")
     following = Window.partitionBy("bucket").orderBy("place")
     for c in ("a", "inner"):
         dealt = dealt.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(following), F.expr(NONE)))
@@ -193,7 +204,6 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
     added = F.filter(theirs, lambda x: place_of(x) + K <= F.col("comes"))
     joined = F.concat(F.array("head"), kept, shifted(F.col("mid"), F.col("seam")), shifted(added, F.col("stays")), F.array("tail"))
     dealt = dealt.withColumn("e", F.when(F.col("short"), F.col("small_a")).otherwise(joined))
-    for c, out in (("a", "first_a"), ("e", "first_e"), ("next_a", "first_b")):
-        dealt = with_firsts(dealt, c, out)
-    dealt = with_likeness(with_likeness(dealt, "first_a", "first_e", "near_edited"), "first_a", "first_b", "near_next")
+    dealt = dealt.withColumns({f"first_{c}": firsts(F.col(c)) for c in ("a", "e", "next_a")})
+    dealt = dealt.withColumns({"near_edited": likeness(F.col("first_a"), F.col("first_e")), "near_next": likeness(F.col("first_a"), F.col("first_next_a"))})
     return dealt.select("doc_id", "n_chars", "edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next")
