@@ -1,8 +1,8 @@
 """Best-fit packing by exact complements.
 
 The plan needs only how many pieces there are of each length, at most `capacity` numbers. Lengths are taken from the
-longest down. The gap that a length leaves is looked up among single lengths, then pair sums, then triple sums of the
-lengths still available; a combination that fills it exactly is used as often as its counts allow. What is left is
+longest down. The gap that a length leaves is looked up in an index of single lengths, then of pair sums, then of triple
+sums of the lengths still available; a combination that fills it exactly is used as often as its counts allow. What is left is
 packed best fit: the longest length that fits the gap goes in, until none does. Each pattern is used until one of its
 lengths runs out (or, with a length in it twice, drops below what it needs), so the plan stays small: its size depends
 on the capacity, not on the rows. Pieces then take the places of their length in order, each task on its own.
@@ -22,24 +22,57 @@ from .bpe import byte_bpe
 from .common import arrow_pieces, materialize, whole_text
 
 
-def exact_partners(counts: np.ndarray, gap: int, size: int) -> tuple[int, ...] | None:
-    """Up to three available lengths, longest first, that sum to gap; `size` of them."""
-    if size == 1:
-        return (gap,) if gap < len(counts) and counts[gap] > 0 else None
-    if size == 2:
-        a = np.arange((gap + 1) // 2, gap)
-        a = a[a < len(counts)]
-        ok = (counts[a] > 0) & (counts[gap - a] > 0) & ((a != gap - a) | (counts[a] > 1))
-        return (int(a[ok][-1]), gap - int(a[ok][-1])) if ok.any() else None
-    for a in np.flatnonzero(counts[: max(gap - 1, 0)])[::-1]:
-        if 3 * a < gap:
-            break
-        counts[a] -= 1
-        rest = exact_partners(counts[: a + 1], gap - int(a), 2)
-        counts[a] += 1
-        if rest:
-            return (int(a), *rest)
-    return None
+class SumIndex:
+    """Single lengths, pairs and triples by their sum, under the counts of lengths that are still available.
+
+    A sum's pairs are told by the larger length, from the most uneven down; its triples by the longest length, each with
+    the pairs of the rest. A pair of which a length has run out leaves the front of its list for good.
+    """
+
+    def __init__(self, left: np.ndarray, capacity: int):
+        self.left, self.gone = left, left == 0
+        have = np.flatnonzero(left)
+        self.pairs, self.triples, self.start = [], [], [0] * (capacity + 1)
+        for total in range(capacity + 1):
+            larger = have[(2 * have >= total) & (have < total)]
+            self.pairs.append(larger[left[total - larger] > 0][::-1].tolist())
+            longest = have[(3 * have >= total) & (have < total - 1)][::-1].tolist()
+            self.triples.append([a for a in longest if self.pairs[total - a]])
+
+    def use(self, lengths: np.ndarray, need: np.ndarray) -> int:
+        """Take as many sequences of so many of these lengths as there can be; says how many."""
+        times = int((self.left[lengths] // need).min())
+        self.left[lengths] -= need * times
+        self.gone[lengths] = self.left[lengths] == 0
+        return times
+
+    def pair(self, total: int, most: int) -> tuple[int, int] | None:
+        """The first available pair with this sum and no length above `most`."""
+        found, left, gone = self.pairs[total], self.left, self.gone
+        at = self.start[total]
+        while at < len(found) and (gone[found[at]] or gone[total - found[at]]):
+            at += 1
+        self.start[total] = at
+        for a in found[at:]:
+            b = total - a
+            if a <= most and left[a] > 0 and left[b] > (a == b):
+                return a, b
+        return None
+
+    def fill(self, gap: int, size: int) -> tuple[int, ...] | None:
+        """`size` available lengths, longest first, that sum to gap."""
+        if size == 1:
+            return (gap,) if self.left[gap] > 0 else None
+        if size == 2:
+            return self.pair(gap, gap)
+        for a in self.triples[gap]:
+            if self.left[a] > 0:
+                self.left[a] -= 1
+                rest = self.pair(gap - a, a)
+                self.left[a] += 1
+                if rest:
+                    return (a, *rest)
+        return None
 
 
 def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -54,12 +87,10 @@ def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ..
 def plan_with(counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left, plan = counts.astype(np.int64).copy(), []
     left[0] = 0
+    index = SumIndex(left, capacity)
 
     def use(pattern: tuple[int, ...]) -> None:
-        lengths, need = np.unique(pattern, return_counts=True)
-        times = int((left[lengths] // need).min())
-        left[lengths] -= need * times
-        plan.append((pattern, times))
+        plan.append((pattern, index.use(*np.unique(pattern, return_counts=True))))
 
     if left[capacity]:
         use((capacity,))
@@ -67,7 +98,7 @@ def plan_with(counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[
         for length in range(capacity - 1, 0, -1):
             while left[length]:
                 left[length] -= 1
-                partners = exact_partners(left, capacity - length, size)
+                partners = index.fill(capacity - length, size)
                 left[length] += 1
                 if not partners:
                     break
@@ -100,18 +131,24 @@ def place_ranges(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> tupl
     return table[:, 1:], np.searchsorted(table[:, 0], np.arange(capacity + 2))
 
 
-def pack(pieces: DataFrame, capacity: int, order: list[str], buckets: int = 256, length: str = "length") -> DataFrame:
+#: Rows that a bucket of one length is meant for.
+BUCKET_ROWS = 1_000_000
+
+
+def pack(pieces: DataFrame, capacity: int, order: list[str], buckets: int | None = None, length: str = "length") -> DataFrame:
     """pieces with sequence_id and offset: sequences of at most `capacity`, gapless from 0.
 
     Lengths 1..capacity are packed; a null, lower or greater length gets null sequence_id and offset. `order` columns
     should tell rows apart: they settle which row takes which place (rows equal in them take either's). Columns named
     sequence_id or offset are replaced. Rows are ranked within (length, bucket of the order columns' hash), so that no
-    task gets all rows of a frequent length. An empty table gives an empty result.
+    task gets all rows of a frequent length; by default there are so many buckets that even if all rows have one length
+    about BUCKET_ROWS fall into one, 256 at least. An empty table gives an empty result.
     """
     pieces = pieces.drop("sequence_id", "offset")
     fits = F.col(length).between(1, capacity)
-    marked = pieces.withColumn("__bucket", F.when(fits, F.pmod(F.xxhash64(*order), F.lit(buckets)))).withColumn("__length", F.when(fits, F.col(length).cast("int")))
-    marked = materialize(marked, "pieces")
+    marked = materialize(pieces.withColumn("__hash", F.when(fits, F.pmod(F.xxhash64(*order), F.lit(1 << 30)))).withColumn("__length", F.when(fits, F.col(length).cast("int"))), "pieces")
+    buckets = buckets or max(256, -(-marked.count() // BUCKET_ROWS))
+    marked = marked.withColumn("__bucket", F.col("__hash") % buckets).drop("__hash")
     counts = materialize(marked.where("__length is not null").groupBy("__length", "__bucket").agg(F.count("*").alias("__n")), "piece-counts")
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("__length").agg(F.sum("__n").alias("n")).collect():  # a row for each length

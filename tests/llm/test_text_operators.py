@@ -1,5 +1,6 @@
 """Chat formatting, SentencePiece, packed ids, packing: exact round trips."""
 
+import itertools
 import random
 import zlib
 
@@ -129,6 +130,22 @@ def test_packing_plan_against_first_fit():
         assert sum(t for _, t in plan) <= len(bins)
 
 
+def test_sums_are_found_while_they_last():
+    r = np.random.default_rng(8)
+    for _ in range(40):
+        counts = np.zeros(31, np.int64)
+        counts[1:] = r.integers(0, 3, 30)
+        index = packing.SumIndex(counts.copy(), 30)
+        for _ in range(12):
+            gap, size = int(r.integers(1, 31)), int(r.integers(1, 4))
+            left = index.left
+            sums = {s for s in itertools.combinations_with_replacement(range(1, 31), size) if sum(s) == gap and all(left[v] >= s.count(v) for v in s)}
+            found = index.fill(gap, size)
+            assert (found is None) == (not sums) and (found is None or tuple(sorted(found)) in sums)
+            if found:
+                assert index.use(*np.unique(found, return_counts=True)) > 0 and (left >= 0).all()
+
+
 def test_packing_odd_lengths(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 0), (4, 99), (5, 5)], "id int, length int").withColumn("offset", F.lit("mine"))
     rows = {r.id: (r.sequence_id, r.offset) for r in packing.pack(df, 10, ["id"]).collect()}
