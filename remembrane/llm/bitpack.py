@@ -86,12 +86,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, shards:
     """Encode documents and write them in ascending doc_id order; returns the written table of images.
 
     docs: doc_id, text; other columns are left out. Null text is empty and yields the end id alone; a null doc_id comes
-    first; repeated ids are ordered by their ids' bytes and all stay. shards (default: twice the input's splits) are
-    ranges of doc_id, and a shard goes on in a new file after file_tokens ids, so memory is bounded by that and by
+    first; repeated ids are ordered by their ids' bytes and all stay. shards (default: four for each split of the input)
+    are ranges of doc_id, each a task of its own, and a shard goes on in a new file after file_tokens ids, so memory is bounded by that and by
     the longest document. An empty table gives no image.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
-    bounds = np.array(range_bounds(rows, "doc_id", shards or 2 * input_parts(docs)), np.int64)
+    bounds = np.array(range_bounds(rows, "doc_id", shards or 4 * input_parts(docs)), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(tokenizer)
@@ -125,7 +125,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, shards:
             yield flush()
 
     encoded = rows.mapInArrow(encode, "shard int, doc_id long, ids binary")
-    dealt = encoded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    dealt = encoded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
     return materialize(dealt.mapInArrow(images, IMAGES), "token-files")
 
 
