@@ -2,19 +2,24 @@
 
 A text becomes a stream of symbols: its lower-cased words, one space between, and an end. The training documents' counts
 of (ORDER bytes of context, symbol) hold the trie of all contexts up to that length. A symbol is coded in the longest
-context that was seen in training; each context gives as much weight to escaping as it has distinct symbols (method C),
-and after an escape the symbols of the longer context are excluded from the shorter one's counts. Below all contexts,
-the symbols that are left are equally likely.
+context that was seen in training; there it has its count less a half, and half a count for each distinct symbol goes to
+escaping (method D); after an escape the symbols of the longer context are excluded from the shorter one's counts. Below
+all contexts, the symbols that are left are equally likely. That is done from several orders down, and the probabilities
+are mixed by BLEND, as the longest context alone is sure of too little text. Last, what the document itself had after the
+same context so far counts as well: the mixture stands for ADAPT earlier symbols there. All three keep a distribution.
 
 Work is done in blocks, the splits of the input. A block's distinct keys (contexts with symbol; words, for the unigram
 base) go out with their training counts, packed, to the partitions of a hash of the key; there they are summed over all
-blocks. Words' totals go back to the blocks that asked. Grams are few beside the text (a table whose growth slows with
-the corpus): their log probabilities are sent to all tasks if they are at most MAX_SENT, else looked up like words.
+blocks. Words' totals go back to the blocks that asked. Grams are dealt to tasks by their three nearest bytes of context;
+what the model needs of shorter contexts is in the counts of three bytes, which are at most 2**24. Grams are few beside
+the text (a table whose growth slows with the corpus): their log probabilities are sent to all tasks if they are at most
+MAX_SENT, else looked up like words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +27,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PolyHash, arrow_pieces, crc_mod, materialize, mix64, text_bytes, whole_text, word_spans
+from .common import PolyHash, arrow_pieces, crc_mod, input_parts, materialize, mix64, text_bytes, whole_text, word_spans
 from .minhash import LOWER
 
 ORDER = 6
-#: Grams that are sent to every task at most (12 bytes each).
-MAX_SENT = 16_000_000
+#: Weights of the orders that coding begins at.
+BLEND = {2: 0.02, 3: 0.08, 4: 0.2, 5: 0.3, 6: 0.4}
+#: How many symbols of the document itself the model weighs as much as.
+ADAPT = 10.0
+#: Grams that are sent to every task at most (16 bytes each).
+MAX_SENT = 8_000_000
+#: Keys that a task gathers before it adds them up.
+SQUEEZE = 3_000_000
 #: Bytes that can stand in a stream: all but four kinds of white space.
 SYMBOLS = 252
 GRAM, WORD = 0, 1
@@ -98,44 +109,98 @@ def context_of(grams: np.ndarray, depth: int) -> np.ndarray:
     return (grams >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
 
 
-def log_probabilities(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
+@dataclass
+class Near:
+    """Training counts of single bytes after one and after two bytes of context."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.pairs = np.zeros((256, 256))
+        symbol, near = (self.keys & 255).astype(np.int64), (self.keys >> 8 & 255).astype(np.int64)
+        np.add.at(self.pairs, (near, symbol), self.counts)
+        self.contexts, place = np.unique(self.keys >> 8, return_inverse=True)
+        each = lambda w: np.bincount(place, weights=w, minlength=len(self.contexts))
+        self.total, self.kinds = each(self.counts), each(self.counts > 0)
+        self.shorter = each(np.where(self.counts > 0, self.pairs[near, symbol], 0))
+
+    @staticmethod
+    def take(known: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Values by key, 0 where there is none."""
+        if not len(known):
+            return np.zeros(len(asked))
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        return np.where(known[at] == asked, values[at], 0)
+
+
+def log_probabilities(grams: np.ndarray, counts: np.ndarray, near: Near, blend: dict[int, float] = BLEND) -> np.ndarray:
     """log10 probability of each distinct gram's symbol in its context, from training counts (0: never seen).
 
-    grams must hold all grams of each pair of nearest context bytes that it holds any of; pairs[c, s] counts symbol s
-    after byte c in all of training.
+    grams must hold all grams of each three nearest context bytes that it holds any of.
     """
+    order = max(blend)
     c, n, q, left_out = {}, {}, {}, {}
-    for depth in range(order, 1, -1):
+    for depth in range(order, 2, -1):
         own, back = np.unique(grams & np.uint64((1 << 8 * (depth + 1)) - 1), return_inverse=True)
         sums = np.bincount(back, weights=counts, minlength=len(own))
-        contexts, place = np.unique(context_of(own, depth), return_inverse=True)
+        _, place = np.unique(context_of(own, depth), return_inverse=True)
         c[depth] = sums[back]
         n[depth] = np.bincount(place, weights=sums)[place][back]
         q[depth] = np.bincount(place, weights=sums > 0)[place][back]
-    symbol, near = (grams & np.uint64(255)).astype(np.int64), context_of(grams, 1).astype(np.int64)
-    c[1], n[1], q[1] = pairs[near, symbol], pairs.sum(1)[near], (pairs > 0).sum(1)[near]
+    symbol, last = (grams & np.uint64(255)).astype(np.int64), context_of(grams, 1).astype(np.int64)
+    two, pairs = context_of(grams, 2).astype(np.int64), near.pairs
+    c[2], n[2], q[2] = near.take(near.keys, near.counts, two << 8 | symbol), near.take(near.contexts, near.total, two), near.take(near.contexts, near.kinds, two)
+    c[1], n[1], q[1] = pairs[last, symbol], pairs.sum(1)[last], (pairs > 0).sum(1)[last]
     single = pairs.sum(0)
     c[0], n[0], q[0] = single[symbol], np.full(len(grams), single.sum()), np.full(len(grams), (single > 0).sum())
-    for depth in range(order - 1, -1, -1):  # counts at this depth of the symbols that the next longer context has
-        if depth == 0:
-            left_out[0] = ((pairs > 0) * single[None, :]).sum(1)[near]
-            continue
+    for depth in range(order - 1, 1, -1):  # counts at this depth of the symbols that the next longer context has
         own, first = np.unique(grams & np.uint64((1 << 8 * (depth + 2)) - 1), return_index=True)
         _, place = np.unique(context_of(own, depth + 1), return_inverse=True)
         seen = np.where(c[depth + 1][first] > 0, c[depth][first], 0)
         _, back = np.unique(context_of(grams, depth + 1), return_inverse=True)
         left_out[depth] = np.bincount(place, weights=seen)[back]
-    score, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for depth in range(order, -1, -1):
-            total, kinds = (n[depth], q[depth]) if depth == order else (n[depth] - left_out[depth], q[depth] - q[depth + 1])
-            hit = open_ & (c[depth] > 0)
-            score[hit] += np.log10((c[depth][hit] - 0.5) / total[hit])
-            open_ &= ~hit
-            escape = open_ & (kinds > 0)
-            score[escape] += np.log10(0.5 * kinds[escape] / total[escape])
-    score[open_] -= np.log10(max(SYMBOLS - int((single > 0).sum()), 1))
-    return score
+    left_out[1] = near.take(near.contexts, near.shorter, two)
+    left_out[0] = ((pairs > 0) * single[None, :]).sum(1)[last]
+    mixed = np.zeros(len(grams))
+    for start, weight in blend.items():
+        score, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for depth in range(start, -1, -1):
+                total, kinds = (n[depth], q[depth]) if depth == start else (n[depth] - left_out[depth], q[depth] - q[depth + 1])
+                hit = open_ & (c[depth] > 0)
+                score[hit] += np.log10((c[depth][hit] - 0.5) / total[hit])
+                open_ &= ~hit
+                escape = open_ & (kinds > 0)
+                score[escape] += np.log10(0.5 * kinds[escape] / total[escape])
+        score[open_] -= np.log10(max(SYMBOLS - int((single > 0).sum()), 1))
+        mixed += weight * 10.0**score
+    return np.log10(mixed)
+
+
+def earlier(of: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How many earlier entries of the same owner each entry equals; of: small numbers, owner: ascending."""
+    size = len(of)
+    bits = np.uint64(max(1, size.bit_length()))
+    key = np.sort((owner.astype(np.uint64) << (bits + bits)) | (of.astype(np.uint64) << bits) | np.arange(size, dtype=np.uint64))
+    group = key >> bits
+    place = np.arange(size)
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), place, 0)) if size else place
+    out = np.empty(size, np.int64)
+    out[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = place - begin
+    return out
+
+
+def stream_scores(grams: np.ndarray, begins: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 probability of each symbol of each text from the grams' table and what the text had before."""
+    order = np.argsort(grams)
+    ordered = grams[order]
+    logs, gram, context = np.empty(len(grams)), np.empty(len(grams), np.int64), np.empty(len(grams), np.int64)
+    logs[order] = table[1][np.searchsorted(table[0], ordered)]
+    number = lambda x: np.cumsum(np.concatenate([[0], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    gram[order], context[order] = number(ordered), number(ordered >> np.uint64(8))
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    return np.log10((earlier(gram, owner) + ADAPT * 10.0**logs) / (earlier(context, owner) + ADAPT))
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -154,7 +219,7 @@ def look_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return out
 
 
-def score_documents(docs: DataFrame, held_out: int = 1, order: int = ORDER, most_sent: int = MAX_SENT) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: int = 1, most_sent: int = MAX_SENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     docs: doc_id, text; other columns are left out. Training takes the documents whose crc32(doc_id) mod 5 is not
@@ -164,7 +229,8 @@ def score_documents(docs: DataFrame, held_out: int = 1, order: int = ORDER, most
     spark = docs.sparkSession
     rows = blocks_of(docs)
     rows = rows.select("block", F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"), (crc_mod("doc_id", 5) == held_out).alias("held_out"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # in proportion to the input, so that a part's share of all blocks' keys does not grow with it
+    parts = 2 * max(input_parts(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {GRAM: [], WORD: []}
@@ -189,10 +255,10 @@ def score_documents(docs: DataFrame, held_out: int = 1, order: int = ORDER, most
                 current = int(blocks[a])
                 part = batch.slice(a, b - a)
                 train = ~part.column("held_out").to_numpy(zero_copy_only=False)
-                grams, begins, words, first = symbol_stream(*text_bytes(part.column("text")), order)
+                grams, begins, words, first = symbol_stream(*text_bytes(part.column("text")))
                 for kind, keys, at in ((GRAM, grams, begins), (WORD, words, first)):
                     held[kind] += tally(keys, np.repeat(train, np.diff(at)))
-                    if sum(len(k) for k, _ in held[kind]) > 3_000_000:
+                    if sum(len(k) for k, _ in held[kind][1:]) > max(SQUEEZE, len(held[kind][0][0])):
                         squeeze(kind)
         if current is not None:
             yield from flush()
@@ -218,7 +284,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, order: int = ORDER, most
         for (kind, part), own in gather(batches):
             keys, counts = add_up(np.concatenate([k for _, k, _ in own]), np.concatenate([n for _, _, n in own]))
             if kind == GRAM:
-                packed = dealt(kind, -1, keys, counts, parts, (keys >> np.uint64(8)) & np.uint64(0xFFFF))
+                packed = dealt(kind, -1, keys, counts, parts, context_of(keys, 3))
                 blank = [pa.array(np.zeros(packed.num_rows, np.int64))] * 2
                 yield pa.RecordBatch.from_arrays([*packed.columns, *blank], names)
                 continue
@@ -226,7 +292,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, order: int = ORDER, most
                 row = (kind, block, part, mine.tobytes(), counts[np.searchsorted(keys, mine)].tobytes(), int(counts.sum()) if i == 0 else 0, int((counts > 0).sum()) if i == 0 else 0)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
-    summed = materialize(asked.repartition(parts, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(total, PACKED + ", n long, distinct long"), "summed")
+    summed = materialize(asked.repartitionById(parts, "part").sortWithinPartitions("kind", "part").mapInArrow(total, PACKED + ", n long, distinct long"), "summed")
     docs_trained = rows.where("not held_out").count()
     words = summed.where(F.col("kind") == WORD).agg(F.sum("n"), F.sum("distinct")).first()
     n_train = (words[0] or 0) + docs_trained
@@ -235,33 +301,32 @@ def score_documents(docs: DataFrame, held_out: int = 1, order: int = ORDER, most
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                k, n = add_up(np.frombuffer(keys, np.uint64) & np.uint64(0xFFFF), np.frombuffer(counts, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], ["pair", "n"])
+                k, n = add_up(np.frombuffer(keys, np.uint64) & np.uint64(0xFFFFFF), np.frombuffer(counts, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n)], ["near", "n"])
 
     grams = summed.where(F.col("kind") == GRAM)
-    pairs = np.zeros((256, 256))
-    for row in grams.select("keys", "counts").mapInArrow(nearest, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
-        pairs[row["pair"] >> 8, row["pair"] & 255] = row["n"]
+    counted = grams.select("keys", "counts").mapInArrow(nearest, "near long, n long").groupBy("near").agg(F.sum("n").alias("n")).orderBy("near").toArrow()  # 2**24 rows at most
+    near = spark.sparkContext.broadcast(Near(counted.column("near").to_numpy(), counted.column("n").to_numpy()))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, part), own in gather(batches):
             keys, counts = add_up(np.concatenate([k for _, k, _ in own]), np.concatenate([n for _, _, n in own]))
-            scores = log_probabilities(keys, counts, pairs, order)
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([keys.tobytes()]), pa.array([scores.astype(np.float32).tobytes()]), pa.array([len(keys)], pa.int64())], ["kind", "part", "keys", "scores", "n"])
+            scores = log_probabilities(keys, counts, near.value)
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([keys.tobytes()]), pa.array([scores.tobytes()]), pa.array([len(keys)], pa.int64())], ["kind", "part", "keys", "scores", "n"])
 
-    model = materialize(grams.select("kind", "block", "part", "keys", "counts").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(predict, "kind int, part int, keys binary, scores binary, n long"), "model")
+    model = materialize(grams.select("kind", "block", "part", "keys", "counts").repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(predict, "kind int, part int, keys binary, scores binary, n long"), "model")
     size = model.agg(F.sum("n")).first()[0] or 0
     answers = summed.where(F.col("kind") == WORD).select("kind", "block", "keys", F.col("counts").alias("answers"))
     sent = None
     if size <= most_sent:
         got = model.select("keys", "scores").toArrow()
         keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("keys"))])
-        scores = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x.as_buffer(), np.float32) for x in got.column("scores"))])
+        scores = np.concatenate([np.zeros(0), *(np.frombuffer(x.as_buffer(), np.float64) for x in got.column("scores"))])
         at = np.argsort(keys)
         sent = spark.sparkContext.broadcast((keys[at], scores[at]))
     else:
         answers = answers.unionByName(answer_grams(asked, model, parts))
-    return score_blocks(rows, answers, sent, n_train, vocabulary, docs_trained, order)
+    return score_blocks(rows, answers, sent, n_train, vocabulary, docs_trained)
 
 
 def answer_grams(asked: DataFrame, model: DataFrame, parts: int) -> DataFrame:
@@ -271,7 +336,7 @@ def answer_grams(asked: DataFrame, model: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for keys, scores in zip(batch.column("keys").to_pylist(), batch.column("scores").to_pylist(), strict=True):
                 k = np.frombuffer(keys, np.uint64)
-                yield dealt(-1, 0, k, np.frombuffer(scores, np.float32).astype(np.float64).view(np.int64), parts, k)
+                yield dealt(-1, 0, k, np.frombuffer(scores, np.int64), parts, k)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, None
@@ -288,10 +353,10 @@ def answer_grams(asked: DataFrame, model: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([GRAM], pa.int32()), pa.array([block], pa.int64()), pa.array([keys]), pa.array([known[1][np.searchsorted(known[0], k)].tobytes()])], ["kind", "block", "keys", "answers"])
 
     both = model.select("keys", "scores").mapInArrow(spread, PACKED).unionByName(asked.where(F.col("kind") == GRAM))
-    return both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, "kind int, block long, keys binary, answers binary")
+    return both.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, "kind int, block long, keys binary, answers binary")
 
 
-def score_blocks(rows: DataFrame, answers: DataFrame, sent, n_train: int, vocabulary: int, ends: int, order: int) -> DataFrame:
+def score_blocks(rows: DataFrame, answers: DataFrame, sent, n_train: int, vocabulary: int, ends: int) -> DataFrame:
     """Score texts block by block: a block's answers come first, then its texts stream through."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -314,9 +379,9 @@ def score_blocks(rows: DataFrame, answers: DataFrame, sent, n_train: int, vocabu
                     at = np.argsort(keys)
                     ready[k] = keys[at], values[at]
                 tables = {}
-                grams, begins, words, first = symbol_stream(*text_bytes(part.column("text")), order)
+                grams, begins, words, first = symbol_stream(*text_bytes(part.column("text")))
                 known = look_up(words, ready[WORD]) if len(words) else np.zeros(0, np.int64)
-                logs = look_up(grams, ready[GRAM] if sent is None else sent.value)
+                logs = stream_scores(grams, begins, ready[GRAM] if sent is None else sent.value)
                 sums = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.float64)])[at])
                 n_known = sums(known > 0, first).astype(np.int64) + (ends > 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first) + 1), pa.array(n_known), pa.array(np.full(len(n_known), n_train)), pa.array(sums(base(known), first) + base(ends)), pa.array(sums(logs, begins))], names)

@@ -72,25 +72,45 @@ def brute_ppm(train, order):
     return counts
 
 
+def brute_probability(counts, stream, i, start):
+    """PPM from contexts of `start` bytes down."""
+    gone, s, p = set(), stream[i], 1.0
+    for k in range(start, -1, -1):
+        own = {c: n for c, n in counts.get(stream[i - k : i], {}).items() if c not in gone}
+        if not own:
+            continue
+        size = sum(own.values())
+        if s in own:
+            return p * (own[s] - 0.5) / size
+        p *= 0.5 * len(own) / size
+        gone |= set(own)
+    return p / (252 - len(gone))
+
+
 def brute_score(counts, text, order):
-    stream, total = b"\n" * order + (b" ".join(words(text)) + b"\n"), 0.0
+    stream, total, own = b"\n" * order + (b" ".join(words(text)) + b"\n"), 0.0, {}
     for i in range(order, len(stream)):
-        gone, s = set(), stream[i]
-        for k in range(order, -1, -1):
-            own = {c: n for c, n in counts.get(stream[i - k : i], {}).items() if c not in gone}
-            if not own:
-                continue
-            size = sum(own.values())
-            if s in own:
-                total += math.log10((own[s] - 0.5) / size)
-                break
-            total += math.log10(0.5 * len(own) / size)
-            gone |= set(own)
-        else:
-            total -= math.log10(252 - len(gone))
+        before = own.setdefault(stream[i - order : i], Counter())
+        p = sum(w * brute_probability(counts, stream, i, start) for start, w in ppm.BLEND.items())
+        total += math.log10((before[stream[i]] + ppm.ADAPT * p) / (sum(before.values()) + ppm.ADAPT))
+        before[stream[i]] += 1
     return total
 
 
+def test_ppm_is_a_distribution(spark):
+    texts = [b"abracadabra cad abra", b"abra abba"]
+    counts = brute_ppm([t.decode() for t in texts], ppm.ORDER)
+    stream = b"\n" * ppm.ORDER + b"abrac"
+    symbols = [b for b in range(256) if b not in (9, 11, 12, 13)]
+    for start in ppm.BLEND:
+        assert sum(brute_probability(counts, stream + bytes([b]), len(stream), start) for b in symbols) == pytest.approx(1)
+
+
+def test_ppm_beats_the_words_on_held_out_documents(spark):
+    got = queries.op3_ppm_scores(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.s > got.b
+
+
 @pytest.mark.parametrize("sent", [ppm.MAX_SENT, 0])
 def test_ppm_against_dictionaries(spark, odd, odd_rows, held_out, sent):
     train = [t for i, t in odd_rows if not held_out(i, 1)]
@@ -100,7 +120,7 @@ def test_ppm_against_dictionaries(spark, odd, odd_rows, held_out, sent):
     assert len(got) == len(odd_rows)
     want = sorted((len(words(t)) + 1, sum(tokens[w] > 0 for w in [*words(t), b"\n"]), round(sum(math.log10((tokens[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*words(t), b"\n"]), 3), round(brute_score(counts, t, ppm.ORDER), 3)) for _, t in odd_rows)
     have = sorted((r.n_tokens, r.n_known, round(r.base_score, 3), round(r.score, 3)) for r in got.itertuples())
-    assert np.allclose(np.array(want), np.array(have), rtol=1e-4, atol=2e-3)
+    assert np.allclose(np.array(want), np.array(have), rtol=1e-9, atol=2e-3)
     assert set(got.train_tokens) == {n}
 
 
