@@ -54,6 +54,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     shares = [segment_sums(kinds == i, offsets) / per for i in range(len(KINDS))]
     same = np.zeros(len(raw), bool)
     same[1:] = raw[1:] == raw[:-1]
+    same[offsets[:-1][size > 0]] = False  # a text's first byte follows none
     hashes = PolyHash(raw)
     word = hashes.of(starts, ends)
     owner = np.repeat(np.arange(n), words)
@@ -213,19 +214,25 @@ def text_features(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(compute, "doc_id long, x array<float>")
 
 
-def train(rows: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAIN, held_out: int = 0) -> Gam:
-    """Fit on labelled rows whose crc32(doc_id) mod 5 is not held_out; at most about `most`, chosen by a hash of doc_id.
+def sample_labels(labels: DataFrame, label: str = "quality", most: int = MAX_TRAIN, held_out: int = 0) -> DataFrame:
+    """doc_id, y of labelled documents whose crc32(doc_id) mod 5 is not held_out; about `most` at most, chosen by a hash of doc_id.
 
-    Null labels are left out; of several labels of one document the mean counts, rounded; of repeated documents one.
+    Null labels are left out; of several labels of one document the mean counts, rounded.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc_mod("doc_id", 5) != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     share = most / max(1, known.count())
     if share < 1:
         known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = known.join(rows, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "x").toPandas().sort_values("doc_id")
-    x = np.array(sample["x"].tolist(), np.float32).reshape(len(sample), len(NAMES))
-    return fit(x, sample["y"].to_numpy(np.float64))
+    return known
+
+
+def train(rows: DataFrame, known: DataFrame) -> Gam:
+    """Fit on the features (doc_id, x) of the documents in known (doc_id, y); of repeated documents one."""
+    sample = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("s")).orderBy("doc_id").select("s.y", "s.x").toArrow()
+    x = sample.column("x").combine_chunks()
+    x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(sample), len(NAMES)) if len(sample) else np.zeros((0, len(NAMES)), np.float32)
+    return fit(x, sample.column("y").to_numpy().astype(np.float64))
 
 
 def score(rows: DataFrame, model: Gam) -> DataFrame:
@@ -247,13 +254,15 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     0); repeated rows are scored each. Columns besides doc_id and text are left out.
     """
     rows = materialize(text_features(docs), "features")
-    scored = score(rows, train(rows, labels, label, most))
+    scored = score(rows, train(rows, sample_labels(labels, label, most)))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, most: int = MAX_TRAIN) -> DataFrame:
     """The rows of docs, all columns, whose score is at least threshold; trained on labels as `classify` is."""
-    model = train(materialize(text_features(docs), "features"), labels, label, most)
+    known = materialize(sample_labels(labels, label, most), "labels")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    model = train(text_features(own), known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

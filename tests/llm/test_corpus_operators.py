@@ -48,6 +48,47 @@ def test_quality_ignores_held_out_labels(spark, sf):
     assert (a == b).all()
 
 
+def brute_features(text):
+    raw = text.encode()
+    share = lambda own: sum(b in own for b in raw) / max(len(raw), 1)
+    own = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = [x for x in raw.split(b"\n") if x]
+    distinct = lambda items: len(set(items)) / len(items) if items else 1.0
+    kind = lambda b: next(k for k, values in quality.KINDS.items() if b in values)
+    mean = lambda tests: sum(tests) / max(len(own), 1)
+    letters = ("lower", "upper", "high")
+    used = {b for k, values in quality.KINDS.items() for b in values}
+    assert used == set(range(256))
+    return [
+        math.log1p(len(raw)), math.log1p(len(own)), sum(b != 32 for b in raw) / max(len(own), 1), *(share(set(v)) for v in quality.KINDS.values()),
+        sum(a == b for a, b in zip(raw, raw[1:], strict=False)) / max(len(raw), 1), distinct(own), distinct(lines), math.log1p(len(raw) / max(len(lines), 1)), sum(kind(x[-1]) == "stop" for x in lines) / max(len(lines), 1),
+        mean(kind(w[-1]) == "symbol" for w in own), mean(kind(w[-1]) == "stop" for w in own), mean(not any(kind(b) in letters for b in w) for w in own), mean(kind(w[0]) == "upper" for w in own),
+        math.log1p(max(map(len, own), default=0)), distinct(list(zip(own, own[1:], own[2:], strict=False))),
+    ]
+
+
+def brute_trees(x, y):
+    """The score of each row by a walk through the tables, entry by entry."""
+    model = quality.fit(x, y)
+    out = []
+    for row in x:
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True)) + sum(t[model.coarse[f][bins[f]]][model.coarse[g][bins[g]]] for f, g, t in model.pairs)
+        out.append(1 / (1 + math.exp(-total)))
+    return model, out
+
+
+def test_quality_against_brute_force(spark, sf):
+    docs = table(spark, sf, "documents").toPandas()
+    texts = [t for t in docs.text[:60]] + ["", " ", "a", "A b\nc. d! #x 12", "é ü\n\n\nz z z z"]
+    arrow = pa.array(texts)
+    x = quality.features(*text_bytes(arrow))
+    assert np.allclose(x, np.array([brute_features(t) for t in texts]), rtol=1e-5, atol=1e-6)
+    y = np.array([float(len(t) % 2) for t in texts])
+    model, scores = brute_trees(x.astype(np.float64), y)
+    assert np.allclose(model.score(x.astype(np.float64)), scores) and model.pairs and len({f for f, _, _ in model.pairs}) > 1
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, None), (5, 0, 1), (5, None, 0), (None, 1, 1), (10, 0, 0), (6, 1, 1)], "doc_id bigint, quality int, toxic int")
     assert quality.classify(odd, labels).count() == odd.count()
