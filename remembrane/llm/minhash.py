@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PolyHash, arrow_pieces, materialize, mix64, text_bytes, whole_text, word_spans
+from .common import PolyHash, arrow_pieces, materialize, mix64, text_bytes, unused, whole_text, word_spans
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -264,9 +264,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
 
     Of rows that repeat a doc_id the one with the smallest text stays (null first); rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(materialize(gone, "gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    other, first = unused(docs, "__gone", "__first")
+    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias(other)).distinct()
+    out = docs.join(materialize(gone, "gone"), F.col("doc_id").cast("long") == F.col(other), "left_anti")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = out.withColumn("__first", first).where("__first = 1 or doc_id is null").drop("__first")
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = out.withColumn(first, place).where((F.col(first) == 1) | F.col("doc_id").isNull()).drop(first)
     return out

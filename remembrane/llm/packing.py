@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
-from .common import arrow_pieces, materialize, whole_text
+from .common import arrow_pieces, materialize, unused, whole_text
 
 
 class SumIndex:
@@ -145,39 +145,38 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], buckets: int | None
     about BUCKET_ROWS fall into one, 256 at least. An empty table gives an empty result.
     """
     pieces = pieces.drop("sequence_id", "offset")
+    names = list(pieces.columns)
+    size, hashed, bucket, n, base, rank = unused(pieces, "__length", "__hash", "__bucket", "__n", "__base", "__rank")
     fits = F.col(length).between(1, capacity)
-    marked = materialize(pieces.withColumn("__hash", F.when(fits, F.pmod(F.xxhash64(*order), F.lit(1 << 30)))).withColumn("__length", F.when(fits, F.col(length).cast("int"))), "pieces")
+    marked = materialize(pieces.withColumns({hashed: F.when(fits, F.pmod(F.xxhash64(*order), F.lit(1 << 30))), size: F.when(fits, F.col(length).cast("int"))}), "pieces")
     buckets = buckets or max(256, -(-marked.count() // BUCKET_ROWS))
-    marked = marked.withColumn("__bucket", F.col("__hash") % buckets).drop("__hash")
-    counts = materialize(marked.where("__length is not null").groupBy("__length", "__bucket").agg(F.count("*").alias("__n")), "piece-counts")
+    marked = marked.withColumn(bucket, F.col(hashed) % buckets).drop(hashed)
+    counts = materialize(marked.where(F.col(size).isNotNull()).groupBy(size, bucket).agg(F.count("*").alias(n)), "piece-counts")
     histogram = np.zeros(capacity + 1, np.int64)
-    for row in counts.groupBy("__length").agg(F.sum("__n").alias("n")).collect():  # a row for each length
-        histogram[row["__length"]] = row["n"]
+    for row in counts.groupBy(size).agg(F.sum(n).alias("n")).collect():  # a row for each length
+        histogram[row[size]] = row["n"]
     table, begins = place_ranges(plan_patterns(histogram, capacity), capacity)
 
-    before = Window.partitionBy("__length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("__length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    in_bucket = Window.partitionBy("__length", "__bucket").orderBy(*order)
-    ranked = marked.withColumn("__rank", F.row_number().over(in_bucket)).join(bases, ["__length", "__bucket"], "left")
-    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__base") - 1).select(*pieces.columns, "__length", "__rank")
-
-    names = list(pieces.columns)
+    before = Window.partitionBy(size).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(size, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    ranked = marked.withColumn(rank, F.row_number().over(Window.partitionBy(size, bucket).orderBy(*order))).join(bases, [size, bucket], "left")
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(base) - 1).select(*names, size, rank)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, rank = (b.column(c).fill_null(0).to_numpy() for c in ("__length", "__rank"))
-            known = b.column("__length").is_valid().to_numpy(zero_copy_only=False)
-            sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            at = np.argsort(n, kind="stable")
-            for part in np.split(at, np.flatnonzero(np.diff(n[at])) + 1) if len(at) else []:
-                own = table[begins[n[part[0]]] : begins[n[part[0]] + 1]]
+            lengths, ranks = (b.column(c).fill_null(0).to_numpy() for c in (size, rank))
+            known = b.column(size).is_valid().to_numpy(zero_copy_only=False)
+            sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            at = np.argsort(lengths, kind="stable")
+            for part in np.split(at, np.flatnonzero(np.diff(lengths[at])) + 1) if len(at) else []:
+                own = table[begins[lengths[part[0]]] : begins[lengths[part[0]] + 1]]
                 if known[part[0]] and len(own):
-                    k = np.searchsorted(own[:, 0], rank[part], side="right") - 1
-                    sequence[part], offset[part] = own[k, 1] + rank[part] - own[k, 0], own[k, 2]
+                    k = np.searchsorted(own[:, 0], ranks[part], side="right") - 1
+                    sequence[part], offset[part] = own[k, 1] + ranks[part] - own[k, 0], own[k, 2]
             kept = [b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int64(), mask=~known) for x in (sequence, offset))], [*names, "sequence_id", "offset"])
 
-    schema = ranked.select(*pieces.columns).schema.add("sequence_id", "long").add("offset", "long")
+    schema = ranked.select(*names).schema.add("sequence_id", "long").add("offset", "long")
     return ranked.mapInArrow(place, schema)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PolyHash, arrow_pieces, materialize, mix64, text_bytes, whole_text
+from .common import PolyHash, arrow_pieces, materialize, mix64, text_bytes, unused, whole_text
 
 WIDTH, GRAM = 200, 40
 #: Different runs in a group that go through one suffix array at most, and places of the anchor that a part of a split has.
@@ -336,9 +336,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     No row goes; a text that is repeated whole becomes empty. Bytes of a character of which a part is removed go, too.
     """
-    rows = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn("__uid", F.xxhash64(F.col("doc_id").cast("long"), whole_text(docs)))
-    gone = cut(repeated_spans(keyed(docs), width), with_text=True).select(F.col("k").alias("__k"), F.col("uid").alias("__uid"), "left")
-    out = rows.join(gone.withColumnRenamed("left", "__left"), ["__k", "__uid"], "left").withColumn("text", F.coalesce("__left", "text"))
+    k, uid, left = unused(docs, "__k", "__uid", "__left")
+    rows = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), uid: F.xxhash64(F.col("doc_id").cast("long"), whole_text(docs))})
+    gone = cut(repeated_spans(keyed(docs), width), with_text=True).select(F.col("k").alias(k), F.col("uid").alias(uid), F.col("left").alias(left))
+    out = rows.join(gone, [k, uid], "left").withColumn("text", F.coalesce(left, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__left").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

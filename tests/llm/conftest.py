@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, component_id string, k string, piece string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, component_id string, k string, piece string, __gone string, __FIRST string, __k string, __uid string, __left string, __length string, __hash string, __bucket string, __n string, __base string, __rank string"
 
 
 @pytest.fixture
@@ -11,7 +11,7 @@ def make(spark):
     """A documents table with extra columns whose names clash with what operators make."""
 
     def build(rows):
-        return spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None, "x", "y", "z") for i, t in rows], SCHEMA)
+        return spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None, "x", "y", "z", *"abcdefghijk") for i, t in rows], SCHEMA)
 
     return build
 

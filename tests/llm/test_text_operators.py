@@ -146,6 +146,12 @@ def test_sums_are_found_while_they_last():
                 assert index.use(*np.unique(found, return_counts=True)) > 0 and (left >= 0).all()
 
 
+def test_packing_with_clashing_names(odd):
+    lengths = odd.withColumn("length", F.length(F.coalesce("text", F.lit(""))) % 20 + 1)
+    got = packing.pack(lengths, 20, ["doc_id", "text"])
+    assert got.columns == [*lengths.columns, "sequence_id", "offset"] and check_packing(got.collect(), 20) and got.where("__length = 'f' and __rank = 'k'").count() == odd.count()
+
+
 def test_packing_odd_lengths(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 0), (4, 99), (5, 5)], "id int, length int").withColumn("offset", F.lit("mine"))
     rows = {r.id: (r.sequence_id, r.offset) for r in packing.pack(df, 10, ["id"]).collect()}
