@@ -326,7 +326,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, most_sent: int = MAX_SEN
         sent = spark.sparkContext.broadcast((keys[at], scores[at]))
     else:
         answers = answers.unionByName(answer_grams(asked, model, parts))
-    return score_blocks(rows, answers, sent, n_train, vocabulary, docs_trained)
+    return score_blocks(rows, answers, sent, n_train, vocabulary, docs_trained, 4 * parts)
 
 
 def answer_grams(asked: DataFrame, model: DataFrame, parts: int) -> DataFrame:
@@ -356,8 +356,8 @@ def answer_grams(asked: DataFrame, model: DataFrame, parts: int) -> DataFrame:
     return both.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, "kind int, block long, keys binary, answers binary")
 
 
-def score_blocks(rows: DataFrame, answers: DataFrame, sent, n_train: int, vocabulary: int, ends: int) -> DataFrame:
-    """Score texts block by block: a block's answers come first, then its texts stream through."""
+def score_blocks(rows: DataFrame, answers: DataFrame, sent, n_train: int, vocabulary: int, ends: int, tasks: int) -> DataFrame:
+    """Score texts block by block: a block's answers come first, then its texts stream through. So many tasks that few get two blocks."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,5 +388,5 @@ def score_blocks(rows: DataFrame, answers: DataFrame, sent, n_train: int, vocabu
 
     texts = rows.select(F.lit(2).alias("kind"), "block", "doc_id", "held_out", "text", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("answers"))
     told = answers.select("kind", "block", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit("").alias("text"), "keys", "answers")
-    both = told.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    both = told.unionByName(texts).repartition(tasks, "block").sortWithinPartitions("block", "kind")
     return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
