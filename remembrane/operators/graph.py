@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import strings, valid_at, visible
+from ..functions.refs import plain_label
+from ..functions.text import neutralize
 from ..storage import cut_lineage
 
 # Degree from which a node is a hub at least, the share of nodes below it, and limits of a traversal.
@@ -66,30 +69,33 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, hub_degree: int | None =
     return seen
 
 
-def dfs(edges: DataFrame, seeds: Sequence[str], depth: int, most: int = 1000) -> list[str]:
+def dfs(edges: DataFrame, seeds: Sequence[str], depth: int, most: int = 1000, batch: int = 200) -> list[str]:
     """Keys in depth-first order, neighbours by key, at most `most`: an order over a small part of a graph, kept on the driver.
 
-    Only out-edges of what the walk may reach within its depth are read, and no more than `most` for each level.
+    Out-edges of what comes next are read as the walk needs them, for up to `batch` nodes at a time. Of a node's
+    neighbours the first 2 * most by key are enough: those visited before it are fewer than `most`, and no more follow.
     """
-    spark, out, wanted = edges.sparkSession, {}, set(seeds)
-    for _ in range(depth):
-        level = spark.createDataFrame([(k,) for k in sorted(wanted - set(out))], "src string") if wanted - set(out) else None
-        if level is None:
-            break
-        rows = edges.join(level, "src").select("src", "dst").distinct().orderBy("src", "dst").limit(most).collect()
-        out |= {k: [] for k in wanted if k not in out}
-        for r in rows:
-            out[r["src"]].append(r["dst"])
-        wanted = {r["dst"] for r in rows}
+    spark, out = edges.sparkSession, {}
     order: list[str] = []
+    seen: set[str] = set()
     stack = [(k, 0) for k in sorted(seeds, reverse=True)]
     while stack and len(order) < most:
         key, at = stack.pop()
-        if key in order:
+        if key in seen:
             continue
+        seen.add(key)
         order.append(key)
-        if at < depth:
-            stack += [(k, at + 1) for k in reversed(out.get(key, []))]
+        if at == depth:
+            continue
+        if key not in out:
+            wanted = list(dict.fromkeys([key, *(k for k, d in reversed(stack) if d < depth and k not in out and k not in seen)]))[:batch]
+            ask = spark.createDataFrame([(k,) for k in wanted], "src string")
+            place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+            rows = edges.join(F.broadcast(ask), "src").select("src", "dst").distinct().withColumn("r", place).where(F.col("r") <= 2 * most).orderBy("src", "dst").collect()
+            out |= {k: [] for k in wanted}
+            for r in rows:
+                out[r["src"]].append(r["dst"])
+        stack += [(k, at + 1) for k in reversed(out[key]) if k not in seen]
     return order
 
 
@@ -117,12 +123,24 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 8) -> lis
     return None
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, steps: Sequence[dict]) -> DataFrame:
-    """step, key: what each step {relation, direction, depth, limit, where} reaches from what the step before reached.
+def live_edges(edges: DataFrame, at: str | None = None, namespaces: Sequence[str] = ()) -> DataFrame:
+    """Edges valid at a time (without one: not closed) in these namespaces, those that lost their evidence left out;
+    each test where the table has the column for it."""
+    if "valid_from" in edges.columns and "valid_to" in edges.columns:
+        edges = edges.where(valid_at(F.col("valid_from"), F.col("valid_to"), at))
+    if "evidence_lost" in edges.columns:
+        edges = edges.where(~F.coalesce("evidence_lost", F.lit(False)))
+    return edges.where(F.col("namespace").isin(list(namespaces))) if namespaces and "namespace" in edges.columns else edges
+
+
+def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, steps: Sequence[dict], at: str | None = None, namespaces: Sequence[str] = ()) -> DataFrame:
+    """step, key, truncated: what each step {relation, direction, depth, limit, where} reaches from what the step before reached.
 
-    direction: out, in or both. where: a Column on nodes. A step's limit takes keys in order, after visibility and where.
+    direction: out, in or both. where: a Column on nodes. A step's limit takes keys in order, after visibility and where;
+    truncated tells whether there were more. Only edges that hold at the time `at` count.
     """
     now, out = start.select("key").distinct(), []
+    edges = live_edges(edges, at, namespaces)
     for number, step in enumerate(steps, 1):
         depth, limit = step.get("depth", 1), step.get("limit", MAX_STEP_LIMIT)
         if not 1 <= depth <= MAX_DEPTH or not 1 <= limit <= MAX_STEP_LIMIT:
@@ -136,12 +154,77 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, steps: Sequen
             seen = seen.unionByName(frontier)
         reached = seen.join(now, "key", "left_anti")
         fit = nodes.where(step["where"]) if step.get("where") is not None else nodes
-        now = reached.join(fit.select(F.col("natural_key").alias("key")), "key", "left_semi").orderBy("key").limit(limit)
-        now = cut_lineage(now)
-        out.append(now.withColumn("step", F.lit(number).cast("long")))
+        found = cut_lineage(reached.join(fit.select(F.col("natural_key").alias("key")), "key", "left_semi").distinct().orderBy("key").limit(limit + 1))
+        more = found.count() > limit
+        now = found.orderBy("key").limit(limit) if more else found
+        out.append(now.select(F.lit(number).cast("long").alias("step"), "key", F.lit(more).alias("truncated")))
     return reduce(DataFrame.unionByName, out)
 
 
+def step_facts(edges: DataFrame, frontier: DataFrame, relation: str, direction: str, at: str | None = None) -> DataFrame:
+    """subject, predicate, object, each once: the edges of a relation that a step from frontier (key) runs over."""
+    own = live_edges(edges, at).where(F.col("type") == relation)
+    ends = {"out": ("src",), "in": ("dst",), "both": ("src", "dst")}[direction]
+    met = [own.join(frontier.select(F.col("key").alias(e)).distinct(), e, "left_semi") for e in ends]
+    return reduce(DataFrame.unionByName, met).select(F.col("src").alias("subject"), F.col("type").alias("predicate"), F.col("dst").alias("object")).distinct()
+
+
+def neighborhood(edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int = 55, per_seed: int = 10, frontier_cap: int = 16) -> tuple[DataFrame, DataFrame]:
+    """key, hop of the surroundings of seeds (key, hop 0) and the edges among them: each node of a frontier brings its first
+    per_seed neighbours by key, a frontier has frontier_cap nodes by key, and there are `limit` keys in all, by hop and key."""
+    both = undirected(edges).distinct()
+    seen = cut_lineage(seeds.select("key").distinct().withColumn("hop", F.lit(0)))
+    frontier = seen.select("key")
+    for hop in range(1, hops + 1):
+        start = frontier.orderBy("key").limit(frontier_cap)
+        place = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+        near = both.join(F.broadcast(start.withColumnRenamed("key", "a")), "a").join(seen.select(F.col("key").alias("b")), "b", "left_anti").withColumn("r", place).where(F.col("r") <= per_seed)
+        frontier = cut_lineage(near.select(F.col("b").alias("key")).distinct())
+        seen = seen.unionByName(frontier.withColumn("hop", F.lit(hop)))
+    kept = cut_lineage(seen.orderBy("hop", "key").limit(limit))
+    return kept, induced(edges, kept)
+
+
+def project_graph(nodes: DataFrame, edges: DataFrame, allowed: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as a reader sees them: restricted ones left out, one edge for each pair of ends (the last type by name).
+
+    Ends that are no node are added as stubs where there is no restriction; else edges to them go.
+    """
+    seen = nodes.where(visible(F.col("scopes"), allowed)) if "scopes" in nodes.columns else nodes
+    own = edges.where(visible(F.col("scopes"), allowed)) if "scopes" in edges.columns else edges
+    pairs = own.groupBy("src", "dst").agg(F.max("type").alias("type"))
+    k = seen.select(F.col("natural_key").alias("key")).distinct()
+    if allowed is not None:
+        return seen, induced(pairs, k)
+    ends = pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key"))).distinct()
+    stubs = ends.join(k, "key", "left_anti").select(F.col("key").alias("natural_key"), F.lit("entity").alias("type"), F.col("key").alias("title"))
+    return seen.unionByName(stubs, allowMissingColumns=True), pairs
+
+
+def related(edges: DataFrame, key: str, relation: str = "") -> DataFrame:
+    """direction, type, key of a node's neighbours; relation: a part of the type's name, regardless of case."""
+    own = edges.where(F.contains(F.lower("type"), F.lit(relation.lower()))) if relation else edges
+    out = own.where(F.col("src") == key).select(F.lit("out").alias("direction"), "type", F.col("dst").alias("key"))
+    return out.unionByName(own.where(F.col("dst") == key).select(F.lit("in").alias("direction"), "type", F.col("src").alias("key"))).distinct()
+
+
+def node_card(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """A node's row with how many edges leave and reach it."""
+    own = nodes.where(F.col("natural_key") == key)
+    n = lambda end: edges.where(F.col(end) == key).agg(F.count("*").alias(f"n_{end}"))
+    return own.crossJoin(F.broadcast(n("src"))).crossJoin(F.broadcast(n("dst"))).withColumnsRenamed({"n_src": "edges_out", "n_dst": "edges_in"})  # one row each
+
+
+def by_keys(nodes: DataFrame, keys: Sequence[str], aliases: bool = False) -> DataFrame:
+    """Nodes by their keys, or by aliases, too; each once."""
+    ask = nodes.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], "__k string")
+    found = nodes.join(F.broadcast(ask), F.col("natural_key") == F.col("__k"), "left_semi")
+    if aliases:
+        hit = nodes.select("natural_key", F.explode("aliases").alias("__k")).join(F.broadcast(ask), "__k", "left_semi").select("natural_key").distinct()
+        found = found.unionByName(nodes.join(hit, "natural_key", "left_semi")).dropDuplicates(["natural_key"])
+    return found
+
+
 def induced(edges: DataFrame, keys: DataFrame) -> DataFrame:
     """Edges with both ends among keys (key)."""
     k = keys.select("key").distinct()
@@ -186,10 +269,33 @@ def missing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return a.unionByName(edges.join(k, F.col("src") == F.col("__k"), "left_semi").join(k, F.col("dst") == F.col("__k"), "left_anti"))
 
 
-def subgraph_text(nodes: DataFrame, edges: DataFrame, token_budget: int = 2000, per_token: int = 3) -> Column:
-    """One text of NODE and EDGE lines in order of key, cut at the budget."""
-    lines = nodes.select(F.lit(0).alias("o"), "natural_key", F.concat(F.lit("NODE "), "natural_key", F.lit(" "), "title").alias("line"))
-    lines = lines.unionByName(edges.select(F.lit(1).alias("o"), F.concat_ws("|", "src", "type", "dst").alias("natural_key"), F.concat(F.lit("EDGE "), "src", F.lit(" -"), "type", F.lit("-> "), "dst").alias("line")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "natural_key", "line"))), lambda x: x["line"]), "\n")
-    # a line has a character at least, so later ones are beyond the budget; a node without a title has none
-    return lines.where("line is not null").orderBy("o", "natural_key", "line").limit(token_budget * per_token).agg(F.substr(whole, F.lit(1), F.lit(token_budget * per_token)).alias("text"))
+def subgraph_text(nodes: DataFrame, edges: DataFrame, token_budget: int = 2000, per_token: int = 3, seeds: Sequence[str] = ()) -> DataFrame:
+    """One row with text: NODE lines, seeds in their order first, then by falling degree (ties by key), and EDGE lines by ends,
+    cut at the last whole line within the budget, with how many nodes are left out.
+
+    Labels may hold text from anywhere, so they lose control characters and phrases that instruct a model.
+    """
+    clean = lambda c: neutralize(plain_label(c))
+    most = token_budget * per_token
+    column = lambda rows, name, other: F.col(name) if name in rows.columns else F.lit(other)
+    named = nodes.select("natural_key", clean(F.coalesce("title", "natural_key")).alias("label"), clean(F.coalesce(column(nodes, "type", "entity"), F.lit("entity"))).alias("kind"), clean(column(nodes, "source_path", "")).alias("source"), clean(F.coalesce(column(nodes, "community_name", None).cast("string"), column(nodes, "community", None).cast("string"), F.lit(""))).alias("community"))
+    named = named.join(degrees(edges).withColumnRenamed("key", "natural_key"), "natural_key", "left").dropDuplicates(["natural_key"])
+    first = F.array_position(strings(seeds), F.col("natural_key"))
+    line = F.concat(F.lit("NODE ["), "kind", F.lit("] "), "label", F.lit(" (ключ="), clean(F.col("natural_key")), F.lit(") [источник="), F.coalesce("source", F.lit("")), F.lit(" community="), "community", F.lit("]"))
+    lines = named.select(F.lit(0).alias("o"), F.when(first > 0, first).otherwise(1 << 40).cast("long").alias("p"), (-F.coalesce("degree", F.lit(0))).cast("long").alias("d"), F.col("natural_key").alias("k"), line.alias("line"))
+    end = lambda e: named.select(F.col("natural_key").alias(e), F.col("label").alias(f"{e}_label"))
+    drawn = edges.join(end("src"), "src").join(end("dst"), "dst")
+    arrow = F.concat(F.lit("EDGE "), "src_label", F.lit(" --"), clean(F.col("type")), F.lit("--> "), "dst_label")
+    lines = lines.unionByName(drawn.select(F.lit(1).alias("o"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("d"), F.concat_ws("\u001f", "src", "type", "dst").alias("k"), arrow.alias("line")))
+    # a line has more than a character, so later ones are beyond the budget
+    kept = lines.orderBy("o", "p", "d", "k", "line").limit(most)
+    ordered = F.array_sort(F.collect_list(F.struct("o", "p", "d", "k", "line")))
+    whole = kept.agg(ordered.alias("l")).select(F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("t"))
+    total = named.agg(F.count("*").alias("n"))
+    both = whole.crossJoin(F.broadcast(total))  # one row each
+    cut = F.substr("t", F.lit(1), F.lit(most))
+    at = F.length(cut) - F.length(F.substring_index(cut, "\n", -1)) - 1
+    short = F.substr(cut, F.lit(1), F.when(at > 0, at).otherwise(most))
+    shown = F.regexp_count(short, F.lit(r"(?m)^NODE "))
+    note = F.concat(F.lit("\n… ("), F.greatest(F.col("n") - shown, F.lit(0)).cast("string"), F.lit(f" nodes left out, budget of about {token_budget} tokens)"))
+    return both.select(F.when(F.length("t") > most, F.concat(short, note)).otherwise(F.col("t")).alias("text"))
