@@ -158,15 +158,15 @@ def parts(spark, d):
 
 
 def wanted(spark, d):
-    p = read(spark, d, "part").where("p_partkey % 10 = 0")
-    exact = p.where("p_partkey % 20 = 0").select(F.concat(F.lit("part."), F.regexp_replace("p_name", " ", ".")).alias("candidate"))
-    alias = p.where("p_partkey % 50 = 10").select(F.concat(F.col("p_brand"), F.lit(":"), "p_partkey").alias("candidate"))
-    tail = p.where("p_partkey % 50 = 30").select(F.regexp_replace("p_name", " ", ".").alias("candidate"))
+    p = read(spark, d, "part")
+    exact = p.select(F.concat(F.lit("part."), F.regexp_replace("p_name", " ", ".")).alias("candidate"))
+    alias = p.select(F.concat(F.col("p_brand"), F.lit(":"), "p_partkey").alias("candidate"))
+    tail = p.select(F.regexp_replace("p_name", " ", ".").alias("candidate"))
     return exact.unionByName(alias).unionByName(tail).distinct()
 
 
 TIERS_SQL = """e AS (SELECT 'part.' || replace(p_name, ' ', '.') AS key, p_brand || ':' || p_partkey AS alias FROM part),
-c AS (SELECT DISTINCT 'part.' || replace(p_name, ' ', '.') AS candidate FROM part WHERE p_partkey % 20 = 0 UNION SELECT p_brand || ':' || p_partkey FROM part WHERE p_partkey % 50 = 10 UNION SELECT replace(p_name, ' ', '.') FROM part WHERE p_partkey % 50 = 30),
+c AS (SELECT DISTINCT 'part.' || replace(p_name, ' ', '.') AS candidate FROM part UNION SELECT p_brand || ':' || p_partkey FROM part UNION SELECT replace(p_name, ' ', '.') FROM part),
 k AS (SELECT DISTINCT key FROM e),
 m AS (SELECT candidate, key, 1 AS tier FROM c JOIN k ON candidate = key UNION SELECT candidate, key, 2 FROM c JOIN e ON candidate = alias
 UNION SELECT candidate, key, 3 FROM c JOIN k ON lower(candidate) = lower(key) UNION SELECT candidate, key, 4 FROM c JOIN k ON length(candidate) >= 4 AND (ends_with(key, ' ' || candidate) OR ends_with(key, '.' || candidate) OR ends_with(key, ':' || candidate))),

@@ -72,10 +72,9 @@ def concept_subgraph(spark, d):
     return graph.concept_subgraph(links, seeds).select("item", "concept")
 
 
-@query(f"WITH {EDGES_SQL}, k AS (SELECT 'customer:' || c_custkey AS key FROM customer WHERE c_custkey <= 50 UNION ALL SELECT 'nation:' || n_nationkey FROM nation WHERE n_nationkey < 10 UNION ALL SELECT 'region:0') SELECT src, type, dst FROM edges WHERE src IN (SELECT key FROM k) AND dst IN (SELECT key FROM k)")
+@query(f"WITH {EDGES_SQL}, k AS (SELECT 'customer:' || c_custkey AS key FROM customer UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'region:' || r_regionkey FROM region) SELECT src, type, dst FROM edges WHERE src IN (SELECT key FROM k) AND dst IN (SELECT key FROM k)")
 def induced_subgraph(spark, d):
-    k = read(spark, d, "customer").where("c_custkey <= 50").select(F.concat(F.lit("customer:"), "c_custkey").alias("key"))
-    k = k.unionByName(read(spark, d, "nation").where("n_nationkey < 10").select(F.concat(F.lit("nation:"), "n_nationkey").alias("key"))).unionByName(keys(spark, "region:0"))
+    k = nodes(spark, d, "customer", "nation", "region").select(F.col("natural_key").alias("key"))
     return graph.induced(edges(spark, d), k).select("src", "type", "dst")
 
 
@@ -88,22 +87,33 @@ def typed_traverse(spark, d):
         {"relation": "IN_REGION", "direction": "in"}, {"relation": "SUPPLIER_IN", "direction": "in", "limit": 50},
         {"relation": "SUPPLIES", "direction": "out", "limit": 100, "where": F.col("natural_key").startswith("part:1")},
     ]
-    return graph.traverse(nodes(spark, d), edges(spark, d), keys(spark, "region:1"), steps).withColumn("step", F.col("step").cast("int"))
+    relevant = edges(spark, d, *(s["relation"] for s in steps))
+    return graph.traverse(nodes(spark, d), relevant, keys(spark, "region:1"), steps).select(F.col("step").cast("int").alias("step"), "key")
 
 
 @query(f"""WITH {EDGES_SQL}, e AS (SELECT src AS key FROM edges UNION ALL SELECT dst FROM edges), hubs AS (SELECT key FROM e GROUP BY key HAVING count(*) >= 60),
-h0 AS (SELECT DISTINCT 'order:' || o_orderkey AS key FROM orders WHERE o_orderkey <= 5), h1 AS (SELECT DISTINCT dst AS key FROM edges WHERE src IN (SELECT key FROM h0) AND dst NOT IN (SELECT key FROM h0)),
+h0 AS (SELECT DISTINCT 'order:' || o_orderkey AS key FROM orders), h1 AS (SELECT DISTINCT dst AS key FROM edges WHERE src IN (SELECT key FROM h0) AND dst NOT IN (SELECT key FROM h0)),
 h2 AS (SELECT DISTINCT dst AS key FROM edges WHERE src IN (SELECT key FROM h1 EXCEPT SELECT key FROM hubs) AND dst NOT IN (SELECT key FROM h0) AND dst NOT IN (SELECT key FROM h1))
 SELECT key, 0 AS depth FROM h0 UNION ALL SELECT key, 1 FROM h1 UNION ALL SELECT key, 2 FROM h2""")
 def bfs_hub_throttled(spark, d):
-    seeds = read(spark, d, "orders").where("o_orderkey <= 5").select(F.concat(F.lit("order:"), "o_orderkey").alias("key"))
+    seeds = nodes(spark, d, "order").select(F.col("natural_key").alias("key"))
     return graph.bfs(edges(spark, d), seeds, 2, hub_degree=60).withColumn("depth", F.col("depth").cast("int"))
 
 
-@query()
+def path_sql(start, goal, most=6):
+    """Levels of a search from start, each node with its smallest parent, and the way back from goal."""
+    parts = [f"WITH {BOTH_SQL}, p AS (SELECT DISTINCT a, b FROM u WHERE a <> b), l0 AS (SELECT '{start}' AS key, CAST(NULL AS VARCHAR) AS parent, 0 AS depth), s0 AS (SELECT * FROM l0)"]
+    for i in range(1, most + 1):
+        parts.append(f"l{i} AS (SELECT b AS key, min(a) AS parent, {i} AS depth FROM p JOIN l{i - 1} ON a = key WHERE b NOT IN (SELECT key FROM s{i - 1}) AND '{goal}' NOT IN (SELECT key FROM s{i - 1}) GROUP BY b), s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT * FROM l{i})")
+    parts.append(f"w{most} AS (SELECT key, parent, depth FROM s{most} WHERE key = '{goal}')")
+    for i in range(most, 0, -1):
+        parts.append(f"w{i - 1} AS (SELECT * FROM w{i} UNION SELECT s.key, s.parent, s.depth FROM s{most} s JOIN w{i} w ON s.key = w.parent)")
+    return ", ".join(parts) + " SELECT CAST(depth AS BIGINT) AS position, key FROM w0"
+
+
+@query(path_sql("customer:1", "supplier:3"))
 def shortest_path(spark, d):
-    small = edges(spark, d, "IN_REGION", "CUSTOMER_IN", "SUPPLIER_IN", "PLACED_BY")
-    path = graph.shortest_path(small, "customer:1", "supplier:3") or []
+    path = graph.shortest_path(edges(spark, d), "customer:1", "supplier:3") or []
     return spark.createDataFrame(list(enumerate(path)), "position bigint, key string")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CONTROL, INJECTION_FORMS, NEUTRALIZED, chunk_documents, identifiers, mask_pii, neutralize, normalize_placeholders, pii_counts
@@ -212,23 +213,30 @@ def source_reconstruct(spark, d):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sha2(F.array_join(ordered, "\n"), 256).alias("text_sha256"))
 
 
-@query("""WITH i AS (SELECT doc_id, source, CASE source WHEN 'src0' THEN 'current' WHEN 'src1' THEN 'entities' WHEN 'src2' THEN 'facts' ELSE 'documents' END AS section FROM documents)
-SELECT section, count(*) AS n FROM i GROUP BY section""")
+ITEMS_SQL = """i AS (SELECT doc_id // 40 AS request, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY length(text), doc_id) AS r, text, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 3.0) AS BIGINT)) END AS t FROM documents),
+s AS (SELECT *, CASE WHEN r <= 3 THEN 'current' WHEN r <= 20 THEN 'facts' ELSE 'documents' END AS section FROM i)"""
+
+
+def pack_items(spark, d):
+    """A request for each forty documents in a row, with all of them as items, the shortest first."""
+    docs = read(spark, d, "documents").withColumn("request", F.floor(F.col("doc_id") / 40).cast("long"))
+    items = docs.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy(F.length("text"), "doc_id")).cast("long"))
+    section = F.when(F.col("rank") <= 3, "current").when(F.col("rank") <= 20, "facts").otherwise("documents")
+    return items.select("request", F.col("doc_id").cast("string").alias("id"), section.alias("section"), F.col("rank").alias("position"), (1.0 / F.col("rank")).alias("score"), "text")
+
+
+@query(f"""WITH {ITEMS_SQL}, p AS (SELECT request, section, CASE section WHEN 'current' THEN 1 WHEN 'facts' THEN 2 ELSE 3 END AS place, string_agg(text, chr(10) ORDER BY r) AS body FROM s GROUP BY ALL)
+SELECT request, sha256(string_agg('## ' || section || chr(10) || body, chr(10) || chr(10) ORDER BY place)) AS text_sha256 FROM p GROUP BY request""")
 def context_sections(spark, d):
-    section = F.when(F.col("source") == "src0", "current").when(F.col("source") == "src1", "entities").when(F.col("source") == "src2", "facts").otherwise("documents")
-    return read(spark, d, "documents").groupBy(section.alias("section")).agg(F.count("*").alias("n"))
+    """All items of each request in sections, as one text."""
+    return context.render(pack_items(spark, d), "request").select("request", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("""WITH RECURSIVE i AS (SELECT lang, CAST(doc_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY lang ORDER BY length(text), doc_id) AS r, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 3.0) AS BIGINT)) END AS t FROM documents QUALIFY r <= 40),
-s AS (SELECT *, CASE WHEN r <= 3 THEN 'current' WHEN r <= 20 THEN 'facts' ELSE 'documents' END AS section FROM i),
-f AS (SELECT lang, id, section, r, CASE WHEN t <= 2000 THEN t ELSE 2000 END AS tokens, true AS kept, 2000 - CASE WHEN t <= 2000 THEN t ELSE 2000 END AS remaining FROM s WHERE r = 1
-UNION ALL SELECT s.lang, s.id, s.section, s.r, CASE WHEN s.t <= remaining OR NOT (s.section = 'current' AND remaining > 0) THEN s.t ELSE remaining END, s.t <= remaining OR (s.section = 'current' AND remaining > 0),
-remaining - CASE WHEN s.t <= remaining THEN s.t WHEN s.section = 'current' THEN remaining ELSE 0 END FROM f JOIN s ON s.lang = f.lang AND s.r = f.r + 1)
-SELECT lang, id, section, tokens, kept FROM f""")
+@query(f"""WITH RECURSIVE {ITEMS_SQL},
+f AS (SELECT request, id, section, r, CASE WHEN t <= 2000 THEN t ELSE 2000 END AS tokens, true AS kept, 2000 - CASE WHEN t <= 2000 THEN t ELSE 2000 END AS remaining FROM s WHERE r = 1
+UNION ALL SELECT s.request, s.id, s.section, s.r, CASE WHEN s.t <= remaining OR NOT (s.section = 'current' AND remaining > 0) THEN s.t ELSE remaining END, s.t <= remaining OR (s.section = 'current' AND remaining > 0),
+remaining - CASE WHEN s.t <= remaining THEN s.t WHEN s.section = 'current' THEN remaining ELSE 0 END FROM f JOIN s ON s.request = f.request AND s.r = f.r + 1)
+SELECT request, id, section, tokens, kept FROM f""")
 def context_budget(spark, d):
-    """A pack for each language: its 40 shortest documents as items, 2000 tokens."""
-    docs = read(spark, d, "documents")
-    items = retrieval.top_per_group(docs, ["lang"], F.length("text"), F.col("doc_id"), limit=40)
-    section = F.when(F.col("rank") <= 3, "current").when(F.col("rank") <= 20, "facts").otherwise("documents")
-    items = items.select("lang", F.col("doc_id").cast("string").alias("id"), section.alias("section"), F.col("rank").alias("position"), (1.0 / F.col("rank")).alias("score"), "text")
-    return context.apply_budget(items, "lang", 2000)
+    """A pack of 2000 tokens for each request."""
+    return context.apply_budget(pack_items(spark, d), "request", 2000)
