@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What counts as an identifier in free text, in order of precedence.
 IDENTIFIER_FORMS = (
@@ -103,9 +105,15 @@ def normalize_placeholders(value: Column) -> Column:
     return F.regexp_replace(value, r"\{[^{}\s]*\}", "{}")
 
 
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Compatibility forms composed (NFKC) and case folded."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
 def label_norm(label: Column) -> Column:
-    """Case-folded words with one space between."""
-    return F.trim(F.regexp_replace(F.lower(label), r"(?U)[\W_]+", " "))
+    """Case-folded words in their compatibility forms with one space between."""
+    return F.trim(F.regexp_replace(folded(label), r"(?U)[\W_]+", " "))
 
 
 def shingles(text: Column, k: int = 3) -> Column:

@@ -37,6 +37,20 @@ def neighbors(edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int | No
     return found.orderBy("hop", "key").limit(limit) if limit else found
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """key, component (the smallest key reachable) of all ends of pairs (a, b): smallest labels of neighbours, and jumps to labels' labels."""
+    both = cut_lineage(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut_lineage(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("component")))
+    while True:
+        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("component").alias("m"))
+        now = labels.join(near, "key").select("key", "component", F.least("component", "m").alias("new"))
+        jump = now.select(F.col("key").alias("new"), F.col("new").alias("far"))
+        now = cut_lineage(now.join(jump, "new").select("key", "component", F.least("new", "far").alias("new")))
+        labels = now.select("key", F.col("new").alias("component"))
+        if not now.where("component <> new").limit(1).count():
+            return labels
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """key, degree: how many edge ends a node has, both directions, loops twice."""
     ends = edges.select(F.col("src").alias("key")).unionAll(edges.select(F.col("dst").alias("key")))

@@ -230,19 +230,30 @@ def label_entropy(spark, d):
     return read(spark, d, "part").select("p_name").distinct().select("p_name", F.round(entropy(F.col("p_name")), 6).alias("entropy"))
 
 
-@query("""WITH n AS (SELECT DISTINCT lower(p_name) AS l FROM part), k AS (SELECT l, 'p' || substr(l, 1, 3) AS b FROM n UNION SELECT l, 's' || right(l, 3) FROM n UNION SELECT l, 'i' || list_reduce(list_transform(string_split(l, ' '), lambda w: substr(w, 1, 2)), lambda x, y: x || y) FROM n),
-p AS (SELECT DISTINCT a.l AS a, b.l AS b FROM k a JOIN k b ON a.b = b.b AND a.l < b.l) SELECT a, b, round(100 * jaro_winkler_similarity(a, b), 6) AS score FROM p WHERE round(100 * jaro_winkler_similarity(a, b), 6) >= 75""")
+#: All pairs of labels that share half of their 3-grams, without any blocking.
+PAIRS_SQL = """n AS (SELECT DISTINCT lower(p_name) AS l FROM part), g AS (SELECT l, list_distinct(list_transform(generate_series(1, greatest(length(l) - 2, 1)), lambda i: substr(l, i, 3))) AS s FROM n),
+p AS (SELECT a.l AS a, b.l AS b, round(100 * jaro_winkler_similarity(a.l, b.l), 6) AS score FROM g a JOIN g b ON a.l < b.l
+WHERE round(len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE), 6) >= 0.5)"""
+
+
+@query(f"WITH {PAIRS_SQL} SELECT a, b, score FROM p WHERE score >= 75")
 def er_candidates(spark, d):
-    return entities.label_pairs(read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label")))
+    return entities.label_pairs(read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label")), alike=0.5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT a, b FROM p WHERE score >= 88 UNION ALL SELECT b, a FROM p WHERE score >= 88),
+r AS (SELECT a AS key, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.key) SELECT key, min(root) AS component FROM r GROUP BY key""")
 def er_components(spark, d):
     """Names that are alike to 88 percent, whatever their length: all names here are short, which by themselves never merge."""
     names = read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("label"))
-    pairs = entities.decide(entities.label_pairs(names)).where("score >= 88").select(F.lit(0).alias("g"), "a", "b")
-    known = names.select(F.lit(0).alias("g"), F.lower("label").alias("key"), F.array().cast("array<string>").alias("identity")).distinct()
-    return entities.guarded_components(pairs, known, "g")
+    pairs = entities.decide(entities.label_pairs(names, alike=0.5)).where("score >= 88")
+    known = names.select(F.lower("label").alias("key"), F.array().cast("array<string>").alias("identity")).distinct()
+    return entities.resolve_components(pairs, known)
+
+
+@query()
+def er_minhash_pairs(spark, d):
+    return entities.band_pairs(read(spark, d, "part").select(F.col("p_name").alias("label")), 0.5)
 
 
 @query("""WITH n AS (SELECT DISTINCT lower(p_name) AS l FROM part), g AS (SELECT l, list_distinct(list_transform(generate_series(1, greatest(length(l) - 2, 1)), lambda i: substr(l, i, 3))) AS s FROM n)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from py4j.protocol import Py4JError
@@ -14,9 +16,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir; where that is unset and the master is local, as in tests, a temporary folder.
+
+    On a cluster a machine's own folder would lose rows without an error, so there the setting has to be there.
+    """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(OWN, None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="remembrane-")
         spark.conf.set(OWN, shared)
     return shared.rstrip("/")
@@ -29,9 +36,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_tables() -> None:
-    """Delete the tables written so far; what was derived from them can't be computed any more."""
-    while _written:
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Tables written inside are dropped at the end: for a call whose result has been written or collected by then."""
+    kept = len(_written)
+    try:
+        yield
+    finally:
+        drop_tables(kept)
+
+
+def drop_tables(keep: int = 0) -> None:
+    """Delete the tables written so far, but for the first `keep`; what was derived from them can't be computed any more."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
