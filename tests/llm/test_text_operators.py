@@ -189,5 +189,15 @@ def test_examples_in_full(spark):
     assert chat.format_conversations(turns(spark, [])).count() == 0
 
 
+def test_example_rows_are_the_examples_in_full(spark, sha):
+    segments = chat.format_conversations(turns(spark, CONV))
+    full = {(r.conv_id, r.example): r for r in chat.expand_examples(segments).collect()}
+    rows = [r for r in chat.example_rows(segments).collect() if r.example is not None]
+    assert {(r.conv_id, r.example) for r in rows} == set(full)
+    for r in rows:
+        e = full[r.conv_id, r.example]
+        assert r.context_sha256 == sha(e.text[: r.context_end]) and r.target == e.text[r.loss_start : r.loss_end] and r.context_end == e.loss_start
+
+
 def test_chat_query(spark, sf, duck, same):
     same(queries.op1_chat_prefix_targets(spark, sf).toPandas(), duck.execute(queries.OP1_SQL).df())
