@@ -25,12 +25,13 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def neighbors(edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int | None = None) -> DataFrame:
     """Keys within so many undirected steps of the seeds (key), seeds left out: key, hop (the least). Ordered by both if limited."""
-    step = undirected(edges)
     seen = seeds.select("key").distinct().withColumn("hop", F.lit(0))
     frontier = seen.select("key")
     for hop in range(1, hops + 1):
-        near = step.join(frontier.withColumnRenamed("key", "a"), "a").select(F.col("b").alias("key")).distinct()
-        frontier = near.join(seen, "key", "left_anti")
+        # each direction by itself, so that the frontier meets the scan of the edges, and only what it reaches is made distinct
+        out = edges.join(frontier.withColumnRenamed("key", "src"), "src", "left_semi").select(F.col("dst").alias("key"))
+        back = edges.join(frontier.withColumnRenamed("key", "dst"), "dst", "left_semi").select(F.col("src").alias("key"))
+        frontier = out.unionByName(back).distinct().join(seen, "key", "left_anti")
         frontier = cut_lineage(frontier) if hop < hops else frontier
         seen = seen.unionByName(frontier.withColumn("hop", F.lit(hop)))
     found = seen.where("hop > 0")
@@ -164,7 +165,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, steps: Sequen
         links = {"out": forward, "in": back, "both": forward.unionByName(back)}[step.get("direction", "out")]
         seen, frontier = now, now
         for _ in range(depth):
-            frontier = links.join(frontier.withColumnRenamed("key", "a"), "a").select(F.col("b").alias("key")).distinct().join(seen, "key", "left_anti")
+            frontier = links.join(frontier.withColumnRenamed("key", "a"), "a", "left_semi").select(F.col("b").alias("key")).distinct().join(seen, "key", "left_anti")
             seen = seen.unionByName(frontier)
         reached = seen.join(now, "key", "left_anti")
         fit = nodes.where(step["where"]) if step.get("where") is not None else nodes

@@ -54,13 +54,13 @@ def hub_threshold(spark, d):
 
 @query(f"WITH {BOTH_SQL} SELECT DISTINCT b AS key, 1 AS hop FROM u WHERE a IN ('customer:1', 'supplier:3') AND b NOT IN ('customer:1', 'supplier:3')")
 def neighbors_1hop(spark, d):
-    return graph.neighbors(edges(spark, d), keys(spark, "customer:1", "supplier:3"), 1)
+    return graph.neighbors(edges(spark, d, unique=False), keys(spark, "customer:1", "supplier:3"), 1)
 
 
 @query(f"""WITH {BOTH_SQL}, h1 AS (SELECT DISTINCT b AS key FROM u WHERE a = 'customer:1'), h2 AS (SELECT DISTINCT b AS key FROM u JOIN h1 ON a = h1.key)
 SELECT key, 1 AS hop FROM h1 UNION ALL SELECT key, 2 FROM h2 WHERE key <> 'customer:1' AND key NOT IN (SELECT key FROM h1)""")
 def neighbors_2hop(spark, d):
-    return graph.neighbors(edges(spark, d), keys(spark, "customer:1"), 2)
+    return graph.neighbors(edges(spark, d, unique=False), keys(spark, "customer:1"), 2)
 
 
 @query("""WITH l AS (SELECT DISTINCT doc_id AS item, source AS concept FROM documents), s AS (SELECT DISTINCT concept FROM l WHERE item IN (1, 2, 3)),
@@ -75,7 +75,7 @@ def concept_subgraph(spark, d):
 @query(f"WITH {EDGES_SQL}, k AS (SELECT 'customer:' || c_custkey AS key FROM customer UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'region:' || r_regionkey FROM region) SELECT src, type, dst FROM edges WHERE src IN (SELECT key FROM k) AND dst IN (SELECT key FROM k)")
 def induced_subgraph(spark, d):
     k = nodes(spark, d, "customer", "nation", "region").select(F.col("natural_key").alias("key"))
-    return graph.induced(edges(spark, d), k).select("src", "type", "dst")
+    return graph.induced(edges(spark, d, unique=False), k).select("src", "type", "dst").distinct()
 
 
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL}, s1 AS (SELECT DISTINCT src AS key FROM edges WHERE type = 'IN_REGION' AND dst = 'region:1' ORDER BY 1 LIMIT 200),
@@ -87,7 +87,7 @@ def typed_traverse(spark, d):
         {"relation": "IN_REGION", "direction": "in"}, {"relation": "SUPPLIER_IN", "direction": "in", "limit": 50},
         {"relation": "SUPPLIES", "direction": "out", "limit": 100, "where": F.col("natural_key").startswith("part:1")},
     ]
-    relevant = edges(spark, d, *(s["relation"] for s in steps))
+    relevant = edges(spark, d, *(s["relation"] for s in steps), unique=False)
     return graph.traverse(nodes(spark, d), relevant, keys(spark, "region:1"), steps).select(F.col("step").cast("int").alias("step"), "key")
 
 

@@ -337,7 +337,7 @@ def quantiles(spark, d):
 
 @query(f"WITH {EDGES_SQL} SELECT 'out' AS direction, type, dst AS key FROM edges WHERE src = 'supplier:3' AND contains(lower(type), 'suppl') UNION SELECT 'in', type, src FROM edges WHERE dst = 'supplier:3' AND contains(lower(type), 'suppl')")
 def related(spark, d):
-    return graph.related(edges(spark, d), "supplier:3", "Suppl")
+    return graph.related(edges(spark, d, unique=False), "supplier:3", "Suppl")
 
 
 @query(f"WITH {NODES_SQL}, {EDGES_SQL} SELECT natural_key, type, (SELECT count(*) FROM edges WHERE src = 'nation:3') AS edges_out, (SELECT count(*) FROM edges WHERE dst = 'nation:3') AS edges_in FROM nodes WHERE natural_key = 'nation:3'")

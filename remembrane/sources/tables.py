@@ -31,13 +31,14 @@ LINKS = {
 }
 
 
-def edges(spark: SparkSession, folder: str, *types: str) -> DataFrame:
-    """src, type, dst, each once; of some types only, if named."""
+def edges(spark: SparkSession, folder: str, *types: str, unique: bool = True) -> DataFrame:
+    """src, type, dst, each once; of some types only, if named. unique=False leaves repeats in, for reads that filter first
+    and drop repeats of what is left."""
     parts = []
     for t in types or LINKS:
         table, a, x, b, y = LINKS[t]
         one = read(spark, folder, table).select(F.concat(F.lit(f"{a}:"), F.col(x)).alias("src"), F.lit(t).alias("type"), F.concat(F.lit(f"{b}:"), F.col(y)).alias("dst"))
-        parts.append(one.distinct() if table == "lineitem" else one)
+        parts.append(one.distinct() if unique and table == "lineitem" else one)
     return reduce(DataFrame.unionByName, parts)
 
 
