@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
-from .common import arrow_pieces, input_parts, materialize, range_bounds, whole_text
+from .common import arrow_pieces, input_parts, materialize, range_bounds, spread, whole_text
 
 MAGIC = b"RMBP"
 HEAD = struct.Struct("<4sIIQQ")
@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, shards:
         if held:
             yield flush()
 
-    encoded = rows.mapInArrow(encode, "shard int, doc_id long, ids binary")
+    encoded = spread(rows).mapInArrow(encode, "shard int, doc_id long, ids binary")
     dealt = encoded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
     return materialize(dealt.mapInArrow(images, IMAGES), "token-files")
 

@@ -113,6 +113,12 @@ def input_parts(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def spread(df: DataFrame, by: str = "doc_id") -> DataFrame:
+    """df, dealt by a column where its files give fewer splits than there are cores: work on texts is dear, moving few of them is not."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if input_parts(df) < cores else df
+
+
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values[offsets[i]:offsets[i + 1]] for each i; empty segments give 0."""
     kind = np.float64 if values.dtype.kind == "f" else np.int64

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PolyHash, arrow_pieces, materialize, mix64, text_bytes, unused, whole_text, word_spans
+from .common import PolyHash, arrow_pieces, materialize, mix64, spread, text_bytes, unused, whole_text, word_spans
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *(pa.array(m) for m in marks), lists], ["doc_id", "n", "h1", "h2", "bands"])
 
-    signed = materialize(rows_in.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
+    signed = materialize(spread(rows_in).mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
     usable = signed.where("n > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     members = materialize(usable.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "rep"), "members")

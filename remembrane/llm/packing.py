@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
-from .common import arrow_pieces, materialize, unused, whole_text
+from .common import arrow_pieces, materialize, spread, unused, whole_text
 
 
 class SumIndex:
@@ -207,4 +207,4 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 2
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k, _ in zip(zip(*rows, strict=True), kinds, names, strict=False)], names)
 
-    return rows.mapInArrow(encode, "doc_id long, " + PIECES + (", ids binary" if with_ids else ""))
+    return spread(rows).mapInArrow(encode, "doc_id long, " + PIECES + (", ids binary" if with_ids else ""))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, arrow_pieces, whole_text
+from .common import arrow_pieces, KEPT, spread, whole_text
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -157,4 +157,4 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return rows.mapInArrow(run, kinds)
+    return spread(rows).mapInArrow(run, kinds)

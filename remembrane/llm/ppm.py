@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PolyHash, arrow_pieces, crc_mod, input_parts, materialize, mix64, text_bytes, whole_text, word_spans
+from .common import PolyHash, arrow_pieces, crc_mod, input_parts, materialize, mix64, spread, text_bytes, whole_text, word_spans
 from .minhash import LOWER
 
 ORDER = 6
@@ -205,6 +205,8 @@ def stream_scores(grams: np.ndarray, begins: np.ndarray, table: tuple[np.ndarray
 
 def blocks_of(docs: DataFrame) -> DataFrame:
     """docs with `block`, which names the split of the input that a row is read in."""
+    parted = spread(docs.select("doc_id", "text"))
+    docs = docs if input_parts(docs) >= input_parts(parted) else materialize(parted, "documents")
     try:
         return docs.select("doc_id", "text", F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("block"))
     except AnalysisException:  # not a scan of files

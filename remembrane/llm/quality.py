@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PolyHash, arrow_pieces, crc_mod, materialize, segment_sums, text_bytes, whole_text, word_spans
+from .common import PolyHash, arrow_pieces, crc_mod, materialize, segment_sums, spread, text_bytes, whole_text, word_spans
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of doc_id.
 MAX_TRAIN = 120_000
@@ -211,7 +211,7 @@ def text_features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, x array<float>")
+    return spread(rows).mapInArrow(compute, "doc_id long, x array<float>")
 
 
 def sample_labels(labels: DataFrame, label: str = "quality", most: int = MAX_TRAIN, held_out: int = 0) -> DataFrame:
@@ -271,4 +271,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
             kept = [p.column("row").filter(pa.array(model.score(features(*text_bytes(p.column("text")))) >= threshold)) for p in arrow_pieces(iter([marked]), "text")]
             yield b.take(pa.concat_arrays(kept)) if kept else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PolyHash, arrow_pieces, materialize, mix64, text_bytes, unused, whole_text
+from .common import PolyHash, arrow_pieces, materialize, mix64, spread, text_bytes, unused, whole_text
 
 WIDTH, GRAM = 200, 40
 #: Different runs in a group that go through one suffix array at most, and places of the anchor that a part of a split has.
@@ -182,7 +182,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             k, uid = (b.column(c).to_numpy()[owner] for c in ("k", "uid"))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, uid, a, count, before, anchor.view(np.int64), around.view(np.int64))], ["k", "uid", "a", "n", "p", "anchor", "around"])
 
-    found = materialize(docs.select("k", "uid", "text").mapInArrow(runs, "k long, uid long, a long, n long, p long, anchor long, around long"), "runs")
+    found = materialize(spread(docs.select("k", "uid", "text"), "k").mapInArrow(runs, "k long, uid long, a long, n long, p long, anchor long, around long"), "runs")
     met = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("around").alias("lo"), F.max("around").alias("hi")).where("c > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("alike"))
     # a table of its own, so that adaptive execution can split the join at a frequent anchor
     met = materialize(found.join(materialize(met, "anchors"), "anchor"), "met")
