@@ -12,7 +12,7 @@ Work is done in blocks, the splits of the input. A block's distinct keys (contex
 base) go out with their training counts, packed, to the partitions of a hash of the key; there they are summed over all
 blocks. Words' totals go back to the blocks that asked. Grams are dealt to tasks by their three nearest bytes of context;
 what the model needs of shorter contexts is in the counts of three bytes, which are at most 2**24. Grams are few beside
-the text (a table whose growth slows with the corpus): their log probabilities are sent to all tasks if they are at most
+the text (a table whose growth slows with the corpus): their probabilities are sent to all tasks if they are at most
 MAX_SENT, else looked up like words.
 """
 
@@ -59,14 +59,14 @@ def symbol_stream(raw: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> t
     owner = np.repeat(np.arange(docs), words)
     place = begins[owner] + order * (owner + 1) + (total[:-1] - total[first[:-1]][owner]) + (np.arange(len(starts)) - first[:-1][owner])
     index = np.arange(total[-1])
-    word_of = np.repeat(np.arange(len(starts)), sizes)
-    stream[index - total[word_of] + place[word_of]] = low[index - total[word_of] + starts[word_of]]
+    stream[index + np.repeat(place - total[:-1], sizes)] = low[index + np.repeat(starts - total[:-1], sizes)]
     inner = np.ones(len(starts), bool)
     inner[first[1:][words > 0] - 1] = False
     stream[(place + sizes)[inner]] = 32
     grams = np.zeros(max(len(stream) - order, 0), np.uint64)
     for i in range(order + 1):
-        grams = (grams << np.uint64(8)) | stream[i : i + len(grams)]
+        grams <<= np.uint64(8)
+        grams |= stream[i : i + len(grams)]
     at = np.arange(begins[-1]) + order * np.repeat(np.arange(docs), symbols)
     hashes = mix64(PolyHash(low).of(starts, ends)) if len(starts) else np.zeros(0, np.uint64)
     return grams[at], begins, hashes, first
@@ -134,8 +134,8 @@ class Near:
         return np.where(known[at] == asked, values[at], 0)
 
 
-def log_probabilities(grams: np.ndarray, counts: np.ndarray, near: Near, blend: dict[int, float] = BLEND) -> np.ndarray:
-    """log10 probability of each distinct gram's symbol in its context, from training counts (0: never seen).
+def probabilities(grams: np.ndarray, counts: np.ndarray, near: Near, blend: dict[int, float] = BLEND) -> np.ndarray:
+    """Probability of each distinct gram's symbol in its context, from training counts (0: never seen).
 
     grams must hold all grams of each three nearest context bytes that it holds any of.
     """
@@ -175,32 +175,64 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, near: Near, blend:
                 score[escape] += np.log10(0.5 * kinds[escape] / total[escape])
         score[open_] -= np.log10(max(SYMBOLS - int((single > 0).sum()), 1))
         mixed += weight * 10.0**score
-    return np.log10(mixed)
+    return mixed
+
+
+def runs(equal_to_last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs begin and how long they are, from whether each entry but the first equals the one before."""
+    starts = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(~equal_to_last) + 1])
+    return starts, np.diff(starts, append=len(equal_to_last) + 1)
 
 
 def earlier(of: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """How many earlier entries of the same owner each entry equals; of: small numbers, owner: ascending."""
     size = len(of)
-    bits = np.uint64(max(1, size.bit_length()))
-    key = np.sort((owner.astype(np.uint64) << (bits + bits)) | (of.astype(np.uint64) << bits) | np.arange(size, dtype=np.uint64))
+    if not size:
+        return np.zeros(0, np.int32)
+    bits = np.uint64(size.bit_length())
+    key = owner.astype(np.uint64)
+    key <<= bits
+    key |= of.astype(np.uint64)
+    key <<= bits
+    key |= np.arange(size, dtype=np.uint64)
+    key.sort()
     group = key >> bits
-    place = np.arange(size)
-    begin = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), place, 0)) if size else place
-    out = np.empty(size, np.int64)
-    out[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = place - begin
+    starts, lengths = runs(group[1:] == group[:-1])
+    rank = np.arange(size, dtype=np.int32)
+    rank -= np.repeat(starts.astype(np.int32), lengths)
+    key &= (np.uint64(1) << bits) - np.uint64(1)
+    out = np.empty(size, np.int32)
+    out[key.view(np.int64)] = rank
     return out
 
 
 def stream_scores(grams: np.ndarray, begins: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """log10 probability of each symbol of each text from the grams' table and what the text had before."""
+    """log10 probability of each symbol of each text from the grams' table (probabilities) and what the text had before."""
+    if not len(grams):
+        return np.zeros(0)
     order = np.argsort(grams)
     ordered = grams[order]
-    logs, gram, context = np.empty(len(grams)), np.empty(len(grams), np.int64), np.empty(len(grams), np.int64)
-    logs[order] = table[1][np.searchsorted(table[0], ordered)]
-    number = lambda x: np.cumsum(np.concatenate([[0], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    gram[order], context[order] = number(ordered), number(ordered >> np.uint64(8))
-    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    return np.log10((earlier(gram, owner) + ADAPT * 10.0**logs) / (earlier(context, owner) + ADAPT))
+    starts, lengths = runs(ordered[1:] == ordered[:-1])
+    p, gram, context = np.empty(len(grams)), np.empty(len(grams), np.int32), np.empty(len(grams), np.int32)
+    distinct = ordered[starts]
+    p[order] = np.repeat(table[1][np.searchsorted(table[0], distinct)], lengths)
+    gram[order] = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
+    contexts = distinct >> np.uint64(8)
+    number = np.zeros(len(starts), np.int32)
+    np.cumsum(contexts[1:] != contexts[:-1], out=number[1:])
+    context[order] = np.repeat(number, lengths)
+    owner = np.repeat(np.arange(len(begins) - 1, dtype=np.int32), np.diff(begins))
+    seen = earlier(context, owner)
+    # a symbol met before had its context before it; the first of a context counts, too, for those after it
+    again = np.zeros(len(starts), bool)
+    again[gram[seen > 0]] = True
+    some = np.flatnonzero(again[gram])
+    met = np.zeros(len(grams), np.int32)
+    met[some] = earlier(gram[some], owner[some])
+    p *= ADAPT
+    p += met
+    p /= seen + ADAPT
+    return np.log10(p, out=p)
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -313,7 +345,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, most_sent: int = MAX_SEN
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, part), own in gather(batches):
             keys, counts = add_up(np.concatenate([k for _, k, _ in own]), np.concatenate([n for _, _, n in own]))
-            scores = log_probabilities(keys, counts, near.value)
+            scores = probabilities(keys, counts, near.value)
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([keys.tobytes()]), pa.array([scores.tobytes()]), pa.array([len(keys)], pa.int64())], ["kind", "part", "keys", "scores", "n"])
 
     model = materialize(grams.select("kind", "block", "part", "keys", "counts").repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(predict, "kind int, part int, keys binary, scores binary, n long"), "model")
@@ -332,7 +364,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, most_sent: int = MAX_SEN
 
 
 def answer_grams(asked: DataFrame, model: DataFrame, parts: int) -> DataFrame:
-    """Each block's grams with their log probabilities: questions and model meet in the partitions of the keys' hash."""
+    """Each block's grams with their probabilities: questions and model meet in the partitions of the keys' hash."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
