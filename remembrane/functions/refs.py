@@ -236,3 +236,29 @@ def band_keys(signature: Column, bands: int, rows: int) -> Column:
     """A key for each band of so many values of a signature."""
     each = F.sequence(F.lit(0), F.lit(bands - 1))
     return F.transform(each, lambda i: F.concat_ws("|", i, F.array_join(F.transform(F.slice(signature, i * rows + 1, F.lit(rows)), lambda x: x.cast("string")), ",")))
+
+
+def grants_of(claims: Mapping[str, Any]) -> dict[str, str]:
+    """Namespace grants of a token's claims: {namespaces: [...], write: [...]}, names or name:* for what is below."""
+    read = {str(n): "r" for n in claims.get("namespaces", []) if n}
+    return read | {str(n): "rw" for n in claims.get("write", []) if n}
+
+
+def first_uncovered(grants: Mapping[str, str], namespaces: Sequence[str], write: bool) -> str | None:
+    """The first namespace that grants don't let in; None if all are."""
+    from ..operators.tables import grants_allow
+
+    return next((n for n in namespaces if not grants_allow(dict(grants), n, write)), None)
+
+
+def visibility_of(objects: Sequence[str], tenant: str) -> tuple[list[str], list[str]]:
+    """Namespaces and restricting scopes that a policy's objects (ws-<id>, principal-<id>, tenant-<id>) give a principal."""
+    spaces, scopes = [], []
+    for o in objects:
+        kind, _, ident = o.partition("-")
+        if kind not in POLICY_OBJECTS or not ident:
+            continue
+        spaces.append(ident if kind == "tenant" else f"{tenant}:{kind}:{ident}")
+        if kind != "tenant":
+            scopes.append(f"{'workspace' if kind == 'ws' else 'principal'}:{ident}")
+    return list(dict.fromkeys(spaces)), list(dict.fromkeys(scopes))
