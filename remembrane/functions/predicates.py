@@ -88,7 +88,21 @@ NUMBER = r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"
 
 
 def where_clause(value: Column, kind: Column, clause: dict) -> Column:
-    """One condition {attr, op, value} on an attribute given as text and its JSON kind ('string', 'number', 'boolean').
+    """One condition {attr, op, value} on an attribute given as text and its JSON kind ('string', 'number', 'boolean', 'list').
+
+    A list, given as JSON, fulfils a condition if any of its items does; exists asks for an item. An item's kind is taken
+    from its form.
+    """
+    items = F.coalesce(F.from_json(F.when(kind == "list", value), "array<string>"), F.array().cast("array<string>"))
+    if clause["op"] == "exists":
+        present = value.isNotNull() & ((kind != "list") | (F.size(items) > 0))
+        return F.coalesce(present, F.lit(False)) if clause.get("value") in (True, None) else ~F.coalesce(present, F.lit(False))
+    form = lambda x: F.when(x.rlike(NUMBER), "number").when(x.isin("true", "false"), "boolean").otherwise("string")
+    return F.when(F.coalesce(kind == "list", F.lit(False)), F.coalesce(F.exists(items, lambda x: scalar_clause(x, form(x), clause)), F.lit(False))).otherwise(scalar_clause(value, kind, clause))
+
+
+def scalar_clause(value: Column, kind: Column, clause: dict) -> Column:
+    """One condition on a scalar.
 
     Numbers compare as numbers, booleans only with booleans, other values as text; lte and gte take numbers or ISO
     dates of one kind. A missing attribute matches nothing but exists: false.
@@ -96,15 +110,12 @@ def where_clause(value: Column, kind: Column, clause: dict) -> Column:
     op, want = clause["op"], clause.get("value")
     if op not in OPERATORS:
         raise ValueError(f"unknown operator {op!r}")
-    present = value.isNotNull()
-    if op == "exists":
-        return present if want in (True, None) else ~present
     if op == "prefix":
         return F.coalesce((value == F.lit(str(want))) | value.startswith(f"{want}."), F.lit(False))
     if op == "in":
         if len(want) > MAX_IN_VALUES:
             raise ValueError(f"more than {MAX_IN_VALUES} values")
-        return reduce(lambda a, b: a | b, [where_clause(value, kind, clause | {"op": "eq", "value": v}) for v in want], F.lit(False))
+        return reduce(lambda a, b: a | b, [scalar_clause(value, kind, clause | {"op": "eq", "value": v}) for v in want], F.lit(False))
     if isinstance(want, bool):
         same = (kind == "boolean") & (value == F.lit(str(want).lower()))
         return F.coalesce(same, F.lit(False)) if op == "eq" else F.lit(False)

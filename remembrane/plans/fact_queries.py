@@ -224,6 +224,18 @@ def where_exists(spark, d):
     return typed(spark, d).where(where(F.col("attributes"), F.col("kinds"), [{"attr": "k", "op": "exists"}])).select("event_id")
 
 
+@query("SELECT event_id, user_id % 3 = 0 OR event_type = 'view' AS any_item, event_id % 4 <> 0 AS present FROM events")
+def where_lists(spark, d):
+    """Conditions on lists: any item counts, and an empty list is not there."""
+    e = read(spark, d, "events")
+    items = F.when(F.col("event_id") % 4 == 0, "[]").otherwise(F.to_json(F.array(F.lit("x"), "event_type")))
+    tags = F.to_json(F.array("event_type", (F.col("user_id") % 3).cast("string")))
+    a, k = F.create_map(F.lit("items"), items, F.lit("tags"), tags), F.create_map(F.lit("items"), F.lit("list"), F.lit("tags"), F.lit("list"))
+    one = lambda clause: where(a, k, [clause])
+    found = one({"attr": "tags", "op": "eq", "value": 0}) | one({"attr": "tags", "op": "in", "value": ["view"]})
+    return e.select("event_id", found.alias("any_item"), one({"attr": "items", "op": "exists"}).alias("present"))
+
+
 @query("""WITH n AS (SELECT DISTINCT p_name FROM part), c AS (SELECT p_name, unnest(string_split(p_name, '')) AS ch FROM n), g AS (SELECT p_name, ch, count(*) AS k FROM c GROUP BY ALL)
 SELECT p_name, round(-sum(k / t * log2(k / t)), 6) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY p_name) AS t FROM g) GROUP BY p_name""")
 def label_entropy(spark, d):

@@ -150,11 +150,13 @@ def bridges(spark, d):
 
 @query()
 def communities(spark, d):
-    found = community.label_propagation(trade(spark, d), 4)
+    found = community.label_propagation(trade(spark, d))
     return community.number_communities(found)
 
 
-@query()
+@query("""WITH m AS (SELECT 'customer:' || c_custkey AS key, c_nationkey AS old FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_nationkey FROM supplier),
+o AS (SELECT old, old + CASE WHEN key LIKE '%7' THEN 100 ELSE 50 END AS new, count(*) AS n FROM m GROUP BY ALL)
+SELECT new, CASE WHEN row_number() OVER (PARTITION BY old ORDER BY n DESC, new) = 1 THEN old END AS old FROM o""")
 def remap_communities(spark, d):
     old = nation_members(spark, d)
     return community.remap_to_previous(old.withColumn("community", F.when(F.col("key").endswith("7"), F.col("community") + 100).otherwise(F.col("community") + 50)), old)
