@@ -247,6 +247,14 @@ def test_more_groups_in_a_bucket_than_rounds(spark, make):
     assert got == want and got[11] == 10 and got[121] == 120 and got[19] == 19
 
 
+def test_pairs_within_a_template(spark, make):
+    """400 pairs at similarity 0.815 in one template whose documents are alike to 0.774: every pair is found, and nothing else."""
+    common = [f"c{k}" for k in range(240)]
+    rows = [(2 * i + j, " ".join([*common, *(f"p{i}w{k}" for k in range(7)), *(f"d{i}n{j}w{k}" for k in range(28))])) for i in range(400) for j in (0, 1)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(rows), size=1).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_exact_pairs_against_brute_force(spark):
     rng = np.random.default_rng(5)
     sets = {i: np.unique(rng.choice(60, rng.integers(1, 50), replace=False)).astype(np.uint64) for i in range(150)}
