@@ -100,6 +100,11 @@ def verdict(last_id: str | None, last_observed: str | None, snapshot_id: str, ob
     return "late" if last_observed and observed_at < last_observed else "apply"
 
 
+def accept(last_observed: str | None, last_id: str | None, observed_at: str, snapshot_id: str) -> str:
+    """As verdict, by time first."""
+    return verdict(last_id, last_observed, snapshot_id, observed_at)
+
+
 def verdicts(snapshots: DataFrame, group: list[str], snapshot_id: str, observed_at: str, *arrival: str) -> DataFrame:
     """Adds verdict and apply_no to snapshots that arrive in an order: apply, late or duplicate, and which application of its id it is.
 
