@@ -158,9 +158,9 @@ class PolyHash:
 IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words (runs without ASCII white space) in row order, and each row's first word, end last."""
-    gap = IS_SPACE[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs without bytes marked in `between`, ASCII white space by default) in row order, and each row's first word, end last."""
+    gap = between[raw]
     begins = np.empty(len(raw) + 1, bool)
     begins[0] = True
     begins[1:] = np.append(gap, True)[:-1] if len(raw) else True

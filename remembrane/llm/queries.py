@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chat, minhash, packing, pieces, ppm, quality, suffix, syncmers, topk
+from . import bitpack, chat, licenses, minhash, packing, pieces, ppm, quality, repair, suffix, syncmers, topk, trie
+from .common import materialize
 
 BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -61,13 +62,27 @@ def op10_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), width=200)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = repair.damage(table(spark, sf_dir, "conversations"))
+    return repair.repair_digests(damaged, materialize(repair.repair_plans(damaged), "repair-plans"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_matches", F.size("matches").cast("long")).drop("matches")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_prefix_targets": OP1_SQL, "op5_minhash_oph": OP5_SQL, "op9_exact_topk": OP9_SQL, "op10_suffix_intervals": OP10_SQL}
+    return {"op1_chat_prefix_targets": OP1_SQL, "op5_minhash_oph": OP5_SQL, "op9_exact_topk": OP9_SQL, "op10_suffix_intervals": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_structure_repair": OP12_SQL}
 
 
 OP1_SQL = """
@@ -143,3 +158,89 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
   sha256(unhex(CASE WHEN c.r IS NULL THEN x ELSE list_aggregate(list_transform(range(1, len(starts) + 2), lambda j: CASE WHEN j = 1 THEN substr(x, 1, 2 * starts[1]) WHEN j <= len(starts) THEN substr(x, 2 * ends[j - 1] + 1, 2 * (starts[j] - ends[j - 1])) ELSE substr(x, 2 * ends[j - 1] + 1) END), 'string_agg', '') END)) AS kept_sha256
 FROM h LEFT JOIN c USING (r)
 """
+
+
+#: crc32 of a short ASCII string `x`, by its table `t`.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t"
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({x}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+OP11_SQL = f"""
+WITH tab AS ({CRC_TABLE}), o AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC.format(x="CAST(conv_id AS VARCHAR)")} % 6 AS h,
+    list({{'d': d, 'n': length(text)}} ORDER BY turn NULLS FIRST, role, d) AS own
+  FROM o, tab GROUP BY conv_id, t
+), p AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(b.own, []), 1, c.h), list_slice(c.own, c.h + 1, len(c.own))) AS path
+  FROM c LEFT JOIN c b ON b.conv_id = c.base
+), m AS (
+  SELECT conv_id, d AS depth, len(path) AS size, CASE WHEN d > 0 THEN path[d].n ELSE 0 END AS n,
+    array_to_string(list_transform(list_slice(path, 1, d), lambda x: x.d), ',') AS node,
+    CASE WHEN d > 0 THEN array_to_string(list_transform(list_slice(path, 1, d - 1), lambda x: x.d), ',') END AS parent,
+    list_transform(range(d + 1), lambda i: array_to_string(list_transform(list_slice(path, 1, i), lambda x: x.d), ',')) AS line
+  FROM p, LATERAL (SELECT unnest(range(len(path) + 1)) AS d)
+), g AS (
+  SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n, any_value(line) AS line,
+    sha256(coalesce(string_agg(CASE WHEN size = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM m GROUP BY node, depth
+), k AS (
+  SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL
+), f AS (
+  SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (node, depth)
+), s AS (
+  SELECT a.x AS node, a.i - 1 AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens
+  FROM f, LATERAL (SELECT unnest(line) AS x, generate_subscripts(line, 1) AS i) a GROUP BY ALL
+)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.node = f.node AND s.depth = f.depth LEFT JOIN f u ON u.node = f.parent AND u.depth = f.depth - 1
+"""
+
+#: The state of each conversation after each row: for every grammar state the least (cost, audit), with the repaired lines so far.
+OP12_SQL = rf"""
+WITH RECURSIVE tab AS ({CRC_TABLE}), o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC.format(x="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS lot
+  FROM conversations, tab
+), d AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN lot = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM o WHERE lot <> 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, sha256(length(role) || ':' || role || text) AS h FROM d
+), r AS (
+  SELECT conv_id, turn, role, text, substr(role, 1, 1) AS c, row_number() OVER w AS i,
+    lag(substr(role, 1, 1)) OVER w AS before,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN right(regexp_replace(text, '[ 	-]+$', ''), 1) IN ('.', '!', '?') THEN 'good' ELSE 'truncated' END AS kind
+  FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, h, nth)
+), a AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 'blank') AS blank,
+    count(*) FILTER (kind = 'duplicate') AS duplicate, count(*) FILTER (kind = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+), t(q, c, z) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+), x(q, j, z, put) AS (VALUES (0, 0, 0, []::VARCHAR[]), (1, 0, 1, []), (2, 0, 2, []), (3, 0, 3, []), (0, 1, 2, ['user:']), (1, 1, 2, ['user:']), (2, 1, 3, ['assistant:']), (3, 1, 2, ['user:']),
+  (0, 2, 3, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 2, 3, ['user:', 'assistant:'])
+), s AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM a
+  UNION ALL
+  SELECT conv_id, i, q, m.cost, m.audit, m.lines FROM (
+    SELECT s.conv_id, r.i, e.q, min({{'cost': s.cost + 3 * x.j + e.cost, 'audit': s.audit || repeat('I', x.j) || e.letter, 'lines': list_concat(s.lines, x.put, e.line)}}) AS m
+    FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1 JOIN x ON x.q = s.q,
+    LATERAL (
+      SELECT x.z AS q, 4 AS cost, 'D' AS letter, []::VARCHAR[] AS line
+      UNION ALL SELECT t.z, CASE WHEN r.kind = 'truncated' THEN 3 ELSE 0 END, 'K', [r.role || ':' || r.text] FROM t WHERE t.q = x.z AND t.c = r.c AND r.kind IN ('good', 'truncated')
+      UNION ALL SELECT CASE WHEN x.z = 2 THEN 3 ELSE 2 END, CASE WHEN r.kind = 'truncated' THEN 6 ELSE 3 END, 'R', [CASE WHEN x.z = 2 THEN 'assistant:' ELSE 'user:' END || r.text] WHERE r.kind IN ('good', 'truncated')
+    ) e GROUP BY s.conv_id, r.i, e.q
+  )
+), b AS (
+  SELECT s.conv_id, min({{'cost': s.cost + 3 * x.j, 'audit': s.audit || repeat('I', x.j), 'lines': list_concat(s.lines, x.put)}}) AS m
+  FROM s JOIN a ON a.conv_id IS NOT DISTINCT FROM s.conv_id AND a.n = s.i JOIN x ON x.q = s.q WHERE x.z IN (0, 3) GROUP BY s.conv_id
+)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(m.cost, 0) AS BIGINT) AS cost, coalesce(m.audit, '') AS audit, sha256(coalesce(array_to_string(m.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM o) z LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
