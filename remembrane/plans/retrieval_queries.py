@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CONTROL, INJECTION_FORMS, NEUTRALIZED, chunk_documents, identifiers, mask_pii, neutralize, normalize_placeholders, pii_counts
 from ..functions.values import cosine, recency_bonus, token_estimate
-from ..operators import context, retrieval
+from ..functions.stems import ENGLISH_KEPT, ENGLISH_STOP, ENGLISH_WHOLE, STEP_2, STEP_3, STEP_4
+from ..operators import context, fulltext, retrieval
 from ..sources.tables import observations, read
 from .registry import query
 
@@ -19,8 +20,14 @@ def query_vector(spark, d):
     return [float(x) for x in read(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
 
 
+def word_counts(spark, d):
+    """From the postings of plain words, which the session's first call writes."""
+    index = fulltext.indexed(read(spark, d, "documents"), "doc_id", "text", reader="words")
+    return fulltext.counted(index, WORDS).select(F.col("id").alias("doc_id"), "matched", "tf")
+
+
 def lexical(spark, d):
-    scored = retrieval.token_score(read(spark, d, "documents"), WORDS, "doc_id")
+    scored = word_counts(spark, d)
     return retrieval.ranked(scored, F.desc("matched"), F.desc("tf"), F.col("doc_id"), limit=50).select("doc_id", "rank")
 
 
@@ -79,7 +86,88 @@ def lexical_identifier(spark, d):
 
 @query(f"WITH {LEXICAL_SQL} SELECT doc_id, matched, tf FROM tok")
 def fts_token_score(spark, d):
-    return retrieval.token_score(read(spark, d, "documents"), WORDS, "doc_id")
+    return word_counts(spark, d)
+
+
+def sql_list(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def sql_map(pairs):
+    return f"MAP {{{', '.join(f'{chr(39)}{k}{chr(39)}: {chr(39)}{v}{chr(39)}' for k, v in pairs.items())}}}"
+
+
+def sql_ending(endings):
+    return f"coalesce(regexp_extract(w, '({'|'.join(endings)})$'), '')"
+
+
+REGION_SQL = "^[^aeiouy]*[aeiouy]+[^aeiouy]"
+SHORT_SQL = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+#: lex(word, lexeme): the stems of all words of documents, step by step. Words that are not of ASCII letters stay as they are.
+STEMS_SQL = f"""
+places AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents)),
+v0 AS (SELECT DISTINCT word FROM places WHERE word NOT IN ({sql_list(sorted(ENGLISH_STOP))})),
+v1 AS (SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM v0 WHERE regexp_full_match(word, '[a-z]{{3,}}')),
+v2 AS (SELECT *, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)') THEN length(regexp_extract(w, '^(gener|commun|arsen)')) WHEN regexp_matches(w, '{REGION_SQL}') THEN length(regexp_extract(w, '{REGION_SQL}')) ELSE length(w) END AS r1 FROM v1),
+v3 AS (SELECT word, r1, CASE WHEN regexp_matches(substr(w, r1 + 1), '{REGION_SQL}') THEN r1 + length(regexp_extract(substr(w, r1 + 1), '{REGION_SQL}')) ELSE length(w) END AS r2,
+  CASE WHEN w LIKE '%sses' THEN left(w, length(w) - 2) WHEN w LIKE '%ied' OR w LIKE '%ies' THEN left(w, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+  WHEN w LIKE '%s' AND w NOT LIKE '%us' AND w NOT LIKE '%ss' AND regexp_matches(left(w, length(w) - 2), '[aeiouy]') THEN left(w, length(w) - 1) ELSE w END AS w FROM v2),
+v4 AS (SELECT *, {sql_ending(["eedly", "eed", "edly", "ed", "ingly", "ing"])} AS e FROM v3),
+v5 AS (SELECT word, r1, r2, w, e, left(w, length(w) - length(e)) AS s FROM v4),
+v6 AS (SELECT word, r1, r2, CASE WHEN w IN ({sql_list(sorted(ENGLISH_KEPT))}) OR e = '' THEN w WHEN e IN ('eed', 'eedly') THEN CASE WHEN length(s) >= r1 THEN s || 'ee' ELSE w END
+  WHEN NOT regexp_matches(s, '[aeiouy]') THEN w WHEN regexp_matches(s, '(at|bl|iz)$') THEN s || 'e' WHEN regexp_matches(s, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(s, length(s) - 1)
+  WHEN length(s) <= r1 AND regexp_matches(s, '{SHORT_SQL}') THEN s || 'e' ELSE s END AS w FROM v5),
+v7 AS (SELECT word, r1, r2, CASE WHEN w NOT IN ({sql_list(sorted(ENGLISH_KEPT))}) AND regexp_matches(w, '.[^aeiouy][yY]$') THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM v6),
+v8 AS (SELECT *, {sql_ending(STEP_2)} AS e FROM v7),
+v9 AS (SELECT word, r1, r2, CASE WHEN e = '' OR length(w) - length(e) < r1 OR e = 'ogi' AND w NOT LIKE '%logi' OR e = 'li' AND NOT regexp_matches(w, '[cdeghkmnrt]li$') THEN w ELSE left(w, length(w) - length(e)) || ({sql_map(STEP_2)})[e] END AS w FROM v8),
+v10 AS (SELECT *, {sql_ending(STEP_3)} AS e FROM v9),
+v11 AS (SELECT word, r1, r2, CASE WHEN e = '' OR length(w) - length(e) < r1 OR e = 'ative' AND length(w) - 5 < r2 THEN w ELSE left(w, length(w) - length(e)) || ({sql_map(STEP_3)})[e] END AS w FROM v10),
+v12 AS (SELECT *, {sql_ending(STEP_4)} AS e FROM v11),
+v13 AS (SELECT word, r1, r2, CASE WHEN e = '' OR length(w) - length(e) < r2 OR e = 'ion' AND NOT regexp_matches(w, '[st]ion$') THEN w ELSE left(w, length(w) - length(e)) END AS w FROM v12),
+v14 AS (SELECT word, CASE WHEN w LIKE '%e' AND (length(w) - 1 >= r2 OR length(w) - 1 >= r1 AND NOT regexp_matches(left(w, length(w) - 1), '{SHORT_SQL}')) OR w LIKE '%ll' AND length(w) - 1 >= r2 THEN left(w, length(w) - 1) ELSE w END AS w FROM v13),
+lex AS (SELECT word, CASE WHEN word IN ({sql_list(ENGLISH_WHOLE)}) THEN ({sql_map(ENGLISH_WHOLE)})[word] WHEN word IN ({sql_list(sorted(ENGLISH_KEPT))}) THEN word ELSE coalesce(replace(w, 'Y', 'y'), word) END AS lexeme FROM v0 LEFT JOIN v14 USING (word))"""
+
+QUESTION = "Was the nation's relation, and relating things, of anded stations?"
+#: The question's lexemes are those of its words, found by the same steps on a document that holds it alone.
+RANKED_SQL = f"""
+hits AS (SELECT doc_id, lexeme, least(count(*) FILTER (place < 16383) + CASE WHEN max(place) >= 16383 THEN 1 ELSE 0 END, 255) AS n, count(*) AS tf FROM places JOIN lex USING (word) WHERE lexeme IN ('nation', 'relat', 'thing', 'and', 'station') GROUP BY ALL),
+fts AS (SELECT doc_id, round(sum(0.1 * list_sum(list_transform(range(1, n + 1), lambda j: 1.0 / (j * j)::DOUBLE)) / 1.64493406685) / 5, 9) AS score, count(*) AS matched, CAST(sum(tf) AS BIGINT) AS tf FROM hits GROUP BY doc_id)"""
+
+
+def stem_index(spark, d):
+    return fulltext.indexed(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {STEMS_SQL}, {RANKED_SQL} SELECT doc_id, score, matched, tf FROM fts")
+def fts_rank(spark, d):
+    """Every document with a lexeme of the question, and its rank."""
+    return fulltext.search(stem_index(spark, d), QUESTION).withColumnRenamed("id", "doc_id")
+
+
+@query(f"WITH {STEMS_SQL}, {RANKED_SQL} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM fts QUALIFY rank <= 50")
+def fts_stemmed_topk(spark, d):
+    found = fulltext.search(stem_index(spark, d), QUESTION).withColumnRenamed("id", "doc_id")
+    return retrieval.ranked(found.select("doc_id", "score"), F.desc("score"), F.col("doc_id"), limit=50)
+
+
+@query(f"WITH {STEMS_SQL} SELECT lexeme AS term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM places JOIN lex USING (word) GROUP BY ALL")
+def fts_terms(spark, d):
+    """All lexemes of the documents with how many documents and places they have, from the postings."""
+    return stem_index(spark, d).groupBy("term").agg(F.count_distinct("id").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"""WITH {STEMS_SQL}, l AS (SELECT doc_id, place, lexeme FROM places JOIN lex USING (word))
+SELECT a.doc_id, a.place AS at FROM l a JOIN l b ON b.doc_id = a.doc_id AND b.place = a.place + 3 AND b.lexeme = 'mit' JOIN l c ON c.doc_id = a.doc_id AND c.place = a.place + 4 AND c.lexeme = 'licens' WHERE a.lexeme = 'releas'""")
+def fts_phrase(spark, d):
+    """Where a licence line stands: its lexemes as far apart as in the phrase, whatever stop words lie between."""
+    return fulltext.phrase_rows(stem_index(spark, d), "releases under the MIT licenses").withColumnRenamed("id", "doc_id")
+
+
+@query(f"WITH {STEMS_SQL}, {RANKED_SQL}, s AS (SELECT d.doc_id, CASE WHEN contains(lower(text), 'http') THEN 1.0 ELSE coalesce(score, 0) END AS score FROM documents d LEFT JOIN fts USING (doc_id)) SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 80")
+def text_search_identifiers(spark, d):
+    """Identifiers before words, from texts and postings."""
+    docs = read(spark, d, "documents")
+    return fulltext.text_search(docs, QUESTION, ["http"], 80, "doc_id", "text", index=stem_index(spark, d))
 
 
 @query(f"""WITH {LEXICAL_SQL}, {VECTOR_SQL},

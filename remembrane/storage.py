@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from uuid import uuid4
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 OWN = "spark.remembrane.shared"
 _written: list[tuple[SparkSession, str]] = []
+_lasting: dict[tuple, tuple[SparkSession, str, DataFrame]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,18 +47,56 @@ def temporary_tables() -> Iterator[None]:
         drop_tables(kept)
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except (Py4JError, OSError, AttributeError):  # the JVM has gone; its folder is the cluster's to clean
+        return False
+    return True
+
+
 def drop_tables(keep: int = 0) -> None:
     """Delete the tables written so far, but for the first `keep`; what was derived from them can't be computed any more."""
     while len(_written) > keep:
-        spark, path = _written.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
-        except (Py4JError, OSError, AttributeError):  # the JVM has gone; its folder is the cluster's to clean
+        if not _delete(*_written.pop()):
+            return
+
+
+def _key(name: str, source: DataFrame, more: tuple) -> tuple:
+    size = str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return source.sparkSession.sparkContext.applicationId, name, more, tuple(sorted(source.inputFiles())), tuple(source.columns), size
+
+
+def known(name: str, source: DataFrame, *more: str) -> bool:
+    """Whether lasting would find its table written."""
+    return _key(name, source, more) in _lasting
+
+
+def lasting(name: str, source: DataFrame, build: Callable[[DataFrame, str], DataFrame], *more: str) -> DataFrame:
+    """The table that build(source, path) writes (and returns, for its columns), read; written once for a source and what `more` names, and kept for the session.
+
+    For indexes: the source is known by its files and their size, so a changed source is indexed anew. Dropped by drop_lasting,
+    or when the driver's Python ends.
+    """
+    spark, key = source.sparkSession, _key(name, source, more)
+    if key not in _lasting:
+        path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+        written = build(source, path)
+        _lasting[key] = (spark, path, spark.read.schema(written.schema).parquet(path))
+    return _lasting[key][2]
+
+
+def drop_lasting() -> None:
+    """Delete the session's indexes."""
+    while _lasting:
+        spark, path, _ = _lasting.popitem()[1]
+        if not _delete(spark, path):
             return
 
 
 atexit.register(drop_tables)
+atexit.register(drop_lasting)
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
