@@ -2,9 +2,9 @@
 
 A k-mer is k code points in a row, its inner substrings are the k - s + 1 runs of s code points in it, each as a hash.
 It is a closed syncmer if the smallest of them is the first or the last one. That depends on the k-mer alone, so equal
-passages give equal anchors whatever lies around them, in text with or without spaces. A text's first and last k - 1
-code points are anchors, too. Texts of fewer than `LONG` code points have shorter k-mers, and those too short for one
-are a single anchor.
+passages give equal anchors whatever lies around them, in text with or without spaces. Each end of a text is padded with
+k - 1 marks, all different and no code points, so texts of any length, one code point included, follow the same rule:
+two texts that begin alike share the anchors of their beginnings, however short either of them is.
 
 A fingerprint holds every anchor of the whole text with its place, as `place:hash` in hex. Likeness is by positional
 matching: each hash's first places in both texts give a shift, a shift that another anchor has as well is a match, and
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import input_parts, range_bounds, whole_text
 
 K, S = 32, 12
-LONG, SHORT_K, SHORT_S = 64, 8, 3
+PAD = K - 1
+#: Marks before and after a text, four bytes each, beyond the last code point.
+BEFORE, AFTER = (b"".join((0x110000 + base + i).to_bytes(4, "big") for i in range(PAD)) for base in (0, PAD))
 NONE = "cast(array() as array<bigint>)"
 LOW = 0xFFFFFFFF
 
@@ -33,11 +35,10 @@ def code_points(text: Column) -> Column:
     return F.encode(text, "UTF-32")
 
 
-def anchor(pos: Column, points: Column, size, tag: int) -> Column:
-    """The anchor of `size` code points of a text that begin at pos."""
-    size = F.lit(size) if isinstance(size, int) else size
-    found = F.substring(points, (pos * 4 + 1).cast("int"), (size * 4).cast("int"))
-    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.lit(tag), found), 32))
+def anchor(pos: Column, points: Column, size: int) -> Column:
+    """The anchor of the `size` code points that begin at pos."""
+    found = F.substring(points, (pos * 4 + 1).cast("int"), F.lit(size * 4))
+    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(found), 32))
 
 
 def place_of(x: Column) -> Column:
@@ -50,8 +51,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def syncmers(text: Column, k: int = K, s: int = S) -> Column:
-    """The closed syncmers of a text in order of their places; none if it is shorter than k."""
+def syncmers(points: Column, k: int = K, s: int = S) -> Column:
+    """The closed syncmers of four-byte code points in order of their places; none if there are fewer than k."""
     w = k - s
 
     def least(g: Column, sign: int) -> Column:
@@ -69,33 +70,14 @@ def syncmers(text: Column, k: int = K, s: int = S) -> Column:
     def found(b: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.shiftright(F.octet_length(b), 2) - s), lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * s))))
         starts = let(hashes, lambda g: F.array_sort(F.array_union(least(g, 1), least(g, -1))))
-        return F.transform(starts, lambda i: anchor(i, b, k, k))
+        return F.transform(starts, lambda i: anchor(i, b, k))
 
-    return F.when(F.length(text) >= k, let(code_points(text), found)).otherwise(F.expr(NONE))
+    return let(points, lambda b: F.when(F.octet_length(b) >= 4 * k, found(b)).otherwise(F.expr(NONE)))
 
 
-def ends(text: Column, k: int) -> tuple[Column, Column]:
-    """The anchors of a text's first and last k - 1 code points."""
-    size = F.length(text)
-    last = (size - (k - 1)).cast("long")
-    return anchor(F.lit(0).cast("long"), code_points(F.substring(text, F.lit(1), F.lit(k - 1))), k - 1, 1), F.shiftleft(last, 32).bitwiseOR(anchor(F.lit(0).cast("long"), code_points(F.substring(text, (last + 1).cast("int"), F.lit(k - 1))), k - 1, 2))
-
-
-def short_anchors(text: Column) -> Column:
-    """All anchors of a text of fewer than LONG code points."""
-    first, last = ends(text, SHORT_K)
-    size = F.length(text)
-    whole = F.array(anchor(F.lit(0).cast("long"), code_points(text), size, 3))
-    return F.when(size >= SHORT_K, F.concat(F.array(first), syncmers(text, SHORT_K, SHORT_S), F.array(last))).when(size > 0, whole).otherwise(F.expr(NONE))
-
-
-def with_anchors(df: DataFrame, text: str, out: str, inner: str | None = None) -> DataFrame:
-    """Adds `out`: all anchors of a text; and, as `inner`, the closed syncmers of length K if the text is shorter than LONG."""
-    t = F.col(text)
-    short, (first, last) = F.length(t) < LONG, ends(t, K)
-    if inner:
-        df = df.withColumn(inner, F.when(short, syncmers(t)).otherwise(F.expr(NONE)))
-    return df.withColumn(out, F.when(short, short_anchors(t)).otherwise(F.concat(F.array(first), syncmers(t), F.array(last))))
+def all_anchors(text: Column) -> Column:
+    """The closed syncmers of a text between its marks, places counted from the first mark; none if it is empty."""
+    return F.when(F.length(text) > 0, syncmers(F.concat(F.lit(BEFORE), code_points(text), F.lit(AFTER)))).otherwise(F.expr(NONE))
 
 
 def shifted(anchors: Column, by: Column) -> Column:
@@ -134,8 +116,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def anchors(docs: DataFrame) -> DataFrame:
     """doc_id, pos, hash: a row for each anchor of each document (null text is empty and has none)."""
-    rows = with_anchors(docs.select("doc_id", whole_text(docs).alias("text")), "text", "__a")
-    return rows.select("doc_id", F.explode("__a").alias("x")).select("doc_id", place_of(F.col("x")).alias("pos"), F.col("x").bitwiseAND(LOW).alias("hash"))
+    rows = docs.select("doc_id", all_anchors(whole_text(docs)).alias("a"))
+    return rows.select("doc_id", F.explode("a").alias("x")).select("doc_id", place_of(F.col("x")).alias("pos"), F.col("x").bitwiseAND(LOW).alias("hash"))
 
 
 def range_of(key: Column, bounds: list[int]) -> Column:
@@ -159,8 +141,10 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
     fingerprint; two empty ones have likeness 1. Equal shifts are interchangeable, so ties need no order. Other columns
     are left out. Rows are dealt to ranges of doc_id (by default four for each split of the input, four for each shuffle
     partition at least), and each range also gets a copy of the first row of the next one, so that one shuffle brings
-    neighbours together. Anchors don't depend on what is around, so those of the edited text are those of its two parts
-    but for the k-mers across their seam; each text's are computed once.
+    neighbours together; which range is next comes from a table of two numbers a range. Anchors don't depend on what is
+    around, so those of the edited text are those of its two parts but for the k-mers across their seam and at its end;
+    each text's are computed once. A row holds all anchors of its text and of the next one, some nine numbers for every
+    hundred code points, so a text's length is bounded by what one row may hold.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
@@ -169,10 +153,11 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
     rows = rows.withColumn("bucket", range_of(F.col("k"), bounds))
 
     heads = rows.groupBy("bucket").agg(F.max("k").alias("k"))  # a row for each range
-    first = rows.join(F.broadcast(heads), ["bucket", "k"]).groupBy("bucket", "k", "doc_id").agg(F.min("text").alias("text"))
     down = Window.orderBy(F.desc("bucket"))
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    copies = first.withColumn("bucket", F.coalesce(F.lag("bucket").over(down), F.last("bucket").over(whole)))
+    heads = heads.withColumn("goes", F.coalesce(F.lag("bucket").over(down), F.last("bucket").over(whole)))
+    first = rows.join(F.broadcast(heads), ["bucket", "k"]).groupBy("goes", "k", "doc_id").agg(F.min("text").alias("text"))
+    copies = first.withColumnRenamed("goes", "bucket")
     dealt = rows.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)).select("doc_id", "text", "k", "bucket", "copy"))
 
     # so many tasks, which adaptive execution leaves apart: they have much to compute for few bytes
@@ -183,27 +168,23 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
     dealt = dealt.withColumn("stays", (size - F.floor(size / 3)).cast("int"))
     dealt = dealt.withColumn("comes", F.least(size - F.col("stays"), F.length("next")).cast("int"))
     edited = F.when(F.col("copy") == 0, F.concat(F.substring("text", F.lit(1), F.col("stays")), F.substring("next", F.lit(1), F.col("comes")))).otherwise("")
-    dealt = with_anchors(dealt.withColumn("edited", edited).drop("next"), "text", "a", "inner")
-    # of the edited text: whole if short, else what lies at most K - 1 code points on either side of the seam
-    short = F.length("edited") < LONG
-    seam = F.greatest(F.col("stays") - (K - 1), F.lit(0))
-    across = F.substring("edited", seam + 1, F.least(F.col("stays"), F.lit(K - 1)) + F.least(F.col("comes"), F.lit(K - 1)))
-    head, tail = ends(F.col("edited"), K)
+    dealt = dealt.withColumn("edited", edited).drop("next").withColumn("a", all_anchors(F.col("text")))
+    # of a short edited text, all at once; else only what lies around the seam and at the end is hashed anew
+    size, e = F.length("edited"), code_points(F.col("edited"))
+    short, seam = size < 2 * K, F.greatest(F.col("stays") - PAD, F.lit(0))
+    part = lambda start, n: F.substring(e, (start * 4 + 1).cast("int"), (n * 4).cast("int"))
     dealt = dealt.select(
-        "doc_id", "bucket", "copy", "place", "a", "inner", "stays", "comes", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        short.alias("short"), F.when(short, F.col("edited")).otherwise("").alias("small"), F.when(short, "").otherwise(across).alias("across"), seam.alias("seam"), head.alias("head"), tail.alias("tail"),
+        "doc_id", "bucket", "copy", "place", "a", "stays", "comes", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), size.cast("long").alias("size"), short.alias("short"), seam.alias("seam"),
+        all_anchors(F.when(short, F.col("edited")).otherwise("")).alias("small"),
+        F.when(short, F.lit(b"")).otherwise(part(seam, F.least("stays", F.lit(PAD)) + F.least("comes", F.lit(PAD)))).alias("across"), F.when(short, F.lit(b"")).otherwise(F.concat(part(size - PAD, F.lit(PAD)), F.lit(AFTER))).alias("tail"),
     )
-    dealt = dealt.withColumns({"mid": syncmers(F.col("across")), "small_a": short_anchors(F.col("small"))}).drop("small", "across")
+    dealt = dealt.withColumns({"mid": syncmers(F.col("across")), "tail": syncmers(F.col("tail"))}).drop("across")
     following = Window.partitionBy("bucket").orderBy("place")
-    for c in ("a", "inner"):
-        dealt = dealt.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(following), F.expr(NONE)))
-    dealt = dealt.withColumn("next_n", F.coalesce(F.lead("n_chars").over(following), F.lit(0))).where("copy = 0")
-    long = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 2, F.lit(0)))  # noqa: E731  without the two ends
-    kept = F.filter(long(F.col("a")), lambda x: place_of(x) + K <= F.col("stays"))
-    theirs = F.when(F.col("next_n") < LONG, F.col("next_inner")).otherwise(long(F.col("next_a")))
-    added = F.filter(theirs, lambda x: place_of(x) + K <= F.col("comes"))
-    joined = F.concat(F.array("head"), kept, shifted(F.col("mid"), F.col("seam")), shifted(added, F.col("stays")), F.array("tail"))
-    dealt = dealt.withColumn("e", F.when(F.col("short"), F.col("small_a")).otherwise(joined))
+    dealt = dealt.withColumn("next_a", F.coalesce(F.lead("a").over(following), F.expr(NONE))).where("copy = 0")
+    kept = F.filter("a", lambda x: place_of(x) + 1 <= F.col("stays"))
+    added = F.filter("next_a", lambda x: (place_of(x) >= PAD) & (place_of(x) + 1 <= F.col("comes")))
+    joined = F.concat(kept, shifted(F.col("mid"), F.col("seam") + PAD), shifted(added, F.col("stays")), shifted(F.col("tail"), F.col("size")))
+    dealt = dealt.withColumn("e", F.when(F.col("short"), F.col("small")).otherwise(joined))
     dealt = dealt.withColumns({f"first_{c}": firsts(F.col(c)) for c in ("a", "e", "next_a")})
     dealt = dealt.withColumns({"near_edited": likeness(F.col("first_a"), F.col("first_e")), "near_next": likeness(F.col("first_a"), F.col("first_next_a"))})
     return dealt.select("doc_id", "n_chars", "edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("e")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -1,6 +1,7 @@
 """Operators over all documents, against brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -280,26 +281,24 @@ def test_chain_links(spark):
 # fingerprints
 
 
-def spark_hash(tag, text):
-    """Spark's xxhash64 of a number and of a text's code points, its upper 32 bits."""
-    seed = xxhash.xxh64_intdigest(int(tag).to_bytes(4, "little"), 42)
-    return xxhash.xxh64_intdigest(text.encode("utf-32-be"), seed) >> 32
+def spark_hash(points):
+    """Spark's xxhash64 of code points, signed."""
+    x = xxhash.xxh64_intdigest(b"".join(p.to_bytes(4, "big") for p in points), 42)
+    return x - (1 << 64) if x >> 63 else x
 
 
-def brute_closed(text, k, s):
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    inner = [signed(xxhash.xxh64_intdigest(text[i : i + s].encode("utf-32-be"), 42)) for i in range(len(text) - s + 1)]
-    for i in range(len(text) - k + 1):
+def brute_anchors(text, k=syncmers.K, s=syncmers.S):
+    if not text:
+        return []
+    marks = range(0x110000, 0x110000 + 2 * (k - 1))
+    points = [*marks[: k - 1], *map(ord, text), *marks[k - 1 :]]
+    inner = [spark_hash(points[i : i + s]) for i in range(len(points) - s + 1)]
+    out = []
+    for i in range(len(points) - k + 1):
         own = inner[i : i + k - s + 1]
         if min(own) in (own[0], own[-1]):
-            yield i, spark_hash(k, text[i : i + k])
-
-
-def brute_anchors(text):
-    k, s = (syncmers.K, syncmers.S) if len(text) >= syncmers.LONG else (syncmers.SHORT_K, syncmers.SHORT_S)
-    if len(text) < k:
-        return [(0, spark_hash(3, text))] if text else []
-    return [(0, spark_hash(1, text[: k - 1])), *brute_closed(text, k, s), (len(text) - k + 1, spark_hash(2, text[1 - k :]))]
+            out.append((i, (spark_hash(points[i : i + k]) & (1 << 64) - 1) >> 32))
+    return out
 
 
 def brute_likeness(a, b):
@@ -351,7 +350,20 @@ def test_syncmers_are_context_free(spark, make):
     for core in (" ".join(f"t{i}" for i in range(100)), "".join(f"t{i}" for i in range(100))):  # with and without spaces
         a = {(r.pos + 10, r.hash) for r in syncmers.anchors(make([(1, core)])).collect()}
         b = {(r.pos, r.hash) for r in syncmers.anchors(make([(2, f"before it {core} and after")])).collect()}
-        assert len(a - b) == 2  # the text's ends
+        inside = {(p, h) for p, h in a if 10 + syncmers.PAD <= p <= 10 + len(core) - 1}
+        assert inside <= b and len(inside) > len(core) // 15 and len(a - b) < 14  # all but those with marks
+
+
+@pytest.mark.parametrize("size", [3, 16, 31, 32, 33, 63, 64, 65, 75, 200])
+def test_fingerprints_know_no_length(spark, make, sha, size):
+    """A text, itself without its last character, and next to it one so short that the edited text shrinks: shared beginnings are found at any length."""
+    r = random.Random(size)
+    text = "".join(r.choice("abcdefg hi") for _ in range(size))
+    rows = [(4, text), (3, text[:-1]), (2, text), (1, "")]
+    got = sorted(syncmers.fingerprints_with_edits(make(rows)).collect(), key=lambda r: -r.doc_id)
+    check_fingerprints(rows, got, sha)
+    if size > 30:
+        assert all(x > 0.15 for x in (got[0].near_next, got[1].near_next, got[2].near_edited)), [(x.near_edited, x.near_next) for x in got]
 
 
 # search
