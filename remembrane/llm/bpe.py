@@ -29,7 +29,7 @@ MEMO = 1_000_000
 
 
 class ByteBpe:
-    """Encodes texts to packed little-endian ids; special tokens' strings in a text are ordinary text."""
+    """Encodes texts to packed little-endian ids; added tokens' strings in a text are those tokens, as for the library."""
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,7 +37,11 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if os.path.sep in name else public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()) or self.tokenizer.normalizer is not None:
+            raise ValueError("added tokens that take in what is around them, and normalizers, are not handled")
+        self.added = {t.content: i for i, t in added.items()}
+        self.split = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
         encode, merge, dtype = self.tokenizer.encode, self.tokenizer.model.tokenize, self.dtype
@@ -62,7 +66,12 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         if len(self.memo) > MEMO:
             self.memo.clear()
-        return b"".join(map(self.memo.__getitem__, UNITS.findall(text)))
+        ids, at = [], 0
+        for m in self.split.finditer(text) if self.split else ():
+            ids += map(self.memo.__getitem__, UNITS.findall(text, at, m.start()))
+            ids.append(np.array([self.added[m[0]]], self.dtype).tobytes())
+            at = m.end()
+        return b"".join(ids) + b"".join(map(self.memo.__getitem__, UNITS.findall(text, at)))
 
 
 @lru_cache(maxsize=4)

@@ -20,7 +20,6 @@ BPE, MODEL = queries.BPE, queries.PIECES
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(public_tokenizers.path(BPE))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -30,6 +29,9 @@ def test_byte_bpe_is_the_librarys(library):
     for _ in range(3000):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
         assert np.frombuffer(bpe.encode(text), bpe.dtype).tolist() == library(text)
+    for text in ("<|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|>b", " <|endoftext|> <|endoftext|>\n<|endoftext|><|endoftext|>  x", "<|endoftext|", "<<|endoftext|>>" * 50):
+        assert np.frombuffer(bpe.encode(text), bpe.dtype).tolist() == library(text)
+    assert library("hello <|endoftext|> world").count(50256) == 1
 
 
 def test_pieces_are_the_librarys():
