@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.predicates import strings, valid_at, visible
 from ..functions.refs import plain_label
 from ..functions.text import neutralize
-from ..storage import cut_lineage
+from ..storage import cut_lineage, lasting
 
 # Degree from which a node is a hub at least, the share of nodes below it, and limits of a traversal.
 HUB_LEAST, HUB_SHARE = 50, 0.99
 MAX_DEPTH, MAX_STEP_LIMIT, MAX_LEVEL_EDGES = 5, 200, 20_000
+#: Folders that a type's adjacency is dealt to by its keys, and keys of a frontier that are named in a read; beyond that they are joined.
+ADJACENCY_BUCKETS, MAX_NAMED = 16, 1000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -23,6 +26,52 @@ def undirected(edges: DataFrame) -> DataFrame:
     return a.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a <> b")
 
 
+def write_adjacency(edges: DataFrame, path: str) -> DataFrame:
+    """Each edge at both of its ends: key, way (out, in), other, and what else edges have; in folders by type and key, ordered by key.
+
+    A key with very many edges is spread over files by the other end.
+    """
+    rest = [c for c in edges.columns if c not in ("src", "dst", "type")]
+    end = lambda a, b, way: edges.select(F.col(a).alias("key"), F.lit(way).alias("way"), F.col(b).alias("other"), *rest, "type")
+    rows = end("src", "dst", "out").unionByName(end("dst", "src", "in")).distinct()
+    rows = rows.withColumn("bucket", (F.crc32(F.col("key").cast("binary")) % ADJACENCY_BUCKETS).cast("int"))
+    parts = max(edges.rdd.getNumPartitions(), edges.sparkSession.sparkContext.defaultParallelism)
+    salt = F.pmod(F.xxhash64("other"), F.lit(max(1, parts // ADJACENCY_BUCKETS)))
+    rows = rows.repartition(max(parts, ADJACENCY_BUCKETS), "type", "bucket", salt).sortWithinPartitions("type", "bucket", "key", "way", "other")
+    rows.write.partitionBy("type", "bucket").parquet(path)
+    return rows
+
+
+def adjacency(edges: DataFrame, name: str = "") -> DataFrame:
+    """The adjacency of edges that come from files, written on a session's first call and kept. name tells apart what one set of files gives."""
+    return lasting("adjacency", edges, write_adjacency, name)
+
+
+def at_keys(near: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of an adjacency at the frontier's keys (key), and the frontier, computed.
+
+    Few keys are named in the read, so that only their folders, and of those only the parts that hold them, are opened; many
+    are joined. How many there are is looked at first, up to the bound.
+    """
+    keys = [r["key"] for r in frontier.limit(MAX_NAMED + 1).collect()]
+    if len(keys) > MAX_NAMED:
+        frontier = cut_lineage(frontier, "frontier")
+        return near.join(frontier, "key", "left_semi"), frontier
+    buckets = sorted({zlib.crc32(k.encode()) % ADJACENCY_BUCKETS for k in keys if k is not None})
+    return near.where(F.col("bucket").isin(buckets) & F.col("key").isin(keys)), near.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+
+
+def neighbors_by(near: DataFrame, seeds: DataFrame, hops: int = 1, limit: int | None = None) -> DataFrame:
+    """As neighbors, from an adjacency: each hop reads what its frontier has, and no edge is shuffled."""
+    frontier, seen = seeds.select("key").distinct(), None
+    for hop in range(1, hops + 1):
+        found, frontier = at_keys(near, frontier)
+        seen = frontier.withColumn("hop", F.lit(hop - 1)) if seen is None else seen.unionByName(frontier.withColumn("hop", F.lit(hop - 1)))
+        frontier = found.select(F.col("other").alias("key")).distinct().join(seen.select("key"), "key", "left_anti")
+    found = (frontier.withColumn("hop", F.lit(hops)) if seen is None else seen.unionByName(frontier.withColumn("hop", F.lit(hops)))).where("hop > 0")
+    return found.orderBy("hop", "key").limit(limit) if limit else found
+
+
 def neighbors(edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int | None = None) -> DataFrame:
     """Keys within so many undirected steps of the seeds (key), seeds left out: key, hop (the least). Ordered by both if limited."""
     seen = seeds.select("key").distinct().withColumn("hop", F.lit(0))
@@ -148,21 +197,28 @@ def live_edges(edges: DataFrame, at: str | None = None, namespaces: Sequence[str
     return edges.where(F.col("namespace").isin(list(namespaces))) if namespaces and "namespace" in edges.columns else edges
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, steps: Sequence[dict], at: str | None = None, namespaces: Sequence[str] = ()) -> DataFrame:
+def traverse(nodes: DataFrame, edges: DataFrame | None, start: DataFrame, steps: Sequence[dict], at: str | None = None, namespaces: Sequence[str] = (), near: DataFrame | None = None) -> DataFrame:
     """step, key, truncated: what each step {relation, direction, depth, limit, where} reaches from what the step before reached.
 
     direction: out, in or both. where: a Column on nodes. A step's limit takes keys in order, after visibility and where;
-    truncated tells whether there were more. Only edges that hold at the time `at` count.
+    truncated tells whether there were more. Only edges that hold at the time `at` count. near: the edges' adjacency, to
+    read from instead of them.
     """
     now, out = start.select("key").distinct(), []
-    edges = live_edges(edges, at, namespaces)
+    held = live_edges(edges if near is None else near, at, namespaces)
     for number, step in enumerate(steps, 1):
         depth, limit = step.get("depth", 1), step.get("limit", MAX_STEP_LIMIT)
         if not 1 <= depth <= MAX_DEPTH or not 1 <= limit <= MAX_STEP_LIMIT:
             raise ValueError("depth or limit out of range")
-        own = edges.where(F.col("type") == step["relation"])
+        own, direction = held.where(F.col("type") == step["relation"]), step.get("direction", "out")
+        if near is not None:
+            found = _reached(nodes, own if direction == "both" else own.where(F.col("way") == direction), now, depth, step.get("where"), limit)
+            more = found.count() > limit
+            now = found.orderBy("key").limit(limit) if more else found
+            out.append(now.select(F.lit(number).cast("long").alias("step"), "key", F.lit(more).alias("truncated")))
+            continue
         forward, back = own.select(F.col("src").alias("a"), F.col("dst").alias("b")), own.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-        links = {"out": forward, "in": back, "both": forward.unionByName(back)}[step.get("direction", "out")]
+        links = {"out": forward, "in": back, "both": forward.unionByName(back)}[direction]
         seen, frontier = now, now
         for _ in range(depth):
             frontier = links.join(frontier.withColumnRenamed("key", "a"), "a", "left_semi").select(F.col("b").alias("key")).distinct().join(seen, "key", "left_anti")
@@ -176,6 +232,21 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, steps: Sequen
     return reduce(DataFrame.unionByName, out)
 
 
+def _reached(nodes: DataFrame, near: DataFrame, now: DataFrame, depth: int, where: Column | None, limit: int) -> DataFrame:
+    """The first limit + 1 keys in order that a step of a traversal finds in an adjacency."""
+    seen, frontier = None, now
+    for _ in range(depth):
+        links, frontier = at_keys(near, frontier)
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        frontier = links.select(F.col("other").alias("key")).distinct().join(seen, "key", "left_anti")
+    reached = seen.unionByName(frontier).join(now, "key", "left_anti") if depth > 1 else frontier
+    if where is not None:
+        reached = nodes.where(where).select(F.col("natural_key").alias("key")).join(reached, "key", "left_semi")
+    else:
+        reached = nodes.select(F.col("natural_key").alias("key")).join(reached, "key", "left_semi")
+    return cut_lineage(reached.distinct().orderBy("key").limit(limit + 1))
+
+
 def step_facts(edges: DataFrame, frontier: DataFrame, relation: str, direction: str, at: str | None = None) -> DataFrame:
     """subject, predicate, object, each once: the edges of a relation that a step from frontier (key) runs over."""
     own = live_edges(edges, at).where(F.col("type") == relation)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import community, graph
 from ..operators.retrieval import top_per_group
 from ..sources.tables import edges, nodes, read
+from ..storage import cut_lineage
 from .registry import query
 
 NODES_SQL = """nodes AS (SELECT 'region:' || r_regionkey AS natural_key, 'region' AS type FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'nation' FROM nation
@@ -23,6 +24,11 @@ def keys(spark, *found):
     return spark.createDataFrame([(k,) for k in found], "key string")
 
 
+def linked(spark, d):
+    """The graph's adjacency, which the session's first call writes."""
+    return graph.adjacency(edges(spark, d, unique=False))
+
+
 @query(f"WITH {NODES_SQL} SELECT type, count(*) AS n FROM nodes GROUP BY type")
 def nodes_by_type(spark, d):
     return nodes(spark, d).groupBy(F.coalesce("type", F.lit("entity")).alias("type")).agg(F.count("*").alias("n"))
@@ -54,13 +60,13 @@ def hub_threshold(spark, d):
 
 @query(f"WITH {BOTH_SQL} SELECT DISTINCT b AS key, 1 AS hop FROM u WHERE a IN ('customer:1', 'supplier:3') AND b NOT IN ('customer:1', 'supplier:3')")
 def neighbors_1hop(spark, d):
-    return graph.neighbors(edges(spark, d, unique=False), keys(spark, "customer:1", "supplier:3"), 1)
+    return graph.neighbors_by(linked(spark, d), keys(spark, "customer:1", "supplier:3"), 1)
 
 
 @query(f"""WITH {BOTH_SQL}, h1 AS (SELECT DISTINCT b AS key FROM u WHERE a = 'customer:1'), h2 AS (SELECT DISTINCT b AS key FROM u JOIN h1 ON a = h1.key)
 SELECT key, 1 AS hop FROM h1 UNION ALL SELECT key, 2 FROM h2 WHERE key <> 'customer:1' AND key NOT IN (SELECT key FROM h1)""")
 def neighbors_2hop(spark, d):
-    return graph.neighbors(edges(spark, d, unique=False), keys(spark, "customer:1"), 2)
+    return graph.neighbors_by(linked(spark, d), keys(spark, "customer:1"), 2)
 
 
 @query("""WITH l AS (SELECT DISTINCT doc_id AS item, source AS concept FROM documents), s AS (SELECT DISTINCT concept FROM l WHERE item IN (1, 2, 3)),
@@ -87,8 +93,7 @@ def typed_traverse(spark, d):
         {"relation": "IN_REGION", "direction": "in"}, {"relation": "SUPPLIER_IN", "direction": "in", "limit": 50},
         {"relation": "SUPPLIES", "direction": "out", "limit": 100, "where": F.col("natural_key").startswith("part:1")},
     ]
-    relevant = edges(spark, d, *(s["relation"] for s in steps), unique=False)
-    return graph.traverse(nodes(spark, d), relevant, keys(spark, "region:1"), steps).select(F.col("step").cast("int").alias("step"), "key")
+    return graph.traverse(nodes(spark, d), None, keys(spark, "region:1"), steps, near=linked(spark, d)).select(F.col("step").cast("int").alias("step"), "key")
 
 
 @query(f"""WITH {EDGES_SQL}, e AS (SELECT src AS key FROM edges UNION ALL SELECT dst FROM edges), hubs AS (SELECT key FROM e GROUP BY key HAVING count(*) >= 60),
@@ -148,6 +153,39 @@ def bridges(spark, d):
     return community.bridges(trade(spark, d), nation_members(spark, d))
 
 
+PLACES_SQL = f"""{EDGES_SQL}, p AS (SELECT src, dst FROM edges WHERE type IN ('IN_REGION', 'CUSTOMER_IN', 'SUPPLIER_IN')),
+below AS (SELECT dst AS key, count(*) AS n FROM p WHERE dst LIKE 'nation:%' GROUP BY dst),
+tree AS (SELECT p.dst AS region, count(*) + coalesce(sum(n), 0) + 1 AS total FROM p LEFT JOIN below ON p.src = below.key WHERE p.dst LIKE 'region:%' GROUP BY p.dst),
+b AS (SELECT p.src, p.dst, 1 + coalesce(below.n, 0) AS inside, coalesce(t.total, u.total) AS total FROM p LEFT JOIN below ON p.src = below.key LEFT JOIN tree t ON t.region = p.dst
+  LEFT JOIN p up ON up.src = p.dst LEFT JOIN tree u ON u.region = up.dst)"""
+
+
+def places(spark, d):
+    return edges(spark, d, "IN_REGION", "CUSTOMER_IN", "SUPPLIER_IN")
+
+
+@query(f"WITH {PLACES_SQL} SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(inside * (total - inside) AS DOUBLE) AS betweenness FROM b")
+def edge_betweenness(spark, d):
+    """Customers, suppliers, nations and regions hang together as trees, where an edge parts what is below it from the rest."""
+    return community.edge_betweenness(places(spark, d))
+
+
+@query(f"""WITH {PLACES_SQL}, e AS (SELECT src AS key, inside * (total - inside) AS x, total FROM b UNION ALL SELECT dst, inside * (total - inside), total FROM b)
+SELECT key, (sum(x) - (max(total) - 1)) / 2.0 AS betweenness FROM e GROUP BY key""")
+def node_betweenness(spark, d):
+    return community.node_betweenness_table(places(spark, d))
+
+
+@query("SELECT 'apart' AS what, 0 AS n UNION ALL SELECT 'below louvain', 0 UNION ALL SELECT 'nodes', (SELECT count(DISTINCT o_custkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) + (SELECT count(DISTINCT l_suppkey) FROM lineitem)")
+def communities_leiden(spark, d):
+    """Communities that are not connected, whether modularity is below that of local moves alone, and how many nodes have one."""
+    links = trade(spark, d)
+    found = cut_lineage(community.leiden(links), "leiden")
+    apart = community.connected_parts(links, found).groupBy("was").agg(F.countDistinct("community").alias("n")).where("n > 1").count()
+    less = community.modularity(links, found) < community.modularity(links, community.louvain(links)) - 1e-9
+    return spark.createDataFrame([("apart", apart), ("below louvain", int(less)), ("nodes", found.count())], "what string, n bigint")
+
+
 @query()
 def communities(spark, d):
     found = community.label_propagation(trade(spark, d))
