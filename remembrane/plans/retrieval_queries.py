@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import CONTROL, INJECTION_FORMS, NEUTRALIZED, chunk_documents, identifiers, mask_pii, neutralize, normalize_placeholders, pii_counts
 from ..functions.values import cosine, recency_bonus, token_estimate
 from ..functions.stems import ENGLISH_KEPT, ENGLISH_STOP, ENGLISH_WHOLE, STEP_2, STEP_3, STEP_4
-from ..operators import context, fulltext, retrieval
+from ..operators import context, fulltext, retrieval, vector_index
 from ..sources.tables import observations, read
 from .registry import query
 
@@ -76,6 +76,28 @@ def vector_knn_per_label(spark, d):
     return retrieval.top_per_group(scored, ["label"], F.desc("s"), F.col("vec_id"), limit=3).select("label", "vec_id", F.round("s", 6).alias("similarity"), "rank")
 
 
+def near_queries(spark, d):
+    """Every hundredth vector asks, against all rows."""
+    return read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query()
+def vector_ann(spark, d):
+    """Twenty neighbours from the lists that hold 95 % of the true ones of 64 queries."""
+    index, ask = vector_index.vector_index(read(spark, d, "embeddings"), "vec_id"), near_queries(spark, d)
+    found = vector_index.search(index, ask, 20, vector_index.probes_for(index, ask, 20), exclude_own=True)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def vector_ann_recall(spark, d):
+    """Whether the index finds nine of ten true neighbours of all queries."""
+    index, ask = vector_index.vector_index(read(spark, d, "embeddings"), "vec_id"), near_queries(spark, d)
+    found = vector_index.search(index, ask, 20, vector_index.probes_for(index, ask, 20), exclude_own=True)
+    share = vector_index.recall(found, vector_index.exact_neighbours(index, ask, 20, exclude_own=True))
+    return ask.agg(F.count("*").alias("queries")).withColumn("reached", F.lit(share >= 0.9))
+
+
 @query("""WITH w AS (SELECT doc_id, text, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t IN ('the', 'with', 'das'))) AS f FROM documents),
 s AS (SELECT doc_id, CASE WHEN contains(lower(text), 'http') OR contains(lower(text), 'idiot') THEN 1.0 ELSE len(f) / 6.0 END AS score FROM w)
 SELECT doc_id, round(CAST(score AS DOUBLE), 6) AS score, row_number() OVER (ORDER BY CAST(score AS DOUBLE) DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 50""")

@@ -87,11 +87,16 @@ def lasting(name: str, source: DataFrame, build: Callable[[DataFrame, str], Data
     return _lasting[key][2]
 
 
+def lasting_path(name: str, source: DataFrame, *more: str) -> str:
+    """Where lasting has written its table; what its builder puts beside it, under this path with a suffix, goes with it."""
+    return _lasting[_key(name, source, more)][1]
+
+
 def drop_lasting() -> None:
     """Delete the session's indexes."""
     while _lasting:
         spark, path, _ = _lasting.popitem()[1]
-        if not _delete(spark, path):
+        if not all(_delete(spark, p) for p in (path, f"{path}-model")):
             return
 
 
