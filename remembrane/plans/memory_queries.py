@@ -360,7 +360,7 @@ def neighborhood_keys(spark, d):
     return graph.neighborhood(edges(spark, d), spark.createDataFrame([("customer:1",)], "key string"), 2)[0]
 
 
-@query(f"WITH {NEAR_SQL} SELECT src, type, dst FROM edges WHERE src IN (SELECT key FROM k) AND dst IN (SELECT key FROM k)")
+@query(f"WITH {NEAR_SQL}, kept AS MATERIALIZED (SELECT key FROM k) SELECT src, type, dst FROM edges JOIN kept a ON a.key = src JOIN kept b ON b.key = dst")
 def neighborhood_edges(spark, d):
     return graph.neighborhood(edges(spark, d), spark.createDataFrame([("customer:1",)], "key string"), 2)[1].select("src", "type", "dst")
 

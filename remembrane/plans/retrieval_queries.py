@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CONTROL, INJECTION_FORMS, NEUTRALIZED, chunk_documents, identifiers, mask_pii, neutralize, normalize_placeholders, pii_counts
 from ..functions.values import cosine, recency_bonus, token_estimate
 from ..functions.stems import ENGLISH_KEPT, ENGLISH_STOP, ENGLISH_WHOLE, STEP_2, STEP_3, STEP_4
-from ..operators import context, fulltext, retrieval, vector_index
+from ..operators import context, extract, fulltext, retrieval, vector_index
 from ..sources.tables import observations, read
+from ..storage import new_path
 from .registry import query
 
 WORDS = ("the", "tion", "with", "das", "que")
@@ -81,6 +85,36 @@ def near_queries(spark, d):
     return read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+MAIL = "[a-z0-9._-]+@[a-z0-9-]+[.][a-z]+"
+
+
+def plain_model(instructions, text):
+    """Stands in for a model: addresses are people, the first word is an organisation, and texts with a license get no JSON."""
+    if "License" in text:
+        return "I can't help with licenses."
+    nodes = [{"id": m, "label": m.split("@")[0], "type": "person", "email": m} for m in dict.fromkeys(re.findall(MAIL, text))]
+    word = re.search("[A-Za-z]+", text)
+    nodes += [{"id": word[0].lower(), "label": word[0], "type": "org"}] if word else []
+    return f"Here you are: {json.dumps({'nodes': nodes, 'edges': []})}"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text FROM documents WHERE NOT contains(text, 'License') AND length(trim(text)) > 0),
+m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{MAIL}'))) AS m FROM d)
+SELECT CAST(doc_id AS VARCHAR) AS src, 'person:' || m AS natural_key, split_part(m, '@', 1) AS title, m AS email FROM m
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'org:' || lower(regexp_extract(text, '[A-Za-z]+')), regexp_extract(text, '[A-Za-z]+'), NULL FROM d WHERE regexp_matches(text, '[A-Za-z]')""")
+def extracted_mentions(spark, d):
+    """What a stand-in for a model finds in whole texts, through the checks and the cache of answers."""
+    found = extract.fragments(read(spark, d, "documents"), "doc_id", "text", plain_model, "plain", new_path(spark, "answers"), most=None)
+    return extract.mentions(found).select("src", "natural_key", "title", "email")
+
+
+@query("SELECT doc_id, 'no JSON object of nodes' AS error FROM documents WHERE contains(text, 'License') AND length(trim(text)) > 0")
+def extraction_errors(spark, d):
+    """Documents whose answer did not pass the checks, and why."""
+    found = extract.fragments(read(spark, d, "documents"), "doc_id", "text", plain_model, "plain", new_path(spark, "answers"), most=None)
+    return found.where("size(errors) > 0").select(F.col("key").alias("doc_id"), F.array_join("errors", "; ").alias("error"))
+
+
 @query()
 def vector_ann(spark, d):
     """Twenty neighbours from the lists that hold 95 % of the true ones of 64 queries."""
