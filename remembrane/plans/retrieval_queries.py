@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CONTROL, INJECTION_FORMS, NEUTRALIZED, chunk_documents, identifiers, mask_pii, neutralize, normalize_placeholders, pii_counts
 from ..functions.values import cosine, recency_bonus, token_estimate
+from ..functions.ontology import Catalog, parse_pack
 from ..functions.stems import ENGLISH_KEPT, ENGLISH_STOP, ENGLISH_WHOLE, STEP_2, STEP_3, STEP_4
 from ..operators import context, extract, fulltext, retrieval, vector_index
 from ..sources.tables import observations, read
@@ -85,6 +86,30 @@ def near_queries(spark, d):
     return read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+NOTICES = {
+    "name": "notices", "version": 1, "kinds": [
+        {"kind": "license", "idPatterns": ["CC BY-[A-Z]+ [0-9][.][0-9]", "(?:MIT|Apache|General Public) License"]},
+        {"kind": "person", "idPatterns": ["Customer#[0-9]{9}"]}, {"kind": "firm", "idPatterns": ["Supplier#[0-9]+"]},
+    ],
+}
+
+
+@query("""WITH f AS (SELECT doc_id, list_concat(regexp_extract_all(text, 'CC BY-[A-Z]+ [0-9][.][0-9]'), regexp_extract_all(text, '(?:MIT|Apache|General Public) License')) AS ids FROM documents)
+SELECT DISTINCT doc_id, 'license' AS kind, unnest(ids) AS id FROM f""")
+def catalog_ids(spark, d):
+    """Ids of a catalogue's kinds in whole texts."""
+    return Catalog.build([parse_pack(NOTICES)]).ids_in(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""WITH t AS (SELECT c_name AS token FROM customer UNION ALL SELECT s_name FROM supplier UNION ALL SELECT p_name FROM part)
+SELECT token, CASE WHEN regexp_full_match(trim(token), 'Customer#[0-9]{9}') THEN 'person' WHEN regexp_full_match(trim(token), 'Supplier#[0-9]+') THEN 'firm' END AS kind FROM t""")
+def catalog_kinds(spark, d):
+    """The kind that a whole token is an id of."""
+    names = [read(spark, d, t).select(F.col(c).alias("token")) for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name"))]
+    rows = names[0].unionAll(names[1]).unionAll(names[2])
+    return rows.select("token", Catalog.build([parse_pack(NOTICES)]).kind_of(F.col("token")).alias("kind"))
+
+
 MAIL = "[a-z0-9._-]+@[a-z0-9-]+[.][a-z]+"
 
 
