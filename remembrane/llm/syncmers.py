@@ -69,7 +69,7 @@ def syncmers(points: Column, k: int = K, s: int = S) -> Column:
 
     def found(b: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.shiftright(F.octet_length(b), 2) - s), lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * s))))
-        starts = let(hashes, lambda g: F.array_sort(F.array_union(least(g, 1), least(g, -1))))
+        starts = let(hashes, lambda g: F.sort_array(F.array_union(least(g, 1), least(g, -1))))
         return F.transform(starts, lambda i: anchor(i, b, k))
 
     return let(points, lambda b: F.when(F.octet_length(b) >= 4 * k, found(b)).otherwise(F.expr(NONE)))
@@ -92,7 +92,7 @@ def digest(anchors: Column) -> Column:
 def firsts(anchors: Column) -> Column:
     """Each hash with its first place, as one number (hash above), ascending."""
     upper = lambda x: F.shiftright(x, 32)
-    ordered = F.array_sort(F.transform(anchors, lambda x: F.shiftleft(x, 32).bitwiseOR(place_of(x))))
+    ordered = F.sort_array(F.transform(anchors, lambda x: F.shiftleft(x, 32).bitwiseOR(place_of(x))))
     return let(ordered, lambda s: F.filter(s, lambda x, i: (i == 0) | (upper(x) != upper(F.get(s, i - 1)))))
 
 
@@ -100,11 +100,11 @@ def likeness(a: Column, b: Column) -> Column:
     """The likeness of two columns made by `firsts`; 1 where both are empty."""
     odd = F.lit(1 << 31)
     upper = lambda x: F.shiftright(x, 32)
-    both = F.array_sort(F.concat(a, F.transform(b, lambda x: x + odd)))  # a hash in both is in two neighbours, that of a first
+    both = F.sort_array(F.concat(a, F.transform(b, lambda x: x + odd)))  # a hash in both is in two neighbours, that of a first
 
     def shifts(m: Column) -> Column:
         met = F.filter(F.sequence(F.lit(0), F.size(m) - 2), lambda i: upper(F.get(m, i)) == upper(F.get(m, i + 1)))
-        return F.when(F.size(m) > 1, F.array_sort(F.transform(met, lambda i: F.get(m, i + 1) - F.get(m, i)))).otherwise(F.expr(NONE))
+        return F.when(F.size(m) > 1, F.sort_array(F.transform(met, lambda i: F.get(m, i + 1) - F.get(m, i)))).otherwise(F.expr(NONE))
 
     def backed(d: Column) -> Column:
         same = lambda x, i: F.coalesce(F.get(d, i) == x, F.lit(False))
