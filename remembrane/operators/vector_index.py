@@ -3,7 +3,9 @@
 Centres come from Lloyd rounds whose sums are made where the vectors are, over a sample of about MAX_SAMPLE rows at most; every
 row is indexed. A list is a folder, so a search opens the folders of the centres nearest to its queries, scores the codes
 there, and reads the vectors of the best ones only. How many lists to open is measured: `probes_for` looks where the true
-neighbours of some queries lie.
+neighbours of some queries lie. `effort_for` measures how many of the best codes to read vectors of as well, as codes of vectors
+that are alike in all directions tell little. Scores are compared by 12 decimals and equal ones go by id, so copies of a vector
+are found in the same order by a search and by all rows.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from ..storage import cut_lineage, lasting, lasting_path
 
 #: Rows that centres and codes are learnt from, at most about; lists at most; rounds; components and entries of a code's part.
 MAX_SAMPLE, MAX_LISTS, ROUNDS, WIDTH, ENTRIES = 50_000, 4096, 8, 8, 256
-#: Queries that are searched at once, and candidates for each result that are scored exactly.
+#: Queries that are searched at once, and candidates for each result that are scored exactly, unless a search asks for more.
 BLOCK, REFINE = 1024, 10
 
 
@@ -157,16 +160,18 @@ def vector_index(rows: DataFrame, id_column: str, vector: str = "embedding") ->
     return VectorIndex(table, np.frombuffer(model["centres"], np.float32).reshape(-1, model["dim"]), np.frombuffer(model["books"], np.float32).reshape(-1, ENTRIES, WIDTH))
 
 
-def best_of(batch_ids: pa.Array, scores: np.ndarray, k: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query (row of scores) its best k columns, its own row left out."""
+def best_of(ids: pa.Array, scores: np.ndarray, k: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query (row of scores) its best k columns, equal scores by id, its own row left out."""
+    order = pc.sort_indices(ids).to_numpy()
+    scores = scores[:, order]
     if own is not None:
-        ids = np.array(batch_ids.to_pylist(), object)
-        scores = np.where(ids[None, :] == own[:, None], -np.inf, scores)
-    k = min(k, scores.shape[1])
-    top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    q, kept = np.repeat(np.arange(len(scores)), k), top.ravel()
-    good = scores[q, kept] > -np.inf
-    return q[good], kept[good], scores[q, kept][good]
+        named = np.array(ids.to_pylist(), object)[order]
+        scores = np.where(named[None, :] == own[:, None], -np.inf, scores)
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k] if k < scores.shape[1] else np.full((len(scores), 1), -np.inf)
+    above, ties = scores > least, scores == least
+    kept = (above | (ties & (np.cumsum(ties, axis=1) <= k - above.sum(axis=1, keepdims=True)))) & (scores > -np.inf)
+    q, c = np.nonzero(kept)
+    return q, order[c], scores[q, c]
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -184,9 +189,10 @@ def blocks_of(queries: DataFrame, dim: int) -> Iterator[tuple[list, np.ndarray]]
             yield held.column(0).to_pylist(), matrix(held.column(1).combine_chunks(), dim)
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, exclude_own: bool = False) -> DataFrame:
+def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, exclude_own: bool = False, refine: int = REFINE) -> DataFrame:
     """query_id, rank, id, score (cosine) of about the k nearest rows to each query (query_id, vector): those in the lists of
-    its `probes` nearest centres. Queries of another length than the index's find nothing. Equal scores go by id."""
+    its `probes` nearest centres, the vectors of the best refine * k codes scored exactly. Queries of another length than the
+    index's find nothing. Equal scores go by id."""
     out, kind = None, dict(index.rows.dtypes)["id"]
     qkind = dict(queries.dtypes)["query_id"]
     centres, books, dim = index.centres, index.books, index.centres.shape[1]
@@ -210,20 +216,20 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, exclude_
                 for one in np.unique(at):
                     rows, qs = np.flatnonzero(at == one), asked[int(one)]
                     scores = near[qs, one][:, None] + sum(tables[qs, j][:, code[rows, j]] for j in range(books.shape[0]))
-                    q, c, s = best_of(batch.column("id").take(pa.array(rows)), scores, REFINE * k, own_ids[qs] if own_ids is not None else None)
+                    q, c, s = best_of(batch.column("id").take(pa.array(rows)), scores, refine * k, own_ids[qs] if own_ids is not None else None)
                     yield pa.RecordBatch.from_arrays([pa.array(qs[q], pa.int32()), batch.column("id").take(pa.array(rows[c])), pa.array(np.full(len(q), one), pa.int32()), pa.array(s.astype(np.float64))], ["q", "id", "list", "score"])
 
         codes = index.rows.where(F.col("list").isin(sorted(asked))).select("list", "id", "code")
         close = codes.mapInArrow(scan, f"q int, id {kind}, list int, score double")
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-        close = close.withColumn("r", place).where(F.col("r") <= REFINE * k).select("q", "id", "list")
+        close = close.withColumn("r", place).where(F.col("r") <= refine * k).select("q", "id", "list")
         held = index.rows.where(F.col("list").isin(sorted(asked))).select("list", "id", "vector").join(close, ["list", "id"])
 
         def exact(batches: Iterator[pa.RecordBatch], x=x, ids=ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 v = batch.column("vector").flatten().to_numpy().reshape(-1, dim)
                 q = batch.column("q").to_numpy()
-                score = np.einsum("ij,ij->i", x[q].astype(np.float64), v.astype(np.float64))
+                score = np.round(np.einsum("ij,ij->i", x[q].astype(np.float64), v.astype(np.float64)), 12)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column("id"), pa.array(score)], ["query_id", "id", "score"])
 
         found = ranked(held.select("q", "id", "vector").mapInArrow(exact, f"query_id {qkind}, id {kind}, score double"), k)
@@ -242,7 +248,7 @@ def exact_neighbours(index: VectorIndex, queries: DataFrame, k: int, exclude_own
         def scan(batches: Iterator[pa.RecordBatch], x=x, own_ids=own_ids, ids=ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 v = batch.column("vector").flatten().to_numpy().reshape(-1, dim)
-                q, c, s = best_of(batch.column("id"), x.astype(np.float64) @ v.T.astype(np.float64), k, own_ids)
+                q, c, s = best_of(batch.column("id"), np.round(x.astype(np.float64) @ v.T.astype(np.float64), 12), k, own_ids)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column("id").take(pa.array(c)), batch.column("list").take(pa.array(c)), pa.array(s)], ["query_id", "id", "list", "score"])
 
         found = ranked(index.rows.select("id", "list", "vector").mapInArrow(scan, f"query_id {qkind}, id {kind}, list int, score double"), k)
@@ -250,17 +256,42 @@ def exact_neighbours(index: VectorIndex, queries: DataFrame, k: int, exclude_own
     return out if out is not None else index.rows.sparkSession.createDataFrame([], f"query_id {qkind}, id {kind}, list int, score double, rank long")
 
 
-def probes_for(index: VectorIndex, queries: DataFrame, k: int, target: float = 0.95, sample: int = 64) -> int:
-    """The fewest lists that hold so large a share of the true k neighbours of `sample` queries, picked by hash."""
-    some = cut_lineage(queries.orderBy(F.xxhash64("query_id", F.lit("probe")), "query_id").limit(sample), "probe-queries")
+def some_queries(queries: DataFrame, sample: int) -> DataFrame:
+    """So many queries, picked by hash."""
+    return cut_lineage(queries.orderBy(F.xxhash64("query_id", F.lit("probe")), "query_id").limit(sample), "probe-queries")
+
+
+def lists_needed(index: VectorIndex, queries: DataFrame, true: DataFrame, target: float) -> int:
+    """The fewest lists that hold so large a share of the true neighbours (query_id, list) of queries."""
     place = {}
-    for ids, x in blocks_of(some, index.centres.shape[1]):
+    for ids, x in blocks_of(queries, index.centres.shape[1]):
         order = np.argsort(-(x @ index.centres.T - 0.5 * (index.centres**2).sum(axis=1)), axis=1, kind="stable")
         place.update(zip(ids, np.argsort(order, axis=1), strict=True))
-    needed = sorted(int(place[r["query_id"]][r["list"]]) + 1 for r in exact_neighbours(index, some, k, exclude_own=True).select("query_id", "list").collect())
+    needed = sorted(int(place[r["query_id"]][r["list"]]) + 1 for r in true.select("query_id", "list").collect())
     return needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)] if needed else 1
 
 
+def probes_for(index: VectorIndex, queries: DataFrame, k: int, target: float = 0.95, sample: int = 64) -> int:
+    """The fewest lists that hold so large a share of the true k neighbours of `sample` queries, picked by hash."""
+    some = some_queries(queries, sample)
+    return lists_needed(index, some, exact_neighbours(index, some, k, exclude_own=True), target)
+
+
+def effort_for(index: VectorIndex, queries: DataFrame, k: int, target: float = 0.95, sample: int = 64) -> tuple[int, int]:
+    """Lists to open and candidates for each result with which a search finds so large a share of the true k neighbours of
+    `sample` queries, picked by hash.
+
+    The lists may lose half of what may be lost; candidates are doubled until the search as a whole reaches the share, or
+    scores all rows that it opens.
+    """
+    some = some_queries(queries, sample)
+    true = cut_lineage(exact_neighbours(index, some, k, exclude_own=True), "true-neighbours")
+    probes, refine, n = lists_needed(index, some, true, (1 + target) / 2), REFINE, index.rows.count()
+    while refine * k < n and recall(search(index, some, k, probes, exclude_own=True, refine=refine), true) < target:
+        refine *= 2
+    return probes, refine
+
+
 def recall(found: DataFrame, true: DataFrame) -> float:
     """Share of the true neighbours (query_id, id) that were found."""
     total = true.count()

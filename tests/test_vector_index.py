@@ -43,6 +43,33 @@ def test_index(spark, tmp_path, monkeypatch, n):
     assert vi.search(index, spark.createDataFrame([(1, [1.0] * 3)], "query_id bigint, vector array<double>"), 5, 3).count() == 0
 
 
+def test_effort_where_codes_tell_little(spark, tmp_path):
+    """Vectors alike in all directions: ten candidates for a result lose too many neighbours, whatever lists are opened."""
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=64).round(4).tolist(), "l", "i") for i in range(4000)]
+    index = vi.vector_index(table(spark, tmp_path, "alike", rows), "vec_id")
+    queries = spark.createDataFrame([x[:2] for x in rows[::40]], "query_id bigint, vector array<double>")
+    true = vi.exact_neighbours(index, queries, 5, exclude_own=True)
+    assert vi.recall(vi.search(index, queries, 5, 10_000, exclude_own=True), true) < 0.9
+    probes, refine = vi.effort_for(index, queries, 5)
+    assert refine > vi.REFINE and vi.recall(vi.search(index, queries, 5, probes, exclude_own=True, refine=refine), true) >= 0.9
+
+
+def test_copies_by_id(spark, tmp_path):
+    """More copies of a vector than candidates: the same ones are found as by all rows."""
+    r = np.random.default_rng(6)
+    one, other = (r.normal(size=12).round(4).tolist() for _ in range(2))
+    rows = [(i * 37 % 1009, one if i % 3 else other, "l", "i") for i in range(1000)]
+    index = vi.vector_index(table(spark, tmp_path, "copies", rows), "vec_id")
+    queries = spark.createDataFrame([x[:2] for x in rows[:40]], "query_id bigint, vector array<double>")
+    for found in (vi.search(index, queries, 5, 1000, exclude_own=True), vi.exact_neighbours(index, queries, 5, exclude_own=True)):
+        got = {}
+        for x in found.orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append(x.id)
+        for q, v, *_ in rows[:40]:
+            assert got[q] == sorted(i for i, w, *_ in rows if w == v and i != q)[:5]
+
+
 def test_nothing_to_index(spark, tmp_path):
     index = vi.vector_index(table(spark, tmp_path, "none", []), "vec_id")
     assert index.rows.count() == 0
