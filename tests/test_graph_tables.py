@@ -68,6 +68,43 @@ def test_reads_of_few_keys_join_nothing(spark, net):
     assert "Exchange" not in plan and "Join" not in plan and "bucket" in plan.split("PartitionFilters")[1][:120]
 
 
+def shuffled(spark, run):
+    """What run() gives, and how many rows it shuffles."""
+    sc = spark.sparkContext
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = total()
+    out = run()
+    return out, sum(n for stage, n in total().items() if stage not in before)
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """A path of five keys beside 40,000 edges that have nothing to do with it, each edge twice."""
+    rows = spark.range(80_000).select(F.concat(F.lit("x"), F.col("id") % 40_000).alias("src"), F.lit("R").alias("type"), F.concat(F.lit("y"), F.col("id") % 40_000 % 977).alias("dst"))
+    path = str(tmp_path_factory.mktemp("wide") / "e")
+    rows.unionByName(spark.createDataFrame([("b", "R", "a"), ("b", "R", "c"), ("aa", "R", "a"), ("aa", "R", "c"), ("d", "R", "c"), ("d", "R", "e"), ("a", "R", "a")] * 2, "src string, type string, dst string")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_paths_shuffle_what_they_meet(spark, wide):
+    found, rows = shuffled(spark, lambda: graph.shortest_path(wide, "a", "e"))
+    assert found == ["a", "aa", "c", "d", "e"] and rows < 2000
+    assert graph.shortest_path(wide, "a", "e", most=3) is None and graph.shortest_path(wide, "a", "e", most=4) == found
+    assert graph.shortest_path(wide, "a", "x1") is None and graph.shortest_path(wide, "a", "nothing") is None and graph.shortest_path(wide, "e", "d") == ["e", "d"]
+
+
+def test_neighborhoods_shuffle_what_they_meet(spark, wide):
+    seeds = spark.createDataFrame([("a",)], "key string")
+    (keys, links), rows = shuffled(spark, lambda: tuple(x.distinct().collect() for x in graph.neighborhood(wide, seeds, 2)))
+    assert {tuple(x) for x in keys} == {("a", 0), ("aa", 1), ("b", 1), ("c", 2)} and rows < 2000
+    assert {(x.src, x.dst) for x in links} == {("a", "a"), ("b", "a"), ("b", "c"), ("aa", "a"), ("aa", "c")}
+
+
 def ring_of_cliques(n, size):
     return [(f"{c}{i}", f"{c}{j}") for c in range(n) for i in range(size) for j in range(i)] + [(f"{c}0", f"{(c + 1) % n}1") for c in range(n)]
 
