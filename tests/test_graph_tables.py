@@ -141,3 +141,43 @@ def test_leiden(spark):
     apart = spark.createDataFrame([("00", "c"), ("01", "c"), ("20", "c"), ("21", "c"), ("40", "d")], "key string, community string")
     parts = {x.key: x.community for x in community.connected_parts(edges, apart).collect()}
     assert parts["00"] == parts["01"] != parts["20"] == parts["21"] and parts["40"] == "40"
+
+
+def propagated(spark, pairs, rounds=40):
+    """Labels by hand, with the hash that deals nodes to sides."""
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    side = {x.key: x.s for x in spark.createDataFrame([(k,) for k in near], "key string").select("key", F.pmod(F.xxhash64("key"), F.lit(2)).alias("s")).collect()}
+    label, quiet = {k: k for k in near}, 0
+    for turn in range(rounds):
+        new = dict(label)
+        for k in near:
+            if side[k] == turn % 2:
+                votes = [label[b] for b in near[k]]
+                new[k] = min(votes, key=lambda x: (-votes.count(x), x))
+        quiet = quiet + 1 if new == label else 0
+        label = new
+        if quiet == 2:
+            break
+    return label
+
+
+@pytest.mark.parametrize("few", [50, 1])
+def test_label_propagation(spark, monkeypatch, few):
+    """Each side's turn counts its own votes only, and later turns only those that can change: fewer rows than all votes of each round."""
+    monkeypatch.setattr(community, "FEW", few, raising=False)
+    r = random.Random(7)
+    pairs = [(f"k{r.randint(0, 90)}", f"k{r.randint(0, 90)}") for _ in range(150)] + [("p1", "p2"), ("p2", "p1"), ("q", "q")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    found, rows = shuffled(spark, lambda: {x.key: x.community for x in community.label_propagation(edges).collect()})
+    assert found == propagated(spark, pairs)
+    assert rows < 8000
+
+
+def test_moves_rate_one_side(spark):
+    edges = spark.createDataFrame(ring_of_cliques(8, 12), "src string, dst string")
+    found, rows = shuffled(spark, lambda: community.louvain(edges, rounds=8, levels=2).collect())
+    assert len({x.community for x in found}) == 8 and rows < 5700
