@@ -89,16 +89,28 @@ def band_keys(given: np.ndarray, rows: int) -> np.ndarray:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node in edges (a, b), by min labels and pointer jumps."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        now = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("new"))
-        jump = now.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        now = materialize(now.join(jump, "new").select("node", "label", F.least("new", "far").alias("new")), "labels")
-        labels = now.select("node", F.col("new").alias("label"))
-        if not now.where("label <> new").limit(1).count():
+        now = materialize(labels.join(near, "node").select("node", "label", F.least("label", "m").alias("new")), "labels")
+        if now.where("label <> new").isEmpty():
             return labels.withColumnRenamed("label", "component")
+        jump = now.select(F.col("node").alias("new"), F.col("new").alias("far"))
+        labels = materialize(now.join(jump, "new").select("node", F.least("new", "far").alias("label")), "labels")
+
+
+def merged(links: DataFrame) -> DataFrame:
+    """node, component for the nodes of links (a, b) that are not their component's name."""
+    return materialize(connected_components(links).where("node <> component"), "moves")
+
+
+def moved(rows: DataFrame, moves: list[DataFrame]) -> DataFrame:
+    """rows, their component replaced by the one that it went into, in the order of moves."""
+    for step in moves:
+        rows = rows.join(step.select(F.col("node").alias("component"), F.col("component").alias("__into")), "component", "left")
+        rows = rows.withColumn("component", F.coalesce("__into", "component")).drop("__into")
+    return rows
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -115,7 +127,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b; other columns of numbers stay) whose sets have 100 * intersection >= percent * union."""
+    kept = pairs.columns
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,10 +139,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 ok[i] = 100 * common >= percent * (len(both) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in kept], kept)
 
     full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    return materialize(full.mapInArrow(agree, "a long, b long"), "links")
+    return materialize(full.mapInArrow(agree, ", ".join(f"{c} long" for c in kept)), "links")
 
 
 def exact_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,57 +214,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     # rows that repeat a doc_id with other texts join their classes
     least = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b <> z").select("doc_id", "b")
     links = materialize(members.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"), "links")
-    component = connected_components(links)
+    # a component is named by its smallest rep; links found later join components, so only those links are gone through
+    moves = [] if links.isEmpty() else [merged(links)]
+    keyed = materialize(moved(keyed.join(sizes, "rep").withColumn("component", F.col("rep")), moves), "placed")
     tried = None
     for turn in range(ROUNDS):
-        placed = place(keyed, component)
-        split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), centre(turn)).where("lo <> hi").select("key", "centre.*")
-        held = materialize(placed.join(split, "key"), "held")
-        if not held.limit(1).count():
+        split = keyed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), centre(turn)).where("least <> most").select("key", "centre.*")
+        held = materialize(keyed.join(split, "key"), "held")
+        if held.isEmpty():
+            keyed = held.select(keyed.columns)
             break
         # a centre meets all others of its bucket now, so it leaves: pairs not tried are those of the members that stay
-        keyed = held.where("rep <> centre").select("rep", "key")
-        met = held.where("component <> other").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        # no aggregate above these joins, so that adaptive execution can split them at a centre of many
-        side = lambda end: sizes.select(F.col("rep").alias(end), F.col("lo").alias(f"lo_{end}"), F.col("hi").alias(f"hi_{end}"))
-        near = materialize(met, "met").join(side("a"), "a").join(side("b"), "b")
-        pairs = near.where(F.lit(100) * F.least("hi_a", "hi_b") >= F.lit(percent) * F.greatest("lo_a", "lo_b")).select("a", "b")
+        keyed = held.where("rep <> centre").select(keyed.columns)
+        sized = F.lit(100) * F.least("hi", "centre_hi") >= F.lit(percent) * F.greatest("lo", "centre_lo")
+        pairs = held.where((F.col("component") != F.col("other")) & sized).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), F.col("component").alias("p"), F.col("other").alias("q"))
+        pairs = pairs.dropDuplicates(["a", "b"])
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        if not pairs.limit(1).count():
+        if pairs.isEmpty():
             continue  # other centres can have some
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         new = confirm(pairs, sets, percent)
-        if new.limit(1).count():
-            links = links.unionByName(new)
-            component = connected_components(links)
-    placed = place(keyed, component)
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(placed.join(split, "key").select("rep", "component").distinct(), "rest")
-    if rest.limit(1).count():
+        if not new.isEmpty():
+            moves.append(merged(new.select(F.col("p").alias("a"), F.col("q").alias("b"))))
+            keyed = materialize(moved(keyed, moves[-1:]), "placed")
+    split = keyed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    rest = materialize(keyed.join(split, "key").select("rep", "component").distinct(), "rest")
+    if not rest.isEmpty():
         pairs = exact_pairs(rest, sets, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         new = confirm(materialize(pairs, "pairs"), sets, percent)
-        if new.limit(1).count():
-            component = connected_components(links.unionByName(new))
-    placed = members.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+        if not new.isEmpty():
+            for end in ("a", "b"):
+                new = new.join(rest.select(F.col("rep").alias(end), F.col("component").alias(f"of_{end}")), end)
+            moves.append(merged(new.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+    placed = moved(members.withColumnRenamed("rep", "component"), moves).groupBy("doc_id").agg(F.min("component").alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
     component_id = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
-def place(keyed: DataFrame, component: DataFrame) -> DataFrame:
-    """keyed (rep, key) with the component of each rep; without links it is the rep itself."""
-    placed = keyed.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return placed.withColumn("component", F.coalesce("component", "rep"))
-
-
 def centre(turn: int) -> Column:
-    """The member of a bucket that all others are compared with, and its component: first the ends of the bucket, which
+    """The member of a bucket that all others are compared with, its component and sizes: first the ends of the bucket, which
     buckets that overlap have in common, then members that differ from bucket to bucket."""
-    chosen = F.struct(F.col("rep").alias("centre"), F.col("component").alias("other"))
+    chosen = F.struct(F.col("rep").alias("centre"), F.col("component").alias("other"), F.col("lo").alias("centre_lo"), F.col("hi").alias("centre_hi"))
     if turn == 0:
         return F.min(chosen).alias("centre")
     if turn == 1:

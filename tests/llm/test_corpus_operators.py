@@ -248,6 +248,23 @@ def test_more_groups_in_a_bucket_than_rounds(spark, make):
     assert got == want and got[11] == 10 and got[121] == 120 and got[19] == 19
 
 
+def test_rounds_take_few_tasks(spark, make):
+    """Each round goes through the links that it found, not through all of them again."""
+    tail = lambda g, changed: [f"g{g}t{k}" for k in range(20)][changed:] + [f"g{g}c{changed}n{k}" for k in range(changed)]
+    rows = in_one_bucket([(10 * g + c, tail(g, c)) for g in range(1, 13) for c in (0, 1, 9)])
+    held = make(rows)
+    context = spark.sparkContext
+    context.setJobGroup("rounds", "rounds")
+    try:
+        assert len(minhash.near_duplicates(held, size=1, bands=2, rows=1).collect()) == len(rows)
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("rounds") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks < 225, tasks
+
+
 def test_pairs_within_a_template(spark, make):
     """400 pairs at similarity 0.815 in one template whose documents are alike to 0.774: every pair is found, and nothing else."""
     common = [f"c{k}" for k in range(240)]
