@@ -13,21 +13,22 @@ base) go out with their training counts, packed, to the partitions of a hash of
 blocks. Words' totals go back to the blocks that asked. Grams are dealt to tasks by their three nearest bytes of context;
 what the model needs of shorter contexts is in the counts of three bytes, which are at most 2**24. Grams are few beside
 the text (a table whose growth slows with the corpus): their probabilities are sent to all tasks if they are at most
-MAX_SENT, else looked up like words.
+MAX_SENT, in pieces of about PIECE that the driver holds one at a time, else looked up like words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PolyHash, arrow_pieces, crc_mod, input_parts, materialize, mix64, spread, text_bytes, whole_text, word_spans
+from .common import PolyHash, arrow_pieces, crc_mod, input_parts, let_go, materialize, mix64, spread, text_bytes, whole_text, word_spans
 from .minhash import LOWER
 
 ORDER = 6
@@ -37,6 +38,8 @@ BLEND = {2: 0.02, 3: 0.08, 4: 0.2, 5: 0.3, 6: 0.4}
 ADAPT = 10.0
 #: Grams that are sent to every task at most (16 bytes each).
 MAX_SENT = 8_000_000
+#: About how many of them pass through the driver at a time.
+PIECE = 500_000
 #: Keys that a task gathers before it adds them up.
 SQUEEZE = 3_000_000
 #: Bytes that can stand in a stream: all but four kinds of white space.
@@ -92,9 +95,13 @@ def tally(keys: np.ndarray, counted: np.ndarray) -> list[tuple[np.ndarray, np.nd
     return out
 
 
+def part_of(by: np.ndarray, parts: int) -> np.ndarray:
+    return (mix64(by) % np.uint64(parts)).astype(np.int64)
+
+
 def dealt(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, parts: int, by: np.ndarray) -> pa.RecordBatch:
     """Rows of PACKED: keys and counts by part of `by`."""
-    part = (mix64(by.copy()) % np.uint64(parts)).astype(np.int64)
+    part = part_of(by, parts)
     order = np.argsort(part, kind="stable")
     part, keys, counts = part[order], keys[order], counts[order].astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
@@ -206,8 +213,8 @@ def earlier(of: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def stream_scores(grams: np.ndarray, begins: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """log10 probability of each symbol of each text from the grams' table (probabilities) and what the text had before."""
+def stream_scores(grams: np.ndarray, begins: np.ndarray, table: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """log10 probability of each symbol of each text from the grams' table (probabilities of distinct grams) and what the text had before."""
     if not len(grams):
         return np.zeros(0)
     order = np.argsort(grams)
@@ -215,7 +222,7 @@ def stream_scores(grams: np.ndarray, begins: np.ndarray, table: tuple[np.ndarray
     starts, lengths = runs(ordered[1:] == ordered[:-1])
     p, gram, context = np.empty(len(grams)), np.empty(len(grams), np.int32), np.empty(len(grams), np.int32)
     distinct = ordered[starts]
-    p[order] = np.repeat(table[1][np.searchsorted(table[0], distinct)], lengths)
+    p[order] = np.repeat(table(distinct), lengths)
     gram[order] = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
     contexts = distinct >> np.uint64(8)
     number = np.zeros(len(starts), np.int32)
@@ -353,16 +360,44 @@ def score_documents(docs: DataFrame, held_out: int = 1, most_sent: int = MAX_SEN
     answers = summed.where(F.col("kind") == WORD).select("kind", "block", "keys", F.col("counts").alias("answers"))
     sent = None
     if size <= most_sent:
-        got = model.select("keys", "scores").toArrow()
-        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("keys"))])
-        scores = np.concatenate([np.zeros(0), *(np.frombuffer(x.as_buffer(), np.float64) for x in got.column("scores"))])
-        at = np.argsort(keys)
-        sent = spark.sparkContext.broadcast((keys[at], scores[at]))
+        sent = send(model, 1 + size // PIECE, parts)
     else:
         answers = answers.unionByName(answer_grams(asked, model, parts))
     return score_blocks(rows, answers, sent, n_train, vocabulary, docs_trained, 4 * parts)
 
 
+@dataclass
+class Sent:
+    """The model's grams and their probabilities in pieces, each ascending: those of every so many-th part."""
+
+    pieces: list[Broadcast]
+    parts: int
+
+    def look_up(self, grams: np.ndarray) -> np.ndarray:
+        piece = part_of(context_of(grams, 3), self.parts) % len(self.pieces)
+        out = np.empty(len(grams))
+        for i, each in enumerate(self.pieces):
+            own = np.flatnonzero(piece == i)
+            keys, scores = each.value
+            out[own] = scores[np.searchsorted(keys, grams[own])]
+        return out
+
+
+def send(model: DataFrame, pieces: int, parts: int) -> Sent:
+    """The model to all tasks, piece by piece, so that the driver never holds all of it as arrays."""
+    sent = []
+    for i in range(pieces):
+        got = model.where(F.col("part") % pieces == i).select("keys", "scores").toArrow()
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("keys"))])
+        scores = np.concatenate([np.zeros(0), *(np.frombuffer(x.as_buffer(), np.float64) for x in got.column("scores"))])
+        del got
+        at = np.argsort(keys)
+        sent.append(model.sparkSession.sparkContext.broadcast((keys[at], scores[at])))
+        del keys, scores, at
+        let_go()
+    return Sent(sent, parts)
+
+
 def answer_grams(asked: DataFrame, model: DataFrame, parts: int) -> DataFrame:
     """Each block's grams with their probabilities: questions and model meet in the partitions of the keys' hash."""
 
@@ -390,7 +425,7 @@ def answer_grams(asked: DataFrame, model: DataFrame, parts: int) -> DataFrame:
     return both.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, "kind int, block long, keys binary, answers binary")
 
 
-def score_blocks(rows: DataFrame, answers: DataFrame, sent, n_train: int, vocabulary: int, ends: int, tasks: int) -> DataFrame:
+def score_blocks(rows: DataFrame, answers: DataFrame, sent: Sent | None, n_train: int, vocabulary: int, ends: int, tasks: int) -> DataFrame:
     """Score texts block by block: a block's answers come first, then its texts stream through. So many tasks that few get two blocks."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -415,7 +450,7 @@ def score_blocks(rows: DataFrame, answers: DataFrame, sent, n_train: int, vocabu
                 tables = {}
                 grams, begins, words, first = symbol_stream(*text_bytes(part.column("text")))
                 known = look_up(words, ready[WORD]) if len(words) else np.zeros(0, np.int64)
-                logs = stream_scores(grams, begins, ready[GRAM] if sent is None else sent.value)
+                logs = stream_scores(grams, begins, (lambda g: ready[GRAM][1][np.searchsorted(ready[GRAM][0], g)]) if sent is None else sent.look_up)
                 sums = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.float64)])[at])
                 n_known = sums(known > 0, first).astype(np.int64) + (ends > 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first) + 1), pa.array(n_known), pa.array(np.full(len(n_known), n_train)), pa.array(sums(base(known), first) + base(ends)), pa.array(sums(logs, begins))], names)

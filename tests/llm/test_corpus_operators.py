@@ -166,6 +166,24 @@ def test_ppm_against_dictionaries(spark, odd, odd_rows, held_out, sent):
     assert set(got.train_tokens) == {n}
 
 
+def test_ppm_sends_its_model_in_pieces(spark, sf, monkeypatch):
+    """The driver never has the whole model; scores are those of the join."""
+    docs = table(spark, sf, "documents").limit(200)
+    monkeypatch.setattr(ppm, "PIECE", 5000, raising=False)
+    frame, held = type(docs), []
+    whole = frame.toArrow
+
+    def counted(self):
+        got = whole(self)
+        held.extend([got.nbytes] if "scores" in got.column_names else [])
+        return got
+
+    monkeypatch.setattr(frame, "toArrow", counted)
+    scores = [{(r.doc_id, round(r.score, 6)) for r in ppm.score_documents(docs, most_sent=most).collect()} for most in (ppm.MAX_SENT, 0)]
+    assert scores[0] == scores[1] and len(scores[0]) == 200
+    assert max(held) < 0.5 * sum(held)
+
+
 def test_ppm_empty_and_untrained(spark, make, empty, held_out):
     assert ppm.score_documents(empty).count() == 0
     only = [i for i in range(200) if held_out(i, 1)][:2]
