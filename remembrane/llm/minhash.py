@@ -105,12 +105,22 @@ def merged(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links).where("node <> component"), "moves")
 
 
-def moved(rows: DataFrame, moves: list[DataFrame]) -> DataFrame:
-    """rows, their component replaced by the one that it went into, in the order of moves."""
-    for step in moves:
-        rows = rows.join(step.select(F.col("node").alias("component"), F.col("component").alias("__into")), "component", "left")
-        rows = rows.withColumn("component", F.coalesce("__into", "component")).drop("__into")
-    return rows
+def moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """rows, their component replaced by the one that it went into."""
+    rows = rows.join(moves.select(F.col("node").alias("component"), F.col("component").alias("__into")), "component", "left")
+    return rows.withColumn("component", F.coalesce("__into", "component")).drop("__into")
+
+
+def followed(steps: list[DataFrame]) -> DataFrame:
+    """node, component of all steps (in their order), where each node is after the last of them.
+
+    A node that moves is no component's name any more, so it is in one step only: each row meets the steps after its own
+    in one join, and what is placed by the result goes through one join, whatever the number of steps.
+    """
+    into = steps[-1]
+    for step in reversed(steps[:-1]):
+        into = into.unionByName(materialize(moved(step, into).select("node", "component"), "moves"))
+    return into
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -216,7 +226,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     links = materialize(members.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"), "links")
     # a component is named by its smallest rep; links found later join components, so only those links are gone through
     moves = [] if links.isEmpty() else [merged(links)]
-    keyed = materialize(moved(keyed.join(sizes, "rep").withColumn("component", F.col("rep")), moves), "placed")
+    keyed = keyed.join(sizes, "rep").withColumn("component", F.col("rep"))
+    keyed = materialize(moved(keyed, moves[0]) if moves else keyed, "placed")
     tried = None
     for turn in range(ROUNDS):
         split = keyed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), centre(turn)).where("least <> most").select("key", "centre.*")
@@ -238,7 +249,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         new = confirm(pairs, sets, percent)
         if not new.isEmpty():
             moves.append(merged(new.select(F.col("p").alias("a"), F.col("q").alias("b"))))
-            keyed = materialize(moved(keyed, moves[-1:]), "placed")
+            keyed = materialize(moved(keyed, moves[-1]), "placed")
     split = keyed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     rest = materialize(keyed.join(split, "key").select("rep", "component").distinct(), "rest")
     if not rest.isEmpty():
@@ -250,7 +261,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             for end in ("a", "b"):
                 new = new.join(rest.select(F.col("rep").alias(end), F.col("component").alias(f"of_{end}")), end)
             moves.append(merged(new.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
-    placed = moved(members.withColumnRenamed("rep", "component"), moves).groupBy("doc_id").agg(F.min("component").alias("component"))
+    placed = members.withColumnRenamed("rep", "component")
+    placed = (moved(placed, followed(moves)) if moves else placed).groupBy("doc_id").agg(F.min("component").alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
     component_id = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))

@@ -283,6 +283,31 @@ def test_rounds_take_few_tasks(spark, make):
     assert tasks < 225, tasks
 
 
+def test_members_are_placed_once(spark, make):
+    """One join places all members, however many rounds found links."""
+    tail = lambda g, changed: [f"g{g}t{k}" for k in range(20)][changed:] + [f"g{g}c{changed}n{k}" for k in range(changed)]
+    for groups in (1, 6):
+        rows = in_one_bucket([(10 * g + c, tail(g, c)) for g in range(1, groups + 1) for c in (0, 1, 9)])
+        got = minhash.near_duplicates(make(rows), size=1, bands=2, rows=1)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftOuter") == 2, plan  # members with components, signatures with members
+        assert {r.doc_id: r.component_id for r in got.collect()} == brute_components(rows, 1, 80)
+
+
+def test_moves_are_followed(spark):
+    rng = random.Random(3)
+    names, steps, want = list(range(40)), [], {i: i for i in range(40)}
+    for _ in range(6):
+        gone = set(rng.sample(names[1:], 6))
+        left = [x for x in names if x not in gone]
+        step = {x: rng.choice([y for y in left if y < x]) for x in gone}
+        names, want = left, {i: step.get(c, c) for i, c in want.items()}
+        steps.append(spark.createDataFrame(list(step.items()), "node long, component long"))
+    got = [(r.node, r.component) for r in minhash.followed(steps).collect()]
+    assert sorted(got) == sorted((i, c) for i, c in want.items() if i != c)
+    assert sorted(minhash.followed(steps[:1]).collect()) == sorted(steps[0].collect())
+
+
 def test_pairs_within_a_template(spark, make):
     """400 pairs at similarity 0.815 in one template whose documents are alike to 0.774: every pair is found, and nothing else."""
     common = [f"c{k}" for k in range(240)]
