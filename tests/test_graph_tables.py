@@ -181,3 +181,20 @@ def test_moves_rate_one_side(spark):
     edges = spark.createDataFrame(ring_of_cliques(8, 12), "src string, dst string")
     found, rows = shuffled(spark, lambda: community.louvain(edges, rounds=8, levels=2).collect())
     assert len({x.community for x in found}) == 8 and rows < 5700
+
+
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_rounds_over_blocks(spark, monkeypatch, block):
+    """Rounds shuffle arrays for whole blocks, not a row for each link, and give the same over one block and over many."""
+    from remembrane.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    pairs = ring_of_cliques(3, 14)
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    packed, names = community.coded(edges)
+    assert packed.groups == (1 if block > 1000 else 14) and packed.total == 2 * len(pairs)
+    begun = names.select(F.col("id").alias("key"), F.col("id").alias("community"))
+    found, rows = shuffled(spark, lambda: {x.key: x.community for x in community.local_moves(packed, 3, 1.0, begun).collect()})
+    assert rows < 3000
+    assert len(found) == 42 and sum(1 for k, c in found.items() if k == c) < 21
+    assert {x.key: x.community for x in community.label_propagation(edges, 6).collect()} == propagated(spark, pairs, 6)
